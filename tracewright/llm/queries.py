@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, fertility
 from .common import table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
+
+
+def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.measure(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +21,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
