@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility
-from .common import table
+from . import bpe, chunks, fertility, lengths, licenses, sharding
+from .common import shared_dir, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+ENGLISH = "byte_bpe_50k.tiktoken"
+
+
+def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 40, f"{shared_dir(spark)}/tables/slot-map-{uuid.uuid4().hex}")
+
+
+def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.measure(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN)
+
+
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI), public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op3_virtual_slots": op3_virtual_slots,
+    "op5_chunk_recipes": op5_chunk_recipes,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
+    "op8_length_histogram": op8_length_histogram,
+    "op9_license_rules": op9_license_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_chunk_recipes": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               row_number() OVER (PARTITION BY x ORDER BY doc_id) = 1 AS kept, sha256(x) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY x)
+    """,
+}
