@@ -9,14 +9,15 @@ an array of that row.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Phrases that the contract fixes, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -122,11 +123,22 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: r.tier))
 
 
-#: A text without any of these (in any case) has no detection and no base phrase.
-GATE = (
-    r"licen[cs]e|reserved|domain|hereby|permission|redistribution|unencumbered|copyright|proprietary|reproduced|attribution|creative commons"
-    r"|(?<![a-z0-9])(?:spdx|cc|cc0|a?gpl|lgpl|gfdl|mpl|epl|edl|cddl|cpl|eupl|afl|osl|bsl|busl|sspl|odbl|odc|ofl|bsd)(?![a-z0-9])"
-)
+#: A text without any of these, in any case, has no detection and no base phrase.
+GATE = ("licen", "reserved", "domain", "hereby", "permission", "redistribution", "unencumbered", "copyright", "proprietary", "reproduced", "attribution", "creative")
+#: The same for short names, which count as whole words only.
+GATE_SHORT = ("spdx", "cc", "gpl", "gfdl", "mpl", "epl", "edl", "cddl", "cpl", "eupl", "afl", "osl", "bsl", "busl", "sspl", "odbl", "odc", "ofl", "bsd")
+
+
+def _gate(text: Column) -> Column:
+    low = F.lower(text)
+    some = lambda names: reduce(or_, [F.contains(low, F.lit(x)) for x in names])
+    whole = low.rlike(rf"(?<![a-z0-9])(?:[al]?gpl|cc0|{'|'.join(GATE_SHORT)})(?![a-z0-9])")
+    return some(GATE) | F.when(some(GATE_SHORT), whole).otherwise(F.lit(False))
+
+
+def _n_words(text: Column) -> Column:
+    """Between two added words, each run of other characters ends one word more."""
+    return (F.size(F.split(F.concat(F.lit("a "), text, F.lit(" a")), NOT_WORD_ANY_CASE)) - 2).cast("long")
 
 
 def _plain(text: Column) -> Column:
@@ -183,10 +195,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base_re = F.lit(f" (?:{'|'.join(BASE)})(?= )")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    rows = rows.select("id", F.regexp_count("t", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(F.lower("t").rlike(GATE), _plain(F.col("t"))).alias("plain"))
+    rows = rows.select("id", _n_words(F.col("t")).alias("n_words"), F.when(_gate(F.col("t")), _plain(F.col("t"))).alias("plain"))
     plain = F.col("plain")
     detection = "start:int,less:int,tier:int,no:int,end:int,label:string,weight:double"
-    hits = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(plain, k)))
+    keys = F.array(*[F.lit(k) for k in sorted({f" {k} " for r in listed for k in r.keywords})])
+    hits = _let(F.filter(keys, lambda k: F.contains(plain, k)), lambda found: F.filter(table, lambda r: F.arrays_overlap(r["keywords"], found)))
     every = F.array_sort(F.flatten(F.transform(hits, lambda r: F.transform(_places(plain, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("less"), r["tier"].alias("tier"), r["no"].alias("no"), p["end"].alias("end"), r["label"].alias("label"), r["weight"].alias("weight"))))))
     rows = rows.select(
         "id",
