@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chunks, fertility, lengths, licenses, sharding
+from . import bpe, chunks, fertility, lengths, licenses, line_align, mixing, ngram_lm, sharding
 from .common import shared_dir, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +16,19 @@ PIECES = "piece_bpe_32k.model"
 ENGLISH = "byte_bpe_50k.tiktoken"
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    target = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi")
+    out = ngram_lm.score(docs, target)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "ce_diff")])
+
+
+def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.withColumns({"cell_share": F.round("cell_share", 9), "p": F.round("p", 9)})
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40, f"{shared_dir(spark)}/tables/slot-map-{uuid.uuid4().hex}")
 
@@ -27,6 +41,11 @@ def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.measure(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_align.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.array_join("deleted", ",").alias("deleted"))
+
+
 def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN)
 
@@ -40,9 +59,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cross_entropy_difference": op1_cross_entropy_difference,
+    "op2_mix_to_weights": op2_mix_to_weights,
     "op3_virtual_slots": op3_virtual_slots,
     "op5_chunk_recipes": op5_chunk_recipes,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
+    "op7_line_alignment": op7_line_alignment,
     "op8_length_histogram": op8_length_histogram,
     "op9_license_rules": op9_license_rules,
     "op10_byte_bpe": op10_byte_bpe,
