@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, fertility, lengths, licenses, line_align, mixing, ngram_lm, sharding
+from . import bpe, chunks, fertility, lengths, licenses, line_align, mixing, ngram_join, ngram_lm, sharding
 from .common import shared_dir, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,10 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40, f"{shared_dir(spark)}/tables/slot-map-{uuid.uuid4().hex}")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.dedup(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_cross_entropy_difference": op1_cross_entropy_difference,
     "op2_mix_to_weights": op2_mix_to_weights,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_chunk_recipes": op5_chunk_recipes,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op7_line_alignment": op7_line_alignment,
@@ -71,6 +76,23 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
+            FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+                ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END) AS g
+            FROM w
+        ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+            JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+        ), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
+    """,
     "op5_chunk_recipes": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
