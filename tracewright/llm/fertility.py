@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import BLANKS, byte_runs, pick
 from .words import HashTable, code_points, repeated_words, split
@@ -164,3 +165,11 @@ def measure(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     out = pick(docs, *carried, text_col, lang_col).toDF(*names, "t", "l").mapInArrow(run, schema)
     return out.toDF(*carried, *out.columns[len(carried) :])
+
+
+def select_kept(docs: DataFrame, model: str, bands: dict[str | None, Band] | None = None) -> DataFrame:
+    """The rows of docs (doc_id, text, lang and others, all returned) that measure() keeps."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    out = measure(docs.toDF(*names), model, at["doc_id"], at["text"], at["lang"], bands, keep=tuple(n for n in names if n != at["doc_id"]))
+    return out.filter("kept").select(*[F.col(at[c]).alias(c) for c in docs.columns])
