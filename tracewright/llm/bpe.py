@@ -154,7 +154,7 @@ class PieceBuffer:
 class Tokenizer:
     """Splits a text into the matches of a pattern and encodes each on its own."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 400_000):
+    def __init__(self, path: str, pattern: str, cached: int = 900_000):
         import regex
 
         self.v = Vocabulary.load(path)

@@ -67,9 +67,9 @@ class FertilityTable(HashTable):
         self.flat = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def describe(self, words: list[bytes]) -> None:
-        super().describe(words)
-        n, k = len(self.index), len(words)
+    def describe(self, first: int, words: list[bytes]) -> None:
+        super().describe(first, words)
+        n, k = first, len(words)
         lists = self.sp.encode([w.decode("utf-8") for w in words], num_threads=1)
         sizes = np.fromiter(map(len, lists), np.int64, k)
         total = int(sizes.sum())

@@ -21,10 +21,23 @@ def code_points(data: bytes) -> int:
     return len(data.translate(None, CONTINUATION + BLANKS))
 
 
+class _Index(dict):
+    """Numbers words as they are asked for; the new ones are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordTable:
-    """Numbers for words, kept over texts. Holds about `most` words; beyond that it starts anew.
+    """Numbers for words, kept over texts. Starts anew with a text once it holds more than `most` words.
 
-    describe(new words) is called once for each word that isn't known, with their list.
+    describe(first, new words) is called with the words not known before, numbered from first.
     """
 
     def __init__(self, most: int = 500_000):
@@ -32,23 +45,20 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Index()
 
-    def describe(self, words: list[bytes]) -> None:
+    def describe(self, first: int, words: list[bytes]) -> None:
         raise NotImplementedError
 
     def slots(self, words: list[bytes]) -> np.ndarray:
-        index = self.index
-        new = set(words).difference(index)
-        if new and len(index) + len(new) > self.most and index:
+        if len(self.index) > self.most:
             self.clear()
-            index, new = self.index, set(words)
-        if new:
-            listed = list(new)
-            first = len(index)
-            self.describe(listed)
-            index.update(zip(listed, range(first, first + len(listed)), strict=True))
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        index = self.index
+        out = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        if index.new:
+            new, index.new = index.new, []
+            self.describe(len(index) - len(new), new)
+        return out
 
 
 class HashTable(WordTable):
@@ -58,8 +68,8 @@ class HashTable(WordTable):
         super().clear()
         self.hashes = np.zeros(1 << 12, np.uint64)
 
-    def describe(self, words: list[bytes]) -> None:
-        n = len(self.index)
+    def describe(self, first: int, words: list[bytes]) -> None:
+        n = first
         while n + len(words) > len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
         self.hashes[n : n + len(words)] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
