@@ -22,7 +22,7 @@ def candidates(nodes: DataFrame, edges: DataFrame, pins: list[str] | None = None
     pins = clean_pins(pins or [])
     spark = nodes.sparkSession
     able = traverse.roots(nodes, edges).filter(~no_entry_file("file")).dropDuplicates(["id"])
-    pinned = spark.createDataFrame([(p, i) for i, p in enumerate(pins)], "id string, pos int")
+    pinned = spark.createDataFrame([(p, i) for i, p in enumerate(pins)], "id string, pos long")
     starts = able.select("id").unionByName(pinned.select("id").join(nodes.select("id"), "id", "left_semi")).distinct()
     reached = traverse.reach(nodes, edges, starts) if reached is None else reached
     width = reached.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
@@ -33,7 +33,7 @@ def candidates(nodes: DataFrame, edges: DataFrame, pins: list[str] | None = None
     own = of(nodes.dropDuplicates(["id"]).join(F.broadcast(pinned), "id"))
     qualifying = good.agg(F.count(F.lit(1)).alias("q")).crossJoin(own.agg(F.count(F.lit(1)).alias("p")))
     listed = own.select("id", "name", "file", "reach", F.lit(True).alias("pinned"), "pos").unionByName(ranked.select("id", "name", "file", "reach", F.lit(False).alias("pinned"), (F.col("rank") + S.PINS_MAX).alias("pos")))
-    return listed.crossJoin(F.broadcast(qualifying)).select("id", "name", "file", "reach", "pinned", F.row_number().over(Window.orderBy("pos")).alias("pos"), (F.col("q") + F.col("p")).alias("total_qualifying"))
+    return listed.crossJoin(F.broadcast(qualifying)).select("id", "name", "file", "reach", "pinned", F.row_number().over(Window.orderBy("pos")).cast("long").alias("pos"), (F.col("q") + F.col("p")).alias("total_qualifying"))
 
 
 def relations(reached: DataFrame, listed: DataFrame) -> DataFrame:

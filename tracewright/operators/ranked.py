@@ -16,8 +16,8 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: in
     """
     if not by:
         top = df.orderBy(*order).limit(k)
-        return top.withColumn(rank, F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(total))))
-    top = df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
+        return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long")).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(total))))
+    top = df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
     return top.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias(total)), list(by))
 
 

@@ -89,7 +89,7 @@ def health(counted: DataFrame, clusters: int = S.HEALTH_CLUSTERS, members: int =
     groups = rows.groupBy("directory").agg(F.max("risk_count").alias("heat_count"), F.sum("risk_count").alias("total_risk"), F.count(F.lit(1)).alias("size"))
     top = top_k(groups, [], [F.desc("heat_count"), F.desc("total_risk"), "directory"], clusters, "cluster_rank", "n_clusters")
     shown = rows.join(F.broadcast(top), "directory")
-    rank = F.row_number().over(Window.partitionBy("directory").orderBy(F.desc("risk_count"), "name", "id"))
+    rank = F.row_number().over(Window.partitionBy("directory").orderBy(F.desc("risk_count"), "name", "id")).cast("long")
     shown = shown.withColumn("member_rank", rank).filter(F.col("member_rank") <= members)
     return shown.select("directory", "cluster_rank", heat("heat_count").alias("heat"), "heat_count", "total_risk", "size", F.greatest(F.lit(0).cast("long"), F.col("size") - members).alias("remaining_members"), F.greatest(F.lit(0).cast("long"), F.col("n_clusters") - clusters).alias("remaining_clusters"), "member_rank", "id", "name", "risk_count")
 
