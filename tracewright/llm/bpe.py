@@ -16,12 +16,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import TwoAges, byte_runs, pick
+from .common import TwoAges, byte_runs, held, pick
 
 
 HEAD = 6
@@ -232,10 +231,9 @@ class TextBuffer:
         return [i for _, _, ids in self.pieces for i in ids]
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str, pattern: str) -> Tokenizer:
     """One for each worker process; its caches outlive a task and are bounded."""
-    return Tokenizer(path, pattern)
+    return held(("bpe", path, pattern), lambda: Tokenizer(path, pattern))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -65,6 +65,17 @@ def byte_runs(column, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
         yield start, col.slice(start, len(sizes) - start).to_pylist()
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """make(), kept in this worker process over tasks; a worker holds one such thing at a time, so stages don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class TwoAges(dict):
     """A cache of bounded size: when full, the younger half ages and the older half goes."""
 

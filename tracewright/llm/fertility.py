@@ -9,13 +9,12 @@ noise, encoded data and endless repetition lie outside.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, byte_runs, pick
+from .common import BLANKS, byte_runs, held, pick
 from .words import HashTable, code_points, repeated_words, split
 
 
@@ -52,7 +51,7 @@ _NOT_SYMBOLS = bytes(sorted(set(range(256)) - set(SYMBOLS)))
 class FertilityTable(HashTable):
     """Words with their hashes and tokens."""
 
-    def __init__(self, model: str, most: int = 400_000):
+    def __init__(self, model: str, most: int = 250_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -89,9 +88,8 @@ class FertilityTable(HashTable):
         return self.flat[np.repeat(self.start[slots] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
 
-@lru_cache(maxsize=2)
 def fertility_table(model: str) -> FertilityTable:
-    return FertilityTable(model)
+    return held(("fertility", model), lambda: FertilityTable(model))
 
 
 def entropy_bits(counts: np.ndarray) -> float:
