@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import paths, text
-from ..operators import community, coverage, diff, entry, fold, layout, links, ranked, records, review, risk, scope, traverse
+from ..operators import canvas, community, coverage, diff, entry, fold, layout, links, ranked, records, review, risk, scope, traverse
 from ..sources import diffs, findings, lcov, query_text, scans
 from . import graph_view as g
 from . import sql as q
@@ -449,6 +449,40 @@ def node_type_uses(spark, d):
     return out.select("id", F.array_join(F.array_sort(F.transform("uses_types", lambda x: F.concat(x["name"], F.lit("|"), x["id"]))), ",").alias("uses_types"))
 
 
+@query("folded_canvas_links", _with(q.NODES, q.EDGES, _TYPES, _MODULES, "mn AS (SELECT id FROM nodes WHERE kind NOT IN ('Module', 'Interface', 'Type'))") + "SELECT DISTINCT id AS src, type AS dst FROM ub WHERE id IN (SELECT id FROM mn) AND id NOT IN (SELECT id FROM mo) UNION SELECT mo.file, e.dst FROM edges e JOIN mo ON mo.id = e.src WHERE e.dst IN (SELECT id FROM mn)")
+def folded_canvas_links(spark, d):
+    """JOIN-23, AGG-08"""
+    m = fold.modules(g.nodes(spark, d), g.edges(spark, d))
+    t = fold.types(m["nodes"], m["edges"], spark.createDataFrame([], "source string, target string"))
+    return canvas.folded_elements(t["nodes"], t["types"], t["used_by"], m["modules"], m["uses"])[1]
+
+
+@query("signals_by_node", _with(q.NODES) + "SELECT id, CAST((complexity IS NOT NULL)::INTEGER + (cognitive IS NOT NULL)::INTEGER AS INTEGER) AS signals FROM nodes")
+def signals_by_node(spark, d):
+    """JOIN-29"""
+    n = g.nodes(spark, d)
+    return canvas.attach_signals(n.select("id"), risk.signals(n)).select("id", F.size("signals").alias("signals"))
+
+
+@query("neighbours_shown", _with(q.EDGES, "nb AS (SELECT DISTINCT dst AS id, src AS other FROM edges)") + "SELECT id, other, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other) AS rank, count(*) OVER (PARTITION BY id) AS total FROM nb) WHERE rank <= 50")
+def neighbours_shown(spark, d):
+    """TOP-15"""
+    nb = traverse.neighbours(g.nodes(spark, d), g.edges(spark, d)).filter("side = 'caller'").select("id", "other")
+    return canvas.shown(nb, "neighbours", ["id"], ["other"])
+
+
+@query("reach_upper_bounds")
+def reach_upper_bounds(spark, d):
+    """TRV-11"""
+    return canvas.reach_upper_bounds(g.nodes(spark, d), traverse.valid_edges(g.nodes(spark, d), g.edges(spark, d)))
+
+
+@query("event_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM events")
+def event_times(spark, d):
+    """FN-13"""
+    return g.table(spark, d, "events").select("event_id", text.iso_time("ts").alias("at"))
+
+
 @query("path_prefix_rollup", _with(q.NODES, "p AS (SELECT string_split(file, '/') AS s FROM nodes), x AS (SELECT s, unnest(range(1, len(s))) AS depth FROM p)") + "SELECT array_to_string(s[1:depth], '/') AS directory, CAST(depth AS INTEGER) AS depth, count(*) AS nodes FROM x GROUP BY 1, 2")
 def path_prefix_rollup(spark, d):
     """COM-06's roll-up along a path"""

@@ -1,0 +1,50 @@
+"""What the driver reads on its own machine before a job: SRC-35 to SRC-37. Nothing here runs on executors."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import subprocess
+
+
+def git_root(folder: str, depth: int = 3) -> str | None:
+    """SRC-35: the folder itself, else the nearest ancestor, else the first child down to depth that is a repository."""
+    at = os.path.abspath(folder)
+    while True:
+        if os.path.exists(os.path.join(at, ".git")):
+            return at
+        up = os.path.dirname(at)
+        if up == at:
+            break
+        at = up
+    level = [os.path.abspath(folder)]
+    for _ in range(depth):
+        level = [e.path for d in level if os.path.isdir(d) for e in sorted(os.scandir(d), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not e.name.startswith(".")]
+        for d in level:
+            if os.path.exists(os.path.join(d, ".git")):
+                return d
+    return None
+
+
+def captured(file: str, args: list[str], cwd: str | None = None, timeout: float = 30.0, most: int = 20 << 20) -> tuple[str, str]:
+    """SRC-36: ok, failed or timed-out, and the output; arguments never pass a shell."""
+    try:
+        got = subprocess.run([file, *args], cwd=cwd, capture_output=True, timeout=timeout, check=False)
+    except subprocess.TimeoutExpired:
+        return "timed-out", ""
+    except OSError as e:
+        return "failed", str(e)
+    if got.returncode or len(got.stdout) > most:
+        return "failed", got.stderr.decode("utf-8", "replace")
+    return "ok", got.stdout.decode("utf-8", "replace")
+
+
+def verified(path: str, sha256: str) -> bool:
+    """SRC-37: whether the file is there and has the digest."""
+    if not os.path.isfile(path):
+        return False
+    h = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            h.update(part)
+    return h.hexdigest() == sha256.lower()
