@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -46,30 +47,41 @@ def segments(file: Column | str) -> Column:
     return F.aggregate(F.split(f, r"[\\/]+"), start, step)
 
 
-def _parts(file: Column | str) -> tuple[Column, Column, Column]:
-    p = segments(file)
-    base = F.when(F.size(p["segments"]) > 0, F.element_at(p["segments"], -1))
-    directories = F.transform(F.slice(p["segments"], 1, F.greatest(F.size(p["segments"]) - 1, F.lit(0))), F.lower)
-    return base, directories, p["inside"]
+def _with_parts(file: Column | str, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """use(base name, lower-cased directories, inside), with the path split once."""
+
+    def told(p: Column) -> Column:
+        n = F.size(p["segments"])
+        return use(F.try_element_at(p["segments"], F.lit(-1)), F.transform(F.slice(p["segments"], 1, F.greatest(n - 1, F.lit(0))), F.lower), p["inside"])
+
+    return F.element_at(F.transform(F.array(segments(file)), told), 1)
 
 
 _SUPPORT = r"(?i)^(" + "|".join(s.replace(".", r"\.") for s in S.TEST_SUPPORT_STEMS) + r")\.[cm]?[jt]sx?$"
 
 
+_NAMES = "|".join(f"(?:{p})" for p in (*S.TEST_FILE_PATTERNS, _SUPPORT))
+
+
 def is_test_path(file: Column | str) -> Column:
     """FLT-12: test code by its file name; inside the project also by its directories."""
-    base, directories, inside = _parts(file)
-    by_name = reduce(or_, [base.rlike(p) for p in S.TEST_FILE_PATTERNS]) | base.rlike(_SUPPORT)
-    by_place = F.exists(directories, lambda d: d.isin(*S.TEST_DIRECTORIES) | d.endswith(".tests"))
-    loader = F.array_contains(directories, "scripts") & base.rlike("(?i)test-?loader")
-    return F.coalesce(by_name | (inside & (by_place | loader)), F.lit(False))
+
+    def told(base: Column, directories: Column, inside: Column) -> Column:
+        by_place = F.exists(directories, lambda d: d.isin(*S.TEST_DIRECTORIES) | d.endswith(".tests"))
+        loader = F.array_contains(directories, "scripts") & base.rlike("(?i)test-?loader")
+        return F.coalesce(base.rlike(_NAMES) | (inside & (by_place | loader)), F.lit(False))
+
+    return F.coalesce(_with_parts(file, told), F.lit(False))
 
 
 def is_test_support(file: Column | str) -> Column:
     """FLT-13: test code that isn't a test itself."""
-    base, directories, inside = _parts(file)
-    by_place = F.array_contains(directories, "__mocks__") | (F.array_contains(directories, "scripts") & base.rlike("(?i)test-?loader"))
-    return F.coalesce(base.rlike(_SUPPORT) | base.rlike(r"(?i)^conftest\.py$") | (inside & by_place), F.lit(False))
+
+    def told(base: Column, directories: Column, inside: Column) -> Column:
+        by_place = F.array_contains(directories, "__mocks__") | (F.array_contains(directories, "scripts") & base.rlike("(?i)test-?loader"))
+        return F.coalesce(base.rlike(_SUPPORT) | base.rlike(r"(?i)^conftest\.py$") | (inside & by_place), F.lit(False))
+
+    return F.coalesce(_with_parts(file, told), F.lit(False))
 
 
 def is_test_node(file: Column | str = "file", flagged: Column | str = "is_test") -> Column:
