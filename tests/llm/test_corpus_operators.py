@@ -328,3 +328,13 @@ def test_pipeline(spark):
     want = {i: len(enc.encode_ordinary(texts[i])) for i in chosen}
     got = cp.run(spark, sf).collect()
     assert {r.doc_id: r.n_tokens for r in got} == want and all(r.round_trip for r in got)
+
+
+def test_tables_are_released(spark):
+    from tracewright.llm.common import release, written
+
+    df = written(spark.range(3), "x")
+    assert df.count() == 3
+    release(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist|FileNotFound|NOT_FOUND"):
+        df.collect()
