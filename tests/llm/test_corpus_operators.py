@@ -256,6 +256,19 @@ def test_cross_entropy_difference(spark, most):
     assert ngram_lm.score(frame(spark, []), frame(spark, [])).count() == 0
 
 
+def test_cross_entropy_of_a_large_vocabulary(spark):
+    r = random.Random(5)
+    pool = [f"w{i}" for i in range(3000)]
+    target = [" ".join(r.sample(pool, len(pool))) for _ in range(2)]
+    common = " ".join(["w"] * 3)
+    texts = [*target, f"{common} w2900 w2999 w2500", f"{common} w2900 w2999 never", "w2999", None]
+    want = plain_scores(texts, target, None)
+    got = {x.doc_id: x for x in ngram_lm.score(frame(spark, texts), frame(spark, target)).collect()}
+    for i, (n, t, b) in enumerate(want[:-1]):
+        assert (got[i].n_tokens, got[i].target_loss, got[i].background_loss) == (n, pytest.approx(t), pytest.approx(b))
+    assert got[2].ce_diff != pytest.approx(got[3].ce_diff) and got[5].n_tokens == 0 and got[5].ce_diff is None
+
+
 def test_score_tells_noise_from_good(spark):
     from tracewright.llm.queries import op1_cross_entropy_difference
 

@@ -4,29 +4,30 @@ Two bigram models of the same kind share one vocabulary: one of the target texts
 A document's score is the mean, over its tokens, of the target's loss less the background's. Low
 scores are more like the target.
 
-The vocabulary is the most frequent words of the target, up to a parameter, plus one token for all
-other words. So a model is a square table of a size fixed beforehand, and the difference of two is
-one table that every worker can hold. Counts cover every word of every text; each task sends its own
-counts of pairs, summed.
+The vocabulary is every word that occurs twice or more in the target, plus one token for all other
+words, so it grows with the corpus. Both models are tables of words and of the pairs seen. Texts are
+held in blocks of a few MB; a block asks the tables once for each of its words, then once for each of
+its pairs, so neither a task nor the driver holds a model.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_runs, pick
-from .words import split
+from .common import byte_runs, pick, written
+from .words import _ODD, mix, split
 
-#: Words in the vocabulary; the table broadcast has (VOCABULARY + 2)² numbers of 8 bytes, for each model.
-VOCABULARY = 2046
 #: Weight of the pair's own frequency against the word's, and what is added to each word's count.
 PAIR_WEIGHT, ADDED = 0.7, 0.5
+#: Ids within a block: the start of a text, any word not listed, then the block's listed words.
+START, UNKNOWN, LISTED = 0, 1, 2
 
 
-def target_words(target: DataFrame, text_col: str, most: int = VOCABULARY) -> list[bytes]:
+def target_words(target: DataFrame, text_col: str, most: int) -> list[bytes]:
     """The words that occur twice or more in the target, most frequent first, then by their bytes; `most` at most."""
 
     def run(batches):
@@ -44,95 +45,154 @@ def target_words(target: DataFrame, text_col: str, most: int = VOCABULARY) -> li
     return [bytes(r[0]) for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-class Vocabulary:
-    """Ids of words: 0 the start of a text, 1 any word not listed."""
-
-    def __init__(self, words: list[bytes]):
-        self.index = {w: i + 2 for i, w in enumerate(words)}
-        self.size = len(words) + 2
+def word_hash(word: bytes) -> int:
+    x = xxhash.xxh3_64_intdigest(word)
+    return x - (1 << 64) if x >> 63 else x
 
-    def pairs(self, data: bytes) -> np.ndarray:
-        """For each word, the id of the one before it times the size, plus its own."""
-        get = self.index.get
-        ids = np.array([0, *[get(w, 1) for w in split(data)]], np.int64)
-        return ids[:-1] * self.size + ids[1:]
 
+def _blocks(docs: DataFrame, id_col: str, text_col: str, target: bool) -> DataFrame:
+    """One row for each block of texts: its ids (none for the target), words a text, each word's place in `words`.
 
-def pair_counts(docs: DataFrame, text_col: str, words) -> DataFrame:
-    """(pair, n) over all texts. words: a broadcast list."""
+    words are hashes; n and last count how often each occurs, and how often as a text's last word.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        v = Vocabulary(words.value)
-        total = np.zeros(v.size * v.size, np.int64)
+        k, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for _, texts in byte_runs(batch.column(0)):
-                got = [v.pairs(data) for data in texts if data]
-                if got:
-                    total += np.bincount(np.concatenate(got), minlength=len(total))
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 18):
-            part = at[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["pair", "n"])
+            for at, texts in byte_runs(batch.column(1)):
+                index: dict[bytes, int] = {}
+                place = index.setdefault
+                lens, toks = [], []
+                for data in texts:
+                    ws = split(data or b"")
+                    lens.append(len(ws))
+                    toks.append(np.fromiter((place(w, len(index)) for w in ws), np.int32, len(ws)))
+                flat = np.concatenate(toks)
+                last = np.array([t[-1] for t in toks if len(t)], np.int64)
+                words = pa.array(np.fromiter(map(word_hash, index), np.int64, len(index)))
+                counts = [np.bincount(x, minlength=len(index)).astype(np.int32) for x in (flat, last)]
+                ids = batch.column(0).slice(at, 0 if target else len(texts))
+                lists = [ids, pa.array(lens, pa.int32()), pa.array(flat), words, *map(pa.array, counts)]
+                row = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+                number = ((part << 24) + k) * 2 + target
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([target]), pa.array([len(last)], pa.int64()), *row], names=["block", "target", "starts", "ids", "lens", "toks", "words", "n", "last"])
+                k += 1
 
-    return pick(docs, text_col).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    kind = dict(docs.dtypes)[id_col]
+    return pick(docs, id_col, text_col).mapInArrow(run, f"block long, target boolean, starts long, ids array<{kind}>, lens array<int>, toks array<int>, words array<long>, n array<int>, last array<int>")
 
 
-def losses(counts: np.ndarray, weight: float = PAIR_WEIGHT, added: float = ADDED) -> np.ndarray:
-    """Loss in nats of each word after each word, from a square table of pair counts.
+def _one(table, name: str) -> np.ndarray:
+    """The list in the only row of a table."""
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    The word's own frequency has `added` on each count; a word that never preceded another has no
-    pair frequency, so its weight goes to the words' own.
-    """
-    size = len(counts)
-    word = counts.sum(0, dtype=np.float64)
-    single = (word + added) / (word.sum() + added * size)
-    before = counts.sum(1, dtype=np.float64)[:, None]
-    pair = np.divide(counts, before, out=np.zeros(counts.shape), where=before > 0)
-    return -np.log(np.where(before > 0, weight * pair + (1 - weight) * single, single))
 
+def _pairs(lens: np.ndarray, toks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a block (first, second), the pair of each token, and how often each occurs."""
+    before = np.empty(len(toks), np.int64)
+    before[1:] = toks[:-1]
+    starts = np.cumsum(lens) - lens
+    before[starts[lens > 0]] = START
+    code, of, n = np.unique(before * size + toks, return_inverse=True, return_counts=True)
+    return code // size, code % size, of, n
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None) -> DataFrame:
     """Cross-entropy difference of each row of docs.
 
-    target holds texts in the same column. Returns id_col, n_tokens long, target_loss and
-    background_loss (mean nats a token), ce_diff (their difference); the three are null for a text
-    without words. An empty target gives a vocabulary without words: all losses are then those of
-    the one unknown token. Null text: no words. Null ids and repeated rows are kept; each occurrence
-    counts. Columns not named are not read.
+    target holds texts in the same column. vocabulary: if given, only so many of the target's words
+    are listed, the most frequent. Returns id_col, n_tokens long, target_loss and background_loss
+    (mean nats a token), ce_diff (their difference); the three are null for a text without words. An
+    empty target gives a vocabulary without words: all losses are then those of the one unknown
+    token. Null text: no words. Null ids and repeated rows are kept; each occurrence counts. Columns
+    not named are not read. Words and pairs are known by 64-bit hashes.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    listed = target_words(target, text_col, vocabulary)
-    words = sc.broadcast(listed)
-    size = len(listed) + 2
-    tables = []
-    for texts in (target, docs):
-        # at most size² rows, a number fixed by the vocabulary's
-        counts = np.zeros(size * size, np.int64)
-        got = pair_counts(texts, text_col, words).toArrow()
-        counts[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-        tables.append(losses(counts.reshape(size, size)).ravel())
-    losses_of = sc.broadcast(tables)
+    kind = dict(docs.dtypes)[id_col]
+    of_target = target.select(F.lit(None).cast(kind).alias(id_col), text_col)
+    blocks = written(_blocks(docs, id_col, text_col, False).unionByName(_blocks(of_target, id_col, text_col, True)), "blocks")
+
+    words = blocks.select("block", "target", F.posexplode(F.arrays_zip("words", "n", "last")).alias("i", "x")).select("block", "target", "i", F.col("x.words").alias("h"), F.col("x.n").alias("n"), F.col("x.last").alias("last"))
+    summed = lambda c, side: F.sum(F.when(F.col("target") == side, F.col(c)).otherwise(0)).alias(f"{c}_{'t' if side else 'b'}")
+    stats = words.groupBy("h").agg(*[summed(c, side) for side in (True, False) for c in ("n", "last")])
+    if vocabulary is None:
+        stats = stats.withColumn("listed", F.col("n_t") >= 2)
+    else:
+        chosen = spark.createDataFrame([(word_hash(w),) for w in target_words(target, text_col, vocabulary)], "h long")
+        stats = stats.join(chosen.withColumn("listed", F.lit(True)), "h", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    stats = written(stats, "words")
+    sides = ("t", "b")
+    total = stats.agg(F.count_if("listed").alias("words"), *[F.coalesce(F.sum(F.when(F.col("listed") | F.lit(whole), F.col(f"{c}_{s}"))), F.lit(0)).alias(f"{c}_{s}_{whole}") for s in sides for c in ("n", "last") for whole in (True, False)]).first()
+    starts = {r["target"]: r["s"] for r in blocks.groupBy("target").agg(F.sum("starts").alias("s")).collect()}
+    size = total["words"] + 2
+    n_all = {s: total[f"n_{s}_True"] for s in sides}
+    #: the word's own count, and how often it precedes another, of START and UNKNOWN
+    own = {s: [0, n_all[s] - total[f"n_{s}_False"]] for s in sides}
+    leads = {s: [starts.get(s == "t", 0), own[s][1] - total[f"last_{s}_True"] + total[f"last_{s}_False"]] for s in sides}
+
+    answers = words.select("block", "i", "h").join(stats.filter("listed").drop("listed"), "h").select(F.col("block").alias("asker"), "i", *[F.col(f"n_{s}") for s in sides], *[(F.col(f"n_{s}") - F.col(f"last_{s}")).alias(f"lead_{s}") for s in sides])
+    lists = ["words", "n_t", "n_b", "lead_t", "lead_b"]
+
+    def listed(block, answer):
+        import pyarrow as pa
 
-    def run(batches):
+        at = answer.column("i").to_numpy()
+        order = np.argsort(at)
+        at = at[order]
+        place = np.full(len(_one(block, "words")), UNKNOWN, np.int32)
+        place[at] = LISTED + np.arange(len(at), dtype=np.int32)
+        cols = [place[_one(block, "toks")], _one(block, "words")[at], *[answer.column(c).to_numpy()[order] for c in lists[1:]]]
+        rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in cols]
+        return pa.Table.from_arrays([*[block.column(c) for c in ("block", "target", "ids", "lens")], *rows], names=["block", "target", "ids", "lens", "toks", *lists])
+
+    schema = f"block long, target boolean, ids array<{kind}>, lens array<int>, toks array<int>, " + ", ".join(f"{c} array<long>" for c in lists)
+    known = written(blocks.drop("starts", "n", "last").groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(listed, schema), "known")
+
+    def asked(batches):
         import pyarrow as pa
 
-        v = Vocabulary(words.value)
-        t, b = losses_of.value
         for batch in batches:
-            n, tl, bl = [], [], []
-            for _, texts in byte_runs(batch.column(1)):
-                for data in texts:
-                    p = v.pairs(data or b"")
-                    n.append(len(p))
-                    tl.append(float(t[p].mean()) if len(p) else None)
-                    bl.append(float(b[p].mean()) if len(p) else None)
-            diff = [None if x is None else x - y for x, y in zip(tl, bl, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.float64()) for x in (tl, bl, diff)]], names=["id", "n_tokens", "target_loss", "background_loss", "ce_diff"])
+            for k in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(k, 1)])
+                names = np.concatenate([np.array([1, 2], np.uint64), _one(row, "words").view(np.uint64)])
+                a, b, _, n = _pairs(_one(row, "lens"), _one(row, "toks"), len(names))
+                pair = mix(names[a] * _ODD + names[b]).view(np.int64)
+                block, side = row.column("block")[0].as_py(), row.column("target")[0].as_py()
+                for i in range(0, len(pair), 1 << 18):
+                    part = pair[i : i + (1 << 18)]
+                    cols = [part, np.full(len(part), block, np.int64), np.arange(i, i + len(part), dtype=np.int32), n[i : i + len(part)].astype(np.int32), np.full(len(part), side)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["pair", "block", "i", "n", "target"])
+
+    pairs = known.select("block", "target", "lens", "toks", "words").mapInArrow(asked, "pair long, block long, i int, n int, target boolean")
+    same = Window.partitionBy("pair")
+    counted = pairs.select(F.col("block").alias("asker"), "i", "target", *[F.sum(F.when(F.col("target") == (s == "t"), F.col("n")).otherwise(0)).over(same).alias(f"n_{s}") for s in sides]).filter("NOT target").drop("target")
+
+    def scored(block, answer):
+        import pyarrow as pa
 
-    kind = dict(docs.dtypes)[id_col]
-    out = pick(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, ce_diff double")
+        lens, toks = _one(block, "lens"), _one(block, "toks")
+        a, b, of, _ = _pairs(lens, toks, len(_one(block, "words")) + LISTED)
+        at = answer.column("i").to_numpy()
+        full = lens > 0
+        from_ = (np.cumsum(lens) - lens)[full]
+        means = []
+        for s in sides:
+            count = np.zeros(len(a))
+            count[at] = answer.column(f"n_{s}").to_numpy()
+            word = np.concatenate([own[s], _one(block, f"n_{s}")]).astype(float)
+            lead = np.concatenate([leads[s], _one(block, f"lead_{s}")]).astype(float)[a]
+            single = ((word + ADDED) / (n_all[s] + ADDED * size))[b]
+            # a word that never preceded another has no pair frequency, so its weight goes to the words' own
+            share = np.divide(count, lead, out=np.zeros(len(a)), where=lead > 0)
+            loss = -np.log(np.where(lead > 0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single, single))
+            mean = np.zeros(len(lens))
+            if len(from_):
+                mean[full] = np.add.reduceat(loss[of], from_) / lens[full]
+            means.append(mean)
+        cols = [pa.array(x, pa.float64(), mask=~full) for x in (*means, means[0] - means[1])]
+        return pa.Table.from_arrays([block.column("ids").combine_chunks().flatten(), pa.array(lens, pa.int64()), *cols], names=["id", "n_tokens", "target_loss", "background_loss", "ce_diff"])
+
+    out = known.filter("NOT target").groupBy("block").cogroup(counted.groupBy("asker")).applyInArrow(scored, f"id {kind}, n_tokens long, target_loss double, background_loss double, ce_diff double")
     return out.withColumnRenamed("id", id_col)
