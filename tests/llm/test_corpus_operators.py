@@ -198,6 +198,30 @@ def test_line_dedup_of_frequent_passage(spark):
     assert all(r.n_deleted == 0 for r in line_align.dedup_lines(frame(spark, few)).collect())
 
 
+def all_pairs_line_dedup(texts, least=30):
+    lines = [t.split("\n") for t in texts]
+    code = {}
+    hashed = [[code.setdefault(x, len(code) + 1) if x.split() else 0 for x in ls] for ls in lines]
+    words = [[len(x.split()) for x in ls] for ls in lines]
+    return [sorted({p for e in range(d) for a, b in line_align.common_blocks(hashed[d], words[d], hashed[e], least) for p in range(a, b)}) for d in range(len(texts))]
+
+
+def test_line_dedup_finds_every_earlier_holder(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(20)) for c in "xy")
+    texts = [x, y, *[f"own text {i}\n{x}\n{y}" for i in range(69)]]
+    got = {r.doc_id: r.deleted for r in line_align.dedup_lines(frame(spark, texts)).collect()}
+    assert not got[0] and not got[1] and not got[2] and all(got[i] == [1, 2] for i in range(3, 71))
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    r = random.Random(12)
+    pool = [" ".join(f"w{i}x{k}" for k in range(r.choice([3, 8, 20, 31]))) for i in range(14)] + ["", " "]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 9))) for _ in range(160)]
+    got = {x.doc_id: x.deleted for x in line_align.dedup_lines(frame(spark, texts)).collect()}
+    want = all_pairs_line_dedup(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum(map(bool, want)) > 50
+
+
 def test_patience():
     assert line_align.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_align.patience([5, 1, 2, 3], [1, 2, 3, 5]) in ([(1, 0), (2, 1), (3, 2)], [(0, 3)])

@@ -1,9 +1,10 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are paired: each with the earliest document that has the line and, where
-the line is rare, with the nearest earlier one. Each pair's lines are aligned by patience diff, and
-common blocks of enough words are deleted from the later document. The earliest document of a block
-keeps it. Only hashes of lines move until the texts are cut.
+Documents are paired by the hashes of runs of consecutive lines that just hold enough words for a
+block: each with the first document that has the run and, for runs that this alignment leaves, with
+every earlier one of another content. Each pair's lines are aligned by patience diff, and common
+blocks of enough words are deleted from the later document: the result is that of aligning all
+pairs. The earliest document of a block keeps it. Only hashes of lines move until the texts are cut.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from bisect import bisect_left
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_runs, written
+from .words import _ODD, mix
 
-#: A block of fewer words stays. A line of at most RARE documents pairs neighbours, too.
-BLOCK_WORDS, RARE = 30, 64
+#: A block of fewer words stays.
+BLOCK_WORDS = 30
+_ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
 def _signed(x: int) -> int:
@@ -95,6 +98,32 @@ def common_blocks(a: list[int], words: list[int], b: list[int], least: int = BLO
     return out
 
 
+def block_runs(lens: np.ndarray, hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, 64-bit hash, start and end of each run of lines that no line can be taken from, at its end or at its start, if `least` words are to stay.
+
+    The texts' lines follow each other in hashes and words. Every line of a common block lies in a
+    run within the block: in one from its first line, or in one up to the line itself.
+    """
+    n = len(words)
+    text = np.repeat(np.arange(len(lens)), lens)
+    to = np.cumsum(lens)[text]
+    held = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.searchsorted(held, held[:-1] + least, "left")
+    starts = np.searchsorted(held, held[1:] - least, "right") - 1
+    forward, back = ends <= to, starts >= to - lens[text]
+    s, e = np.divmod(np.unique(np.concatenate([np.flatnonzero(forward) * (n + 1) + ends[forward], starts[back] * (n + 1) + np.flatnonzero(back) + 1])), n + 1)
+    powers = lambda x: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * powers(_ODD)[:-1], dtype=np.uint64)])
+    return text[s], mix((sums[e] - sums[s]) * powers(_ODD_INVERSE)[s] + mix((e - s).astype(np.uint64))).view(np.int64), s, e
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of a column's lists (0 for null), and all their values."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """nul, id, fp and, for each line, its hash (0: no word) and number of words; one row for each id and text."""
 
@@ -123,24 +152,28 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 KEY = ["nul", "id", "fp"]
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
-    """nul, id, fp (the document: id is null, id, hash of the text) and gone: places of its lines to delete, rising.
+def _runs(recs: DataFrame, least: int) -> DataFrame:
+    """doc, same (a hash of all its lines) and r, for each run of each document."""
 
-    Documents are in order of their ids, those without an id last; rows of the same id and text are
-    one document, so repeated rows don't delete each other's lines.
-    """
-    recs = written(_lines(_keyed(docs, id_col, text_col)).dropDuplicates(KEY), "lines")
-    me = F.struct(*KEY)
-    occ = recs.select(me.alias("doc"), F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("doc", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).filter("h != 0")
-    occ = occ.groupBy("h", "doc").agg(F.sum("w").alias("w"))
-    stats = occ.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1")
-    shared = written(occ.join(stats, "h").filter("doc != first OR n <= " + str(rare)), "shared")
-    # a document whose lines that occur earlier hold too few words in all has no block
-    able = shared.filter("doc != first").groupBy("doc").agg(F.sum("w").alias("w")).filter(F.col("w") >= block_words).select("doc")
-    nearest = shared.filter(F.col("n") <= rare).select("h", "doc", F.lag("doc").over(Window.partitionBy("h").orderBy("doc")).alias("other"))
-    pairs = shared.select("doc", F.col("first").alias("other")).unionByName(nearest.select("doc", "other").filter("other IS NOT NULL"))
-    pairs = pairs.filter("doc != other").join(able, "doc", "left_semi").distinct()
-    side = recs.select(me.alias("doc"), "hashes", "words")
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lens, hashes = _flat(batch.column(1))
+            of, r, _, _ = block_runs(lens, hashes, _flat(batch.column(2))[1], least)
+            to = np.cumsum(lens)
+            same = np.array([_signed(xxhash.xxh3_64_intdigest(hashes[a:b].tobytes())) for a, b in zip(to - lens, to, strict=True)], np.int64)
+            for i in range(0, len(r), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[part])), pa.array(same[of[part]]), pa.array(r[part])], names=["doc", "same", "r"])
+
+    side = recs.select(F.struct(*KEY).alias("doc"), "hashes", "words")
+    return side.mapInArrow(run, f"doc {dict(side.dtypes)['doc']}, same long, r long")
+
+
+def _aligned(pairs: DataFrame, recs: DataFrame, least: int) -> DataFrame:
+    """doc and gone: the places of its lines that some of its pairs (doc, other) deletes."""
+    side = recs.select(F.struct(*KEY).alias("doc"), "hashes", "words")
     pairs = pairs.join(side, "doc").join(side.select(F.col("doc").alias("other"), F.col("hashes").alias("theirs")), "other")
 
     def run(batches):
@@ -149,16 +182,59 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         for batch in batches:
             keep, gone = [], []
             for k in range(batch.num_rows):
-                blocks = common_blocks(batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), block_words)
+                blocks = common_blocks(batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), least)
                 if blocks:
                     keep.append(k)
                     gone.append([x for a, b in blocks for x in range(a, b)])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
 
-    doc_type = dict(pairs.dtypes)["doc"]
-    found = pairs.select("doc", "hashes", "words", "theirs").mapInArrow(run, f"doc {doc_type}, gone array<int>")
-    places = found.select("doc", F.explode("gone").alias("p")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("p")).alias("gone"))
-    return places.select("doc.*", "gone")
+    found = pairs.select("doc", "hashes", "words", "theirs").mapInArrow(run, f"doc {dict(pairs.dtypes)['doc']}, gone array<int>")
+    return found.select("doc", F.explode("gone").alias("p")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("p")).alias("gone"))
+
+
+def _left(shared: DataFrame, gone: DataFrame, recs: DataFrame, least: int) -> DataFrame:
+    """doc and r of shared runs that are not deleted everywhere in the document."""
+    side = recs.select(F.struct(*KEY).alias("doc"), "hashes", "words")
+    rows = shared.groupBy("doc").agg(F.collect_list("r").alias("rs")).join(side, "doc").join(gone, "doc", "left")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lens, hashes = _flat(batch.column(1))
+            of, r, s, e = block_runs(lens, hashes, _flat(batch.column(2))[1], least)
+            n, gone = _flat(batch.column(4))
+            deleted = np.zeros(len(hashes), np.int64)
+            deleted[np.repeat(np.cumsum(lens) - lens, n) + gone] = 1
+            held = np.concatenate([[0], np.cumsum(deleted)])
+            n, asked = _flat(batch.column(3))
+            key = lambda x, texts: mix(x.view(np.uint64) + mix(texts.astype(np.uint64)))
+            some = (held[e] - held[s] < e - s) & np.isin(key(r, of), key(asked, np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[some])), pa.array(r[some])], names=["doc", "r"])
+
+    return rows.select("doc", "hashes", "words", "rs", "gone").mapInArrow(run, f"doc {dict(side.dtypes)['doc']}, r long")
+
+
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int | None = None) -> DataFrame:
+    """nul, id, fp (the document: id is null, id, hash of the text) and gone: places of its lines to delete, rising.
+
+    Documents are in order of their ids, those without an id last; rows of the same id and text are
+    one document, so repeated rows don't delete each other's lines. rare has no effect any more.
+    """
+    recs = written(_lines(_keyed(docs, id_col, text_col)).dropDuplicates(KEY), "lines")
+    runs = _runs(recs, block_words)
+    firsts = runs.groupBy("r").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").drop("last")
+    held = written(runs.join(firsts, "r"), "runs")
+    shared = held.filter("doc != first")
+    gone = written(_aligned(shared.select("doc", F.col("first").alias("other")).distinct(), recs, block_words), "aligned")
+    left = written(_left(shared, gone, recs, block_words), "left")
+    if not left.isEmpty():
+        # documents of the same lines align alike, so the first of them stands for all
+        others = held.filter("doc != first").groupBy("r", "same").agg(F.min("doc").alias("other"))
+        pairs = left.distinct().join(others, "r").filter("other < doc").select("doc", "other").distinct()
+        more = _aligned(pairs, recs, block_words)
+        gone = gone.unionByName(more).groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return gone.select("doc.*", "gone")
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
@@ -174,7 +250,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     return rows.withColumn("left", F.when(F.col("gone").isNull(), F.col(at[text_col])).otherwise(left)), at
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int | None = None) -> DataFrame:
     """Each row of docs with what alignment deletes.
 
     Returns id_col, n_lines, n_deleted (long), text (what is left), deleted (array of line places).
