@@ -136,6 +136,20 @@ def test_quality_keeps_good_and_rejects_noise(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_quality_without_a_known_language(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    lab = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(lab, "doc_id")
+    for lang in (F.lit(None).cast("string"), F.lit("xx"), F.concat(F.upper("lang"), F.lit("-US"))):
+        got = fertility.measure(docs.withColumn("lang", lang), PIECES, keep=("quality",)).filter("NOT base_failed").toPandas()
+        assert got[got.quality == 1].kept.mean() > 0.995 and got[got.quality == 0].kept.mean() < 0.4
+    band = lambda lang, text: fertility.band_of(fertility.BANDS, lang, text.encode(), len(text))
+    assert band(None, "日本語の文") is band("ja", "это текст") is fertility.BANDS[None]
+    assert band("EN", "x") is band("en_GB", "日") is fertility.BANDS["en"]
+
+
 def test_repeated_words_edges():
     import numpy as np
 

@@ -32,19 +32,23 @@ class Band:
 
 
 _FLOOR = ((6.5, 5.05), (7.5, 5.4), (8.5, 5.8), (9.5, 6.05), (10.5, 6.27), (11.5, 6.4), (12.5, 6.48))
-#: By language; None for those not listed. The floors lie below every document labelled good at the
+#: By language. For those not listed: LATIN, as wide as the listed ones together, for texts mostly of
+#: ASCII characters; None for other scripts. The floors lie below every document labelled good at the
 #: sizes looked at, the symbol noise and the repetition below them.
+LATIN = "latin"
 BANDS: dict[str | None, Band] = {
     "en": Band(1.5, 5.0, 0.05, ((6.5, 5.05), (7.5, 5.5), (8.5, 5.88), (9.5, 6.2), (10.5, 6.45), (11.5, 6.62), (12.5, 6.7))),
     "fr": Band(1.4, 5.0, 0.05, _FLOOR),
     "de": Band(1.4, 5.0, 0.05, _FLOOR),
     "es": Band(1.4, 5.0, 0.05, _FLOOR),
+    LATIN: Band(1.4, 5.0, 0.05, _FLOOR),
     None: Band(0.3, 8.0, 0.6, ((6.5, 3.0), (12.5, 4.0))),
 }
 #: Texts of fewer tokens are not judged by bands.
 MIN_TOKENS = 64
 
 SYMBOLS = b"#*$%&|<>"
+_NOT_ASCII = bytes(range(0x80, 0x100))
 _NOT_SYMBOLS = bytes(sorted(set(range(256)) - set(SYMBOLS)))
 
 
@@ -117,13 +121,22 @@ def judge(band: Band, n_tokens: int, chars: float, fallback: float, entropy: flo
     return band.min_chars <= chars <= band.max_chars and fallback <= band.max_fallback and entropy >= float(np.interp(np.log2(n_tokens), at, bits))
 
 
+def band_of(bands: dict[str | None, Band], lang: str | None, data: bytes, chars: int) -> Band:
+    """The band of the language, whatever its case and region; of a text without a listed language, that of its script."""
+    code = (lang or "").strip().lower().replace("_", "-").split("-")[0]
+    if code in bands:
+        return bands[code]
+    ascii_chars = len(data.translate(None, _NOT_ASCII + BLANKS))
+    return bands[LATIN] if LATIN in bands and 2 * ascii_chars >= chars else bands[None]
+
+
 def measure(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: dict[str | None, Band] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs, in one pass without a shuffle.
 
     Returns id_col, the columns `keep` of docs, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), base_failed, n_tokens (long), chars_per_token, fallback_share,
     token_entropy (double), kept. Null text: as the empty text, zero in all counts, base_failed.
-    Null or unknown language: the band under None. Null ids and repeated rows are kept as they are;
+    Null or unknown language: the band under LATIN, or under None for texts mostly not of ASCII. Null ids and repeated rows are kept as they are;
     columns of docs not named are not read.
     """
     bands = BANDS if bands is None else bands
@@ -146,7 +159,7 @@ def measure(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         fallback = float(counts[table.fallback[: len(counts)]].sum()) / n_tokens if n_tokens else 0.0
         entropy = entropy_bits(counts)
         failed = n < 20 or 100 * repeat > 30 * n
-        kept = not failed and judge(bands.get(lang, bands[None]), n_tokens, per, fallback, entropy)
+        kept = not failed and judge(band_of(bands, lang, data, chars), n_tokens, per, fallback, entropy)
         return n, chars, len(data.translate(None, _NOT_SYMBOLS)), duplicate_lines(data), repeat, failed, n_tokens, per, fallback, entropy, kept
 
     def run(batches):
