@@ -10,6 +10,8 @@ from tracewright.plans import queries as Q
 from tracewright.sources import local
 from pyspark.sql import functions as F
 
+TESTDATA = "/root/testdata/sf0.001"
+
 
 def test_canvas(spark):
     n = spark.createDataFrame([("f",), ("g",), ("alone",), ("f",)], "id string")
@@ -65,3 +67,15 @@ def test_entry_without_llm(tmp_path):
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q) and not [x for x in q if x.startswith('op') or x == 'pipeline']"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     assert subprocess.run([sys.executable, "-c", code], cwd=to, env=env, capture_output=True, text=True).stderr == ""
+
+
+def test_louvain_takes_every_node(spark, monkeypatch):
+    seen = []
+
+    def partition(n, e):
+        seen.append((n.count(), e.count()))
+        return n.select("id", F.lit("0").alias("group"))
+
+    monkeypatch.setattr(Q.community, "partition", partition)
+    Q.QUERIES["louvain_partition"](spark, TESTDATA)
+    assert seen == [(Q.g.nodes(spark, TESTDATA).count(), Q.g.edges(spark, TESTDATA).count())]
