@@ -79,3 +79,12 @@ def test_louvain_takes_every_node(spark, monkeypatch):
     monkeypatch.setattr(Q.community, "partition", partition)
     Q.QUERIES["louvain_partition"](spark, TESTDATA)
     assert seen == [(Q.g.nodes(spark, TESTDATA).count(), Q.g.edges(spark, TESTDATA).count())]
+
+
+def test_queries_without_id_subsets(spark):
+    n = Q.g.nodes(spark, TESTDATA)
+    got = Q.QUERIES["review_sort_nulls_last"](spark, TESTDATA).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(1, n.count() + 1)) and {r.id[0] for r in got} == set("PSCONR")
+    assert got[-1].complexity is None and sum(r.complexity is not None for r in got) == n.filter("complexity IS NOT NULL").count()
+    links = Q.QUERIES["test_file_links"](spark, TESTDATA)
+    assert links.filter("file LIKE 'suppliers/%' AND test_file LIKE 'Brand%'").count() > 0

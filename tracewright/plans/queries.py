@@ -247,7 +247,7 @@ def tested_by(spark, d):
 def test_file_links(spark, d):
     """JOIN-11 by file, SRC-05"""
     n = g.nodes(spark, d)
-    e = g.edges(spark, d).filter("src LIKE 'O:%'").join(n.select(F.col("id").alias("src"), F.col("file").alias("test_file")), "src").join(n.select(F.col("id").alias("dst"), "file"), "dst")
+    e = g.edges(spark, d).join(n.select(F.col("id").alias("src"), F.col("file").alias("test_file")), "src").join(n.select(F.col("id").alias("dst"), "file"), "dst")
     raw = e.select(F.col("test_file").alias("src"), F.col("file").alias("dst"), F.lit("TESTS_FILE").alias("kind")).distinct()
     return links.test_files(n, scans.test_files(raw)).select("file", "test_file")
 
@@ -376,7 +376,7 @@ def review_metric_rows(spark, d):
 @query("review_sort_nulls_last", _with(q.NODES) + "SELECT id, complexity, row_number() OVER (ORDER BY complexity DESC NULLS LAST, id) AS pos FROM nodes WHERE starts_with(id, 'P:') OR starts_with(id, 'S:')")
 def review_sort_nulls_last(spark, d):
     """TOP-09"""
-    n = g.nodes(spark, d).filter("id LIKE 'P:%' OR id LIKE 'S:%'").select("id", "complexity")
+    n = g.nodes(spark, d).select("id", "complexity")
     return review.sorted_by(n, "complexity", descending=True).withColumn("pos", F.row_number().over(Window.orderBy(F.col("complexity").desc_nulls_last(), "id")).cast("long"))
 
 
