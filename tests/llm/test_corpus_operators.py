@@ -319,6 +319,18 @@ def test_rake_and_calibrate():
     assert mixing.calibrate(np.zeros(2), np.zeros(2), 0.5).tolist() == [0, 0]
 
 
+def test_raking_reports_no_convergence(spark):
+    import inspect
+
+    assert inspect.signature(mixing._fit_as_table).parameters["rounds"].default == mixing.ROUNDS
+    tokens, codes = np.array([80.0, 20.0, 30.0]), [np.array([0, 0, 1]), np.array([0, 1, 0])]
+    with pytest.warns(RuntimeWarning, match="after 2 rounds"):
+        mixing.rake(tokens, codes, [np.array([0.5, 0.5]), np.array([0.6, 0.4])], rounds=2)
+    cells = spark.createDataFrame([("a", "x", "p", 80), ("a", "y", "p", 20), ("b", "x", "p", 30)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(RuntimeWarning, match="after 2 rounds"):
+        mixing._fit_as_table(cells, None, 0.5, rounds=2)
+
+
 def test_mix(spark):
     r = random.Random(2)
     texts = [" ".join(["w"] * r.randint(1, 40)) for _ in range(400)] + [None, "", "mail a@b.c now", "licensed under x"]

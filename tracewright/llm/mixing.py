@@ -8,6 +8,7 @@ follow the raked shares and sum to the wanted part of all.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -60,6 +61,10 @@ def tempered(totals: Mapping[str, float], power: float) -> dict[str, float]:
     return {k: v / (sum(raised.values()) or 1.0) for k, v in raised.items()}
 
 
+def _warn(rounds: int, off: float) -> None:
+    warnings.warn(f"raking stopped after {rounds} rounds, a share still off by {off:.3g}", RuntimeWarning, stacklevel=3)
+
+
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
     """Shares of cells whose sums by each coding agree with the targets, as far as they can.
 
@@ -67,6 +72,7 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     tokens can't be raised, so targets are taken over the groups that have some.
     """
     share = tokens / (tokens.sum() or 1.0)
+    off = float("inf")
     for _ in range(rounds):
         off = 0.0
         for code, target in zip(codes, targets, strict=True):
@@ -78,6 +84,8 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
             share = share * factor[code]
         if off < close:
             break
+    else:
+        _warn(rounds, off)
     return share
 
 
@@ -116,7 +124,7 @@ def _fit_here(cells: list, targets: Mapping[str, Mapping[str, float]] | None, pa
     return [(*[r[m] for m in MARGINS], float(s), float(x)) for r, s, x in zip(cells, share, p, strict=True)]
 
 
-def _fit_as_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, part: float, rounds: int = 30) -> DataFrame:
+def _fit_as_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, part: float, rounds: int = ROUNDS) -> DataFrame:
     """The same for cells too many for the driver: a join and a sum for each margin of each round, written after each."""
     spark = cells.sparkSession
     whole = cells.agg(F.sum("tokens")).first()[0] or 1
@@ -127,6 +135,7 @@ def _fit_as_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] |
             wanted[m] = spark.createDataFrame(list(targets[m].items()), f"{m} string, target double")
         else:
             wanted[m] = cells.groupBy(m).agg(F.sum("share").alias("s")).select(m, F.when(F.col("s") > 0, F.pow("s", F.lit(POWERS[m]))).otherwise(F.lit(0.0)).alias("target"))
+    off = float("inf")
     for _ in range(rounds):
         off = 0.0
         for m in MARGINS:
@@ -139,6 +148,8 @@ def _fit_as_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] |
         cells = written(cells, "cells")
         if off < CLOSE:
             break
+    else:
+        _warn(rounds, off)
     ratio = F.when(F.col("tokens") > 0, F.col("share") / F.col("tokens")).otherwise(F.lit(0.0))
     low, high = 0.0, (cells.agg(F.max(F.when(ratio > 0, 1 / ratio))).first()[0] or 0.0)
     for _ in range(60):
