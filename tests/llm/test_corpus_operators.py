@@ -73,7 +73,7 @@ def test_join_equals_all_pairs(spark, seed):
     ids = list(range(len(texts)))
     random.Random(seed).shuffle(ids)
     ids[3] = None
-    got = rows(ngram_join.join(frame(spark, texts, ids).repartition(3), most_frequent=[1 << 20, 8, 0][seed]))
+    got = rows(ngram_join.join(frame(spark, texts, ids).repartition(3), most_frequent=[1 << 20, 8, 0][seed], name_bits=[64, 6, 64][seed]))
     assert got == sorted(plain_classes(texts, ids), key=repr)
 
 
@@ -86,7 +86,9 @@ def test_join_of_many_near_copies(spark):
         for _ in range(r.randint(1, 4)):
             t[r.randrange(120)] = f"x{r.randrange(10**6)}"
         texts.append(" ".join(t))
-    assert rows(ngram_join.join(frame(spark, texts))) == sorted(plain_classes(texts, list(range(120))), key=repr)
+    want = sorted(plain_classes(texts, list(range(120))), key=repr)
+    assert rows(ngram_join.join(frame(spark, texts))) == want
+    assert rows(ngram_join.join(frame(spark, texts), hot=16)) == want
 
 
 def test_join_edges(spark):
