@@ -235,29 +235,24 @@ def test_patience():
         assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
 
 
-def plain_scores(texts, target, most):
+def plain_scores(texts, target):
     split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
-    n = Counter(w for t in target for w in split(t))
-    listed = sorted((w for w in n if n[w] >= 2), key=lambda w: (-n[w], w.encode()))[:most]
-    at = {w: i + 2 for i, w in enumerate(listed)}
-    size = len(listed) + 2
-    pairs = lambda t: list(zip([0] + (ids := [at.get(w, 1) for w in split(t)]), ids, strict=False))
-
-    def model(ts):
-        c = Counter(p for t in ts for p in pairs(t))
-        before, word = Counter(), Counter()
-        for (a, b), k in c.items():
-            before[a] += k
-            word[b] += k
-        total = sum(word.values())
+    pairs = lambda t: list(zip([None, *split(t)], split(t), strict=False))
+    counts = [Counter(w for t in ts for w in split(t)) for ts in (target, texts)]
+    listed = {w for c in counts for w in c if c[w] >= 2}
+
+    def model(ts, word):
+        c, total = Counter(p for t in ts for p in pairs(t)), sum(word.values())
+        texts_with_words, unknown = sum(1 for t in ts if split(t)), sum(k for w, k in word.items() if w not in listed)
 
         def loss(a, b):
-            single = (word[b] + 0.5) / (total + 0.5 * size)
-            return -math.log(0.7 * c[a, b] / before[a] + 0.3 * single if before[a] else single)
+            single = ((word[b] if b in listed else unknown) + 0.5) / (total + 0.5 * (len(listed) + 1))
+            before = texts_with_words if a is None else word[a]
+            return -math.log(0.7 * c[a, b] / before + 0.3 * single if before and b in listed and (a is None or a in listed) else single)
 
         return loss
 
-    t, b = model(target), model(texts)
+    t, b = model(target, counts[0]), model(texts, counts[1])
     out = []
     for x in texts:
         p = pairs(x)
@@ -265,30 +260,35 @@ def plain_scores(texts, target, most):
     return out
 
 
-@pytest.mark.parametrize("most", [2046, 5, 0])
-def test_cross_entropy_difference(spark, most):
+def test_cross_entropy_difference(spark):
     texts = some_texts(3, 20)
-    target = texts[:15] + texts[:2]
-    want = plain_scores(texts, target, most)
-    got = {r.doc_id: r for r in ngram_lm.score(frame(spark, texts), frame(spark, target), vocabulary=most).collect()}
-    for i, (n, t, b) in enumerate(want):
-        assert got[i].n_tokens == n
-        if n:
-            assert (got[i].target_loss, got[i].background_loss, got[i].ce_diff) == (pytest.approx(t), pytest.approx(b), pytest.approx(t - b))
-        else:
-            assert got[i].ce_diff is None
-    none = ngram_lm.score(frame(spark, texts), frame(spark, [])).filter("n_tokens > 0").first()
-    assert none.target_loss == pytest.approx(math.log(2))
+    for target in (texts[:15] + texts[:2], ["own words w1 w2 w1 w2", None], []):
+        want = plain_scores(texts, target)
+        got = {r.doc_id: r for r in ngram_lm.score(frame(spark, texts), frame(spark, target)).collect()}
+        for i, (n, t, b) in enumerate(want):
+            assert got[i].n_tokens == n
+            if n:
+                assert (got[i].target_loss, got[i].background_loss, got[i].ce_diff) == (pytest.approx(t), pytest.approx(b), pytest.approx(t - b))
+            else:
+                assert got[i].ce_diff is None
     assert ngram_lm.score(frame(spark, []), frame(spark, [])).count() == 0
 
 
+def test_cross_entropy_over_buckets():
+    r = random.Random(5)
+    hashes = np.unique(np.array([r.getrandbits(64) for _ in range(500)], np.uint64))
+    assert (ngram_lm.from_rising(ngram_lm.rising(hashes)) == hashes).all() and len(ngram_lm.from_rising(ngram_lm.rising(hashes[:0]))) == 0
+    ends = ngram_lm._dealt(hashes, 7)
+    assert [int(h) * 7 >> 64 for h in hashes] == [k for k in range(7) for _ in range(ends[k + 1] - ends[k])]
+
+
 def test_cross_entropy_of_a_large_vocabulary(spark):
     r = random.Random(5)
     pool = [f"w{i}" for i in range(3000)]
     target = [" ".join(r.sample(pool, len(pool))) for _ in range(2)]
     common = " ".join(["w"] * 3)
     texts = [*target, f"{common} w2900 w2999 w2500", f"{common} w2900 w2999 never", "w2999", None]
-    want = plain_scores(texts, target, None)
+    want = plain_scores(texts, target)
     got = {x.doc_id: x for x in ngram_lm.score(frame(spark, texts), frame(spark, target)).collect()}
     for i, (n, t, b) in enumerate(want[:-1]):
         assert (got[i].n_tokens, got[i].target_loss, got[i].background_loss) == (n, pytest.approx(t), pytest.approx(b))

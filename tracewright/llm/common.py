@@ -54,6 +54,39 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
+#: Bits of the bitmap that tells ids; up to an eighth as many ids are told so.
+BITS = 1 << 26
+
+
+def may_have(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """All rows whose column `name` is among the values of ids (a written table with this column), and few others.
+
+    Up to BITS / 8 ids are told by a bitmap of fixed size, so that rows aren't shuffled; more by a
+    join, which then is exact. Null equals null.
+    """
+    import numpy as np
+
+    known = f"in_{name}_{uuid.uuid4().hex[:8]}"
+    if ids.count() * 8 > BITS:
+        return rows.join(ids.select(F.col(name).alias(known)), F.col(name).eqNullSafe(F.col(known)), "left_semi")
+    h = F.pmod(F.xxhash64(name), F.lit(BITS)) + 1  # both bitmap functions count from 1
+    maps = ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    marks = np.zeros(BITS, bool)
+    for part, bits in maps.collect():
+        got = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
+        marks[(part - 1) * len(got) : part * len(got)] = got
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(marks, bitorder="little"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            h = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array((shared.value[h >> 3] >> (h & 7)) & 1 == 1))
+
+    return rows.select("*", F.pmod(F.xxhash64(name), F.lit(BITS)).alias(known)).mapInArrow(run, rows.schema)
+
+
 def byte_runs(column, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Slices of an Arrow text column as (first row, UTF-8 bytes of each row), each of about `most` bytes at most.
 

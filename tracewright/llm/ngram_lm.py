@@ -4,10 +4,12 @@ Two bigram models of the same kind share one vocabulary: one of the target texts
 A document's score is the mean, over its tokens, of the target's loss less the background's. Low
 scores are more like the target.
 
-The vocabulary is every word that occurs twice or more in the target, plus one token for all other
-words, so it grows with the corpus. Both models are tables of words and of the pairs seen. Texts are
-held in blocks of a few MB; a block asks the tables once for each of its words, then once for each of
-its pairs, so neither a task nor the driver holds a model.
+The vocabulary is every word that occurs twice or more on either side, plus one token for all other
+words; it and the table of pairs grow with the corpus. Texts are held in blocks of a few MB. A block
+asks once for each of its words and pairs, dealt by their hashes over as many buckets as the corpus
+needs; each bucket counts what all blocks ask it and answers them. So neither a task nor the driver
+holds a model, and a frequent pair is one entry for each block that has it. Numbers travel as sorted
+lists by byte planes, which the exchange's compression makes small.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_runs, pick, written
@@ -23,38 +25,36 @@ from .words import _ODD, mix, split
 
 #: Weight of the pair's own frequency against the word's, and what is added to each word's count.
 PAIR_WEIGHT, ADDED = 0.7, 0.5
-#: Ids within a block: the start of a text, any word not listed, then the block's listed words.
-START, UNKNOWN, LISTED = 0, 1, 2
+#: Words occur so often on one of the sides to be listed.
+LEAST = 2
+#: Numbers within a block: the start of a text, then the block's words.
+START, WORDS = 0, 1
+#: Tokens of the corpus for each bucket that counts words and pairs.
+PER_BUCKET = 2 << 20
+KINDS = ("words", "pairs")
 
 
-def target_words(target: DataFrame, text_col: str, most: int) -> list[bytes]:
-    """The words that occur twice or more in the target, most frequent first, then by their bytes; `most` at most."""
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of one fixed width by planes of bytes, the first bytes of all first."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for _, texts in byte_runs(batch.column(0)):
-                found: dict[bytes, int] = {}
-                for data in texts:
-                    for w in split(data or b""):
-                        found[w] = found.get(w, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
-    words = pick(target, text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 2")
-    return [bytes(r[0]) for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
 
+def rising(x: np.ndarray) -> bytes:
+    """Rising unsigned numbers by their steps."""
+    return planes(np.diff(x, prepend=np.uint64(0)))
 
-def word_hash(word: bytes) -> int:
-    x = xxhash.xxh3_64_intdigest(word)
-    return x - (1 << 64) if x >> 63 else x
 
+def from_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64)
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, target: bool) -> DataFrame:
-    """One row for each block of texts: its ids (none for the target), words a text, each word's place in `words`.
 
-    words are hashes; n and last count how often each occurs, and how often as a text's last word.
-    """
+def _blocks(docs: DataFrame, id_col: str, text_col: str, target: bool) -> DataFrame:
+    """One row for each block of texts: its ids (none for the target), words of each text, the number of each word within the block, the words' hashes."""
 
     def run(batches):
         import pyarrow as pa
@@ -68,125 +68,145 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, target: bool) -> DataFr
                 for data in texts:
                     ws = split(data or b"")
                     lens.append(len(ws))
-                    toks.append(np.fromiter((place(w, len(index)) for w in ws), np.int32, len(ws)))
-                flat = np.concatenate(toks)
-                last = np.array([t[-1] for t in toks if len(t)], np.int64)
-                words = pa.array(np.fromiter(map(word_hash, index), np.int64, len(index)))
-                counts = [np.bincount(x, minlength=len(index)).astype(np.int32) for x in (flat, last)]
+                    toks.append(np.fromiter((place(w, len(index)) for w in ws), np.uint32, len(ws)))
+                flat = np.concatenate(toks) + np.uint32(WORDS)
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
                 ids = batch.column(0).slice(at, 0 if target else len(texts))
-                lists = [ids, pa.array(lens, pa.int32()), pa.array(flat), words, *map(pa.array, counts)]
-                row = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-                number = ((part << 24) + k) * 2 + target
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([target]), pa.array([len(last)], pa.int64()), *row], names=["block", "target", "starts", "ids", "lens", "toks", "words", "n", "last"])
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(lens, pa.int32()))]
+                cols = [pa.array([((part << 24) + k) * 2 + target]), pa.array([target]), pa.array([len(flat)], pa.int64()), pa.array([sum(n > 0 for n in lens)], pa.int64()), *lists]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([planes(flat)], pa.binary()), pa.array([hashes.tobytes()], pa.binary())], names=["block", "target", "tokens", "texts", "ids", "lens", "toks", "words"])
                 k += 1
 
     kind = dict(docs.dtypes)[id_col]
-    return pick(docs, id_col, text_col).mapInArrow(run, f"block long, target boolean, starts long, ids array<{kind}>, lens array<int>, toks array<int>, words array<long>, n array<int>, last array<int>")
+    return pick(docs, id_col, text_col).mapInArrow(run, f"block long, target boolean, tokens long, texts long, ids array<{kind}>, lens array<int>, toks binary, words binary")
 
 
-def _one(table, name: str) -> np.ndarray:
-    """The list in the only row of a table."""
-    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-
-
-def _pairs(lens: np.ndarray, toks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs of a block (first, second), the pair of each token, and how often each occurs."""
+def _pairs(lens: np.ndarray, toks: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a block's distinct pairs, rising by hash: hash, first, second, how often; and the pair of each token."""
     before = np.empty(len(toks), np.int64)
     before[1:] = toks[:-1]
-    starts = np.cumsum(lens) - lens
-    before[starts[lens > 0]] = START
+    before[(np.cumsum(lens) - lens)[lens > 0]] = START
+    size = len(words) + WORDS
     code, of, n = np.unique(before * size + toks, return_inverse=True, return_counts=True)
-    return code // size, code % size, of, n
-
+    a, b = code // size, code % size
+    names = np.concatenate([np.ones(WORDS, np.uint64), words])
+    pair = mix(names[a] * _ODD + names[b])
+    order = np.argsort(pair)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return pair[order], a[order], b[order], n[order], back[of]
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None) -> DataFrame:
-    """Cross-entropy difference of each row of docs.
-
-    target holds texts in the same column. vocabulary: if given, only so many of the target's words
-    are listed, the most frequent. Returns id_col, n_tokens long, target_loss and background_loss
-    (mean nats a token), ce_diff (their difference); the three are null for a text without words. An
-    empty target gives a vocabulary without words: all losses are then those of the one unknown
-    token. Null text: no words. Null ids and repeated rows are kept; each occurrence counts. Columns
-    not named are not read. Words and pairs are known by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
-    of_target = target.select(F.lit(None).cast(kind).alias(id_col), text_col)
-    blocks = written(_blocks(docs, id_col, text_col, False).unionByName(_blocks(of_target, id_col, text_col, True)), "blocks")
 
-    words = blocks.select("block", "target", F.posexplode(F.arrays_zip("words", "n", "last")).alias("i", "x")).select("block", "target", "i", F.col("x.words").alias("h"), F.col("x.n").alias("n"), F.col("x.last").alias("last"))
-    summed = lambda c, side: F.sum(F.when(F.col("target") == side, F.col(c)).otherwise(0)).alias(f"{c}_{'t' if side else 'b'}")
-    stats = words.groupBy("h").agg(*[summed(c, side) for side in (True, False) for c in ("n", "last")])
-    if vocabulary is None:
-        stats = stats.withColumn("listed", F.col("n_t") >= 2)
-    else:
-        chosen = spark.createDataFrame([(word_hash(w),) for w in target_words(target, text_col, vocabulary)], "h long")
-        stats = stats.join(chosen.withColumn("listed", F.lit(True)), "h", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    stats = written(stats, "words")
-    sides = ("t", "b")
-    total = stats.agg(F.count_if("listed").alias("words"), *[F.coalesce(F.sum(F.when(F.col("listed") | F.lit(whole), F.col(f"{c}_{s}"))), F.lit(0)).alias(f"{c}_{s}_{whole}") for s in sides for c in ("n", "last") for whole in (True, False)]).first()
-    starts = {r["target"]: r["s"] for r in blocks.groupBy("target").agg(F.sum("starts").alias("s")).collect()}
-    size = total["words"] + 2
-    n_all = {s: total[f"n_{s}_True"] for s in sides}
-    #: the word's own count, and how often it precedes another, of START and UNKNOWN
-    own = {s: [0, n_all[s] - total[f"n_{s}_False"]] for s in sides}
-    leads = {s: [starts.get(s == "t", 0), own[s][1] - total[f"last_{s}_True"] + total[f"last_{s}_False"]] for s in sides}
-
-    answers = words.select("block", "i", "h").join(stats.filter("listed").drop("listed"), "h").select(F.col("block").alias("asker"), "i", *[F.col(f"n_{s}") for s in sides], *[(F.col(f"n_{s}") - F.col(f"last_{s}")).alias(f"lead_{s}") for s in sides])
-    lists = ["words", "n_t", "n_b", "lead_t", "lead_b"]
-
-    def listed(block, answer):
-        import pyarrow as pa
+def _dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Ends of each bucket's share of rising hashes."""
+    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
-        at = answer.column("i").to_numpy()
-        order = np.argsort(at)
-        at = at[order]
-        place = np.full(len(_one(block, "words")), UNKNOWN, np.int32)
-        place[at] = LISTED + np.arange(len(at), dtype=np.int32)
-        cols = [place[_one(block, "toks")], _one(block, "words")[at], *[answer.column(c).to_numpy()[order] for c in lists[1:]]]
-        rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in cols]
-        return pa.Table.from_arrays([*[block.column(c) for c in ("block", "target", "ids", "lens")], *rows], names=["block", "target", "ids", "lens", "toks", *lists])
 
-    schema = f"block long, target boolean, ids array<{kind}>, lens array<int>, toks array<int>, " + ", ".join(f"{c} array<long>" for c in lists)
-    known = written(blocks.drop("starts", "n", "last").groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(listed, schema), "known")
+def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, asker (a block), target, words, pairs (rising hashes) and their numbers in the block; only rows that ask for something."""
 
-    def asked(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for k in range(batch.num_rows):
-                row = pa.Table.from_batches([batch.slice(k, 1)])
-                names = np.concatenate([np.array([1, 2], np.uint64), _one(row, "words").view(np.uint64)])
-                a, b, _, n = _pairs(_one(row, "lens"), _one(row, "toks"), len(names))
-                pair = mix(names[a] * _ODD + names[b]).view(np.int64)
-                block, side = row.column("block")[0].as_py(), row.column("target")[0].as_py()
-                for i in range(0, len(pair), 1 << 18):
-                    part = pair[i : i + (1 << 18)]
-                    cols = [part, np.full(len(part), block, np.int64), np.arange(i, i + len(part), dtype=np.int32), n[i : i + len(part)].astype(np.int32), np.full(len(part), side)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["pair", "block", "i", "n", "target"])
-
-    pairs = known.select("block", "target", "lens", "toks", "words").mapInArrow(asked, "pair long, block long, i int, n int, target boolean")
-    same = Window.partitionBy("pair")
-    counted = pairs.select(F.col("block").alias("asker"), "i", "target", *[F.sum(F.when(F.col("target") == (s == "t"), F.col("n")).otherwise(0)).over(same).alias(f"n_{s}") for s in sides]).filter("NOT target").drop("target")
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                lens, words = row["lens"].values.to_numpy(zero_copy_only=False), np.frombuffer(row["words"].as_py(), np.uint64)
+                toks = from_planes(row["toks"].as_py(), "<u4").astype(np.int64)
+                pair, _, _, n, _ = _pairs(lens, toks, words)
+                order = np.argsort(words)
+                both = [(words[order], np.bincount(toks, minlength=len(words) + WORDS)[WORDS:][order]), (pair, n)]
+                ends = [_dealt(h, buckets) for h, _ in both]
+                some = np.flatnonzero((np.diff(ends[0]) > 0) | (np.diff(ends[1]) > 0))
+                cols = [pa.array(some, pa.int32()), pa.array([row["block"].as_py()] * len(some), pa.int64()), pa.array([row["target"].as_py()] * len(some), pa.bool_())]
+                for (h, m), e in zip(both, ends, strict=True):
+                    cols += [pa.array([rising(h[e[x] : e[x + 1]]) for x in some], pa.binary()), pa.array([planes(m[e[x] : e[x + 1]].astype("<u4")) for x in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "asker", "target", "words", "words_n", "pairs", "pairs_n"])
+
+    return blocks.select("block", "target", "lens", "toks", "words").mapInArrow(run, "bucket int, asker long, target boolean, words binary, words_n binary, pairs binary, pairs_n binary")
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """For each asking row of documents the counts on either side; besides, in one row for each bucket without an asker, the listed words and their sums."""
+    names = ["words_t", "words_b", "pairs_t", "pairs_b"]
+
+    def count(rows):
+        import pyarrow as pa
+
+        target = rows.column("target").to_numpy(zero_copy_only=False)
+        ask = np.flatnonzero(~target)
+        cols, listed = [], None
+        for kind in KINDS:
+            lists = [from_rising(x.as_py()) for x in rows.column(kind)]
+            sizes = [len(x) for x in lists]
+            values, of = np.unique(np.concatenate(lists), return_inverse=True)
+            n = np.concatenate([from_planes(x.as_py(), "<u4") for x in rows.column(f"{kind}_n")])
+            t = np.repeat(target, sizes)
+            sides = [np.bincount(of[side], n[side], len(values)).astype(np.int64) for side in (t, ~t)]
+            ends = np.cumsum(sizes)
+            cols += [[planes(c[of[ends[i] - sizes[i] : ends[i]]].astype("<u8")) for i in ask] + [None] for c in sides]
+            if kind == "words":
+                known = (sides[0] >= LEAST) | (sides[1] >= LEAST)
+                listed = [int(known.sum()), int(sides[0][known].sum()), int(sides[1][known].sum())]
+        askers = rows.column("asker").to_numpy()[ask].tolist()
+        bucket = rows.column("bucket")[0].as_py()
+        first = [pa.array([bucket] * (len(ask) + 1), pa.int32()), pa.array([*askers, None], pa.int64())]
+        return pa.Table.from_arrays([*first, *[pa.array(c, pa.binary()) for c in cols], *[pa.array([None] * len(ask) + [x], pa.int64()) for x in listed]], names=["bucket", "asker", *names, "listed", "listed_t", "listed_b"])
+
+    return asked.groupBy("bucket").applyInArrow(count, "bucket int, asker long, words_t binary, words_b binary, pairs_t binary, pairs_b binary, listed long, listed_t long, listed_b long")
+
+
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Cross-entropy difference of each row of docs.
+
+    target holds texts in the same column. A token's loss is -ln of PAIR_WEIGHT times the share of
+    its pair among the occurrences of the word before it, plus the rest times the word's own share
+    (ADDED to each count); of the word's share alone if one of the two isn't listed or the word
+    before doesn't occur on that side. Returns id_col, n_tokens long, target_loss and background_loss
+    (mean nats a token), ce_diff (their difference); the three are null for a text without words.
+    Null text: no words; very long texts are a block of their own. Null ids and repeated rows are
+    kept; each occurrence counts. Empty target: every word has the same share there. Empty docs: no
+    rows. Columns not named are not read. Words and pairs are known by 64-bit hashes.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    of_target = target.select(F.lit(None).cast(kind).alias(id_col), text_col)
+    blocks = written(_blocks(docs, id_col, text_col, False).unionByName(_blocks(of_target, id_col, text_col, True)), "blocks")
+    sums = {r["target"]: r for r in blocks.groupBy("target").agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).collect()}
+    total = {s: sums[s == "t"]["tokens"] if (s == "t") in sums else 0 for s in "tb"}
+    texts = {s: sums[s == "t"]["texts"] if (s == "t") in sums else 0 for s in "tb"}
+    buckets = max(1, -(-sum(total.values()) // PER_BUCKET))
+    answers = written(_answered(_asked(blocks, buckets)), "answers")
+    known = answers.filter("asker IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("listed", "listed_t", "listed_b")]).first()
+    size = known["listed"] + 1
+    unknown = {s: total[s] - known[f"listed_{s}"] for s in "tb"}
 
     def scored(block, answer):
         import pyarrow as pa
 
-        lens, toks = _one(block, "lens"), _one(block, "toks")
-        a, b, of, _ = _pairs(lens, toks, len(_one(block, "words")) + LISTED)
-        at = answer.column("i").to_numpy()
+        lens = block.column("lens").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        words = np.frombuffer(block.column("words")[0].as_py(), np.uint64)
+        toks = from_planes(block.column("toks")[0].as_py(), "<u4").astype(np.int64)
+        _, a, b, _, of = _pairs(lens, toks, words)
+        order = np.argsort(answer.column("bucket").to_numpy())
+        read = lambda c: np.concatenate([np.zeros(0, np.int64), *[from_planes(answer.column(c)[i].as_py(), "<u8").astype(np.int64) for i in order]])
         full = lens > 0
         from_ = (np.cumsum(lens) - lens)[full]
+        own = {}
+        for s in "tb":
+            own[s] = np.zeros(len(words) + WORDS, np.int64)
+            own[s][WORDS + np.argsort(words)] = read(f"words_{s}")
+        listed = (own["t"] >= LEAST) | (own["b"] >= LEAST)
+        listed[START] = True
+        paired = listed[a] & listed[b]
         means = []
-        for s in sides:
-            count = np.zeros(len(a))
-            count[at] = answer.column(f"n_{s}").to_numpy()
-            word = np.concatenate([own[s], _one(block, f"n_{s}")]).astype(float)
-            lead = np.concatenate([leads[s], _one(block, f"lead_{s}")]).astype(float)[a]
-            single = ((word + ADDED) / (n_all[s] + ADDED * size))[b]
-            # a word that never preceded another has no pair frequency, so its weight goes to the words' own
-            share = np.divide(count, lead, out=np.zeros(len(a)), where=lead > 0)
-            loss = -np.log(np.where(lead > 0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single, single))
+        for s in "tb":
+            own[s][START] = texts[s]
+            single = ((np.where(listed, own[s], unknown[s]) + ADDED) / (total[s] + ADDED * size))[b]
+            lead = own[s][a].astype(float)
+            has = paired & (lead > 0)
+            share = np.divide(read(f"pairs_{s}"), lead, out=np.zeros(len(a)), where=has)
+            loss = -np.log(np.where(has, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single, single))
             mean = np.zeros(len(lens))
             if len(from_):
                 mean[full] = np.add.reduceat(loss[of], from_) / lens[full]
@@ -194,5 +214,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         cols = [pa.array(x, pa.float64(), mask=~full) for x in (*means, means[0] - means[1])]
         return pa.Table.from_arrays([block.column("ids").combine_chunks().flatten(), pa.array(lens, pa.int64()), *cols], names=["id", "n_tokens", "target_loss", "background_loss", "ce_diff"])
 
-    out = known.filter("NOT target").groupBy("block").cogroup(counted.groupBy("asker")).applyInArrow(scored, f"id {kind}, n_tokens long, target_loss double, background_loss double, ce_diff double")
+    own = blocks.filter("NOT target").select("block", "ids", "lens", "toks", "words")
+    given = answers.filter("asker IS NOT NULL").drop("listed", "listed_t", "listed_b")
+    out = own.groupBy("block").cogroup(given.groupBy("asker")).applyInArrow(scored, f"id {kind}, n_tokens long, target_loss double, background_loss double, ce_diff double")
     return out.withColumnRenamed("id", id_col)

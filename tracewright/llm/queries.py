@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chunks, fertility, lengths, licenses, line_align, mixing, ngram_join, ngram_lm, sharding
-from .common import shared_dir, table
+from .common import may_have, shared_dir, table, written
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -18,8 +18,8 @@ ENGLISH = "byte_bpe_50k.tiktoken"
 
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    target = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi")
+    good = written(table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id").distinct(), "good")
+    target = may_have(docs.select("doc_id", "text"), good, "doc_id").join(good, "doc_id", "left_semi")
     out = ngram_lm.score(docs, target)
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "ce_diff")])
 
@@ -78,18 +78,17 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_cross_entropy_difference": r"""
         WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-        w AS MATERIALIZED (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM l),
         good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
-        v AS MATERIALIZED (SELECT word, 1 + row_number() OVER (ORDER BY n DESC, word) AS id FROM (SELECT word, count(*) AS n FROM w WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, word LIMIT 2046)),
-        size AS (SELECT count(*) + 2 AS size FROM v),
-        t AS MATERIALIZED (SELECT doc_id, id AS b, lag(id, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM (SELECT w.doc_id, w.i, coalesce(v.id, 1) AS id FROM w LEFT JOIN v ON v.word = w.word)),
-        p AS MATERIALIZED (SELECT a, b, count(*) AS nb, count(*) FILTER (doc_id IN (SELECT doc_id FROM good)) AS nt FROM t GROUP BY a, b),
-        pa AS (SELECT a, sum(nb) AS nb, sum(nt) AS nt FROM p GROUP BY a), pb AS (SELECT b, sum(nb) AS nb, sum(nt) AS nt FROM p GROUP BY b),
-        al AS (SELECT sum(nb)::DOUBLE AS nb, coalesce(sum(nt), 0)::DOUBLE AS nt FROM p),
-        s AS MATERIALIZED (SELECT p.a, p.b, p.nb::DOUBLE AS cb, p.nt::DOUBLE AS ct, pa.nb::DOUBLE AS ab, pa.nt::DOUBLE AS ta, (pb.nb + 0.5)::DOUBLE / (al.nb + 0.5 * size) AS ub, (pb.nt + 0.5)::DOUBLE / (al.nt + 0.5 * size) AS ut
-            FROM p JOIN pa ON pa.a = p.a JOIN pb ON pb.b = p.b, al, size),
-        loss AS MATERIALIZED (SELECT a, b, -ln(0.7::DOUBLE * cb / ab + (1 - 0.7::DOUBLE) * ub) AS lb, -ln(CASE WHEN ta > 0 THEN 0.7::DOUBLE * ct / ta + (1 - 0.7::DOUBLE) * ut ELSE ut END) AS lt FROM s),
-        d AS (SELECT t.doc_id, count(*) AS n, avg(lt) AS tl, avg(lb) AS bl FROM t JOIN loss ON loss.a = t.a AND loss.b = t.b GROUP BY t.doc_id)
+        w AS MATERIALIZED (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev, doc_id IN (SELECT doc_id FROM good) AS target FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM l)),
+        v AS MATERIALIZED (SELECT word, count(*) AS nb, count(*) FILTER (target) AS nt FROM w GROUP BY word HAVING count(*) >= 2),
+        al AS (SELECT count(*) AS nb, count(*) FILTER (target) AS nt, count(*) FILTER (prev IS NULL) AS tb, count(*) FILTER (prev IS NULL AND target) AS tt FROM w),
+        k AS (SELECT count(*) + 1 AS size, coalesce(sum(nb), 0) AS nb, coalesce(sum(nt), 0) AS nt FROM v),
+        p AS MATERIALIZED (SELECT prev, word, count(*) AS nb, count(*) FILTER (target) AS nt FROM w GROUP BY prev, word),
+        s AS (SELECT p.*, (p.prev IS NULL OR x.word IS NOT NULL) AND y.word IS NOT NULL AS paired, CASE WHEN p.prev IS NULL THEN al.tb ELSE x.nb END AS ab, CASE WHEN p.prev IS NULL THEN al.tt ELSE x.nt END AS ta,
+            (coalesce(y.nb, al.nb - k.nb) + 0.5)::DOUBLE / (al.nb + 0.5 * size) AS ub, (coalesce(y.nt, al.nt - k.nt) + 0.5)::DOUBLE / (al.nt + 0.5 * size) AS ut
+            FROM p LEFT JOIN v x ON x.word = p.prev LEFT JOIN v y ON y.word = p.word, al, k),
+        loss AS MATERIALIZED (SELECT prev, word, -ln(CASE WHEN paired THEN 0.7::DOUBLE * nb / ab + (1 - 0.7::DOUBLE) * ub ELSE ub END) AS lb, -ln(CASE WHEN paired AND ta > 0 THEN 0.7::DOUBLE * nt / ta + (1 - 0.7::DOUBLE) * ut ELSE ut END) AS lt FROM s),
+        d AS (SELECT t.doc_id, count(*) AS n, avg(lt) AS tl, avg(lb) AS bl FROM w t JOIN loss ON loss.prev IS NOT DISTINCT FROM t.prev AND loss.word = t.word GROUP BY t.doc_id)
         SELECT x.doc_id, coalesce(d.n, 0) AS n_tokens, round(tl, 6) AS target_loss, round(bl, 6) AS background_loss, round(tl - bl, 6) AS ce_diff FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id
     """,
     "op4_ngram_jaccard_join": r"""
