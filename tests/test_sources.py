@@ -104,13 +104,16 @@ def test_paths(spark):
 def test_texts(spark):
     one = spark.range(1)
     val = lambda c: one.select(c).first()[0]
-    assert [val(text.elapsed_text(F.lit(x))) for x in (12, 1550, 61_000, 3_720_000)] == ["12 ms", "1.5 s", "1 m 01 s", "1 h 02 m"]
-    assert [val(text.count_text(F.lit(x))) for x in (1234567, -1, None)] == ["1,234,567", "—", "—"]
+    assert [val(text.elapsed_text(F.lit(x))) for x in (12, 999.5, 1550, 61_000, 3_720_000, -5, float("nan"))] == ["12ms", "1s", "1s", "1m 01s", "1h 02m", "0ms", "—"]
+    assert [val(text.age_text(F.lit(x))) for x in (float("nan"), -1, 59_999, 60_000, 3_600_000, 86_400_000 * 365, 86_400_000 * 366, float("inf"))] == ["just now", "just now", "just now", "1 min ago", "1 h ago", "365 d ago", "over a year ago", "over a year ago"]
+    assert [val(text.age_tick(F.lit(x))) for x in (-5, 0, 59_999.5, 90_000, float("inf"))] == [60_000, 60_000, 1, 30_000, 60_000]
+    assert [val(text.count_text(F.lit(x))) for x in (1234567, -1, None, float("nan"), float("inf"))] == ["1,234,567", "—", "—", "—", "—"]
+    assert val(text.collapsed(F.lit("\u00a0a\u2003 b\ufeff"))) == "a b"
     assert val(text.floor2_text(F.lit(0.999))) == "0.99" and val(text.floor2_text(F.lit(0.29))) == "0.29"
     assert val(text.mapped_severity(F.lit(" Critical "))) == "blocker" and val(text.mapped_severity(F.lit(None).cast("string"))) == "info"
     assert val(text.source_range(F.lit("a\r\nb\rc"), F.lit(2), F.lit(3))) == "b\nc" and val(text.source_range(F.lit("a"), F.lit(1), F.lit(2))) is None
-    assert val(text.parts_text(nodes=F.lit(3), files=F.lit(0), top_level=F.lit(1))) == "3 nodes · 1 top level"
-    assert val(text.clipped(F.lit("x" * 9000))) == "x" * 8000 + "…"
+    assert val(text.change_text(F.lit(0), F.lit(1), F.lit(0))) == "0 changed Nodes · top-level code changed in 1 file" and val(text.change_text(F.lit(0), F.lit(0), F.lit(1))) == "1 contract changed"
+    assert val(text.clipped(F.lit("x" * 9000))) == "x" * 8000 + "\n… (truncated)"
 
 
 def test_records(spark):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,14 +95,39 @@ def is_evidence_source(file: Column | str, flagged: Column | str) -> Column:
     return is_test_node(file, flagged) & ~is_test_support(file)
 
 
-def project_relative(file: Column | str, root: str) -> Column:
-    """FLT-09, SRC-18: slashes only, relative to the root where inside it, without a leading ./ ."""
+def report_path(file: Column | str, root: str) -> Column:
+    """SRC-18: slashes only, relative to the root where inside it, without a leading ./ ."""
     f = F.regexp_replace(_col(file), r"[\\/]+", "/")
     home = root.replace("\\", "/").rstrip("/") + "/"
     f = F.when(f.startswith(home), F.substring(f, len(home) + 1, 1 << 20)).otherwise(f)
     return F.regexp_replace(f, r"^(\./)+", "")
 
 
+def project_relative(file: Column | str, root: str) -> Column:
+    """FLT-09: an absolute path as seen from the root, with .. where it lies outside; any other path as it is. One slash
+    between segments."""
+    f = _col(file)
+    home = [s for s in posixpath.normpath(root).split("/") if s]
+    empty = F.array().cast("array<string>")
+    up = lambda s: F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))
+    parts = F.aggregate(F.split(f, "/"), empty, lambda s, x: F.when((x == "") | (x == "."), s).when(x == "..", up(s)).otherwise(F.concat(s, F.array(x))))
+    shared = reduce(add, [(F.slice(parts, 1, k + 1) == F.array(*map(F.lit, home[: k + 1]))).cast("int") for k in range(len(home))], F.lit(0))
+    seen = F.concat(F.array_repeat(F.lit(".."), F.lit(len(home)) - shared), F.slice(parts, shared + 1, F.greatest(F.size(parts), F.lit(1))))
+    return F.regexp_replace(F.when(f.startswith("/"), F.array_join(seen, "/")).otherwise(f), r"[\\/]+", "/")
+
+
+def safe_relative(file: Column | str, root: str | None) -> Column:
+    """FLT-10: the same, and the path as it is where there is no root to see it from."""
+    return project_relative(file, root) if root and root.startswith("/") else _col(file)
+
+
+def module_line(file: Column | str) -> Column:
+    """FN-04: the directory with its slash, null at the root; a leading ./ or / and slashes at the end don't count."""
+    f = F.regexp_replace(F.replace(_col(file), F.lit("\\"), F.lit("/")), r"^(?:\./|/)+|/+$", "")
+    cut = F.length(f) - F.length(base_name(f))
+    return F.when(cut > 1, F.left(f, cut))
+
+
 def base_name(file: Column | str) -> Column:
     return F.element_at(F.split(_col(file), "/"), -1)
 

@@ -55,37 +55,17 @@ def valid_candidates(reply: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reply.filter(good), reply.filter("pinned AND reach IS NULL").select("id")
 
 
-def edge_key(src: str = "src", dst: str = "dst") -> Column:
-    """FN-21."""
-    return F.struct(F.col(src), F.col(dst))
-
-
 def utf16_order(text: Column | str) -> Column:
     """FN-01: a sort key by UTF-16 code units; plain strings sort by code point, which differs beyond the basic plane."""
     return F.hex(F.encode(text, "UTF-16BE"))
 
 
-def kept_files(df: DataFrame, keep: Callable[[Column], Column], file: str = "file") -> DataFrame:
-    """UDF-01: a file predicate is a function from a column to a column, so that it stays part of the plan."""
-    return df.filter(keep(F.col(file)))
-
-
-def looked_up(nodes: DataFrame, records: DataFrame) -> DataFrame:
-    """UDF-06: a lookup by id is a join."""
-    return nodes.join(records, "id", "left")
-
-
 def parsed(raw: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """UDF-07, UDF-08: a row parser is a function from a frame to a frame of as many rows or fewer; with the number dropped."""
     good = parse(raw)
     return good, raw.agg(F.count(F.lit(1)).alias("n")).crossJoin(good.agg(F.count(F.lit(1)).alias("m"))).select((F.col("n") - F.col("m")).alias("dropped"))
 
 
-def ordered(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """UDF-09: a comparator is a list of sort keys that ends in an id."""
-    return df.orderBy(*keys)
-
-
 def sized(cards: DataFrame, sizes: DataFrame) -> DataFrame:
     """UDF-10: card sizes are a table; cards without one are not measured."""
     return cards.join(sizes.select("id", "width", "height"), "id", "left")

@@ -60,12 +60,6 @@ def hotspot_left_join(spark, d):
     return links.hotspots(g.nodes(spark, d), scans.file_rows(g.files(spark, d)), paths.is_test_path("file")).select("id", "file", "hotspot")
 
 
-@query("test_path_predicate", _with(q.NODES) + "SELECT id, test AS is_test, false AS is_support FROM nodes")
-def test_path_predicate(spark, d):
-    """FLT-11 to FLT-14"""
-    return g.nodes(spark, d).select("id", paths.is_test_node().alias("is_test"), paths.is_test_support("file").alias("is_support"))
-
-
 @query("exclude_tests_edges", _with(q.NODES, q.EDGES) + "SELECT src, dst, kind FROM edges WHERE src NOT IN (SELECT id FROM nodes WHERE test) AND dst NOT IN (SELECT id FROM nodes WHERE test)")
 def exclude_tests_edges(spark, d):
     """FLT-23"""
@@ -243,7 +237,7 @@ def tested_by(spark, d):
     return links.tested_by(g.nodes(spark, d), g.test_calls(spark, d)).select("id", "test", "name", "file", "start_line", "rank", "total")
 
 
-@query("test_file_links", _with(q.NODES, "l AS (SELECT DISTINCT s.file AS test_file, t.file FROM edges_ e JOIN nodes s ON s.id = e.src JOIN nodes t ON t.id = e.dst WHERE s.test AND NOT t.test AND starts_with(e.src, 'O:'))").replace("edges_", "(SELECT DISTINCT 'O:' || l_orderkey AS src, 'P:' || l_partkey AS dst FROM lineitem)") + "SELECT file, test_file FROM l")
+@query("test_file_links", _with(q.NODES, q.EDGES, "l AS (SELECT DISTINCT s.file AS test_file, t.file FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes t ON t.id = e.dst WHERE s.test AND NOT t.test)") + "SELECT file, test_file FROM l")
 def test_file_links(spark, d):
     """JOIN-11 by file, SRC-05"""
     n = g.nodes(spark, d)
@@ -373,7 +367,7 @@ def review_metric_rows(spark, d):
     return review.rows(table, seeds, hops, 1).select("id", "name", "blast_radius", "hop", "hidden")
 
 
-@query("review_sort_nulls_last", _with(q.NODES) + "SELECT id, complexity, row_number() OVER (ORDER BY complexity DESC NULLS LAST, id) AS pos FROM nodes WHERE starts_with(id, 'P:') OR starts_with(id, 'S:')")
+@query("review_sort_nulls_last", _with(q.NODES) + "SELECT id, complexity, row_number() OVER (ORDER BY complexity DESC NULLS LAST, id) AS pos FROM nodes")
 def review_sort_nulls_last(spark, d):
     """TOP-09"""
     n = g.nodes(spark, d).select("id", "complexity")
@@ -550,13 +544,6 @@ def staleness_hash(spark, d):
     return records.staleness(p.drop("content"), files, before)
 
 
-@query("severity_vocab", "SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 'blocker' WHEN 'purchase' THEN 'major' WHEN 'signup' THEN 'minor' ELSE 'info' END AS severity FROM events")
-def severity_vocab(spark, d):
-    """FN-11"""
-    native = F.create_map(F.lit("error"), F.lit(" Critical"), F.lit("purchase"), F.lit("HIGH"), F.lit("signup"), F.lit("medium "))
-    return g.table(spark, d, "events").select("event_id", "event_type", text.mapped_severity(F.try_element_at(native, F.col("event_type"))).alias("severity"))
-
-
 @query("text_location_extract", "SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, 'src/p' || l_partkey || '.ts' AS file, l_linenumber AS line FROM lineitem")
 def text_location_extract(spark, d):
     """SRC-27"""
@@ -567,18 +554,6 @@ def text_location_extract(spark, d):
     return g.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", at["file"].alias("file"), at["line"].alias("line"))
 
 
-@query("format_counts", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN format('{:,}', CAST(floor(c_acctbal * 100) AS BIGINT)) ELSE '—' END AS shown FROM customer")
-def format_counts(spark, d):
-    """FN-07"""
-    return g.table(spark, d, "customer").select("c_custkey", text.count_text(F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") * 100)).otherwise(F.lit(-1))).alias("shown"))
-
-
-@query("whitespace_collapse", r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations")
-def whitespace_collapse(spark, d):
-    """FN-03"""
-    return g.table(spark, d, "conversations").select("conv_id", "turn", text.collapsed("text").alias("text"))
-
-
 @query("source_ranges", r"SELECT doc_id, CASE WHEN len(string_split_regex(text, '\r\n|\r|\n')) >= 3 THEN array_to_string(string_split_regex(text, '\r\n|\r|\n')[2:3], chr(10)) END AS lines FROM documents")
 def source_ranges(spark, d):
     """SRC-29 to SRC-31"""

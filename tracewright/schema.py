@@ -55,3 +55,19 @@ TEST_FILE_PATTERNS = (
     r"(Tests?|IT)\.([jJ][aA][vV][aA]|[kK][tT])$",
     r"Tests\.[cC][sS]$",
 )
+#: What counts as white space in texts of the map.
+SPACES = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+CLIPPED = "\n… (truncated)"
+MINUTE_MS, HOUR_MS, DAY_MS, AGE_DAYS_MAX, AGE_TICK_MAX_MS = 60_000, 3_600_000, 86_400_000, 365, 60_000
+#: Shapes of a review bot's Markdown: places in free text, the line that states the risk, the parts of the issue list.
+TICKED_PLACE = r"`([^`\s]+\.[A-Za-z0-9]+):(\d+)`"
+TICKED_FILE = r"`([^`\s]+\.[A-Za-z0-9]+)`"
+BARE_PLACE = r"\b([^\s:]+\.[A-Za-z0-9]+):(\d+)\b"
+LINE_MENTION = r"(?i)\blines?\s*[:#]?\s*(\d+)\b"
+RISK_LINE = r"(?i)risk[^\n]*?\b(low|medium|high)\b"
+FENCE_MARK = r"^\s{0,3}```"
+ISSUES_START = "(?i)key issues to review"
+ISSUES_END = r"^\s{0,3}#{1,6}\s|(?i)</details>"
+ISSUE_BULLET = r"^\s{0,3}(?:[-*]|\d+\.)\s+(\S.*)$"
+#: The header of a table of rows in a backend's text reply.
+REPLY_HEADER = r"^rows:\s*(\d+)\s*\(cols:\s*([^)]*)\)"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..functions.text import file_line, mapped_severity, risk_word
-from ..schema import PR_BOT_SEVERITY
 
 
 def from_json(reports: DataFrame, column: str = "value") -> DataFrame:
@@ -23,21 +23,20 @@ def from_json(reports: DataFrame, column: str = "value") -> DataFrame:
 
 def fence_mask(lines: DataFrame, by: str, n: str, line: str) -> DataFrame:
     """SRC-28: lines with fenced: inside a fenced block, its marks included."""
-    mark = F.col(line).rlike(r"^\s{0,3}```")
+    mark = F.col(line).rlike(S.FENCE_MARK)
     upto = F.sum(mark.cast("int")).over(Window.partitionBy(by).orderBy(n))
     return lines.withColumn("fenced", mark | (upto % 2 == 1))
 
 
 def from_markdown(reviews: DataFrame, key: str, column: str = "value") -> DataFrame:
     """SRC-26: key, n, file, line, severity, message of the bullets below a "key issues to review" line, up to the next
-    heading; bullets without a place are dropped, and all have the severity of the review's risk."""
-    lines = reviews.select(key, mapped_severity(risk_word(column), PR_BOT_SEVERITY).alias("severity"), F.posexplode(F.split(column, "\r?\n")).alias("n", "text"))
-    open_lines = fence_mask(lines, key, "n", "text").filter("NOT fenced")
-    w = Window.partitionBy(key).orderBy("n")
-    head = F.col("text").rlike("(?i)key issues to review")
-    begun = open_lines.withColumn("start", F.min(F.when(head, F.col("n"))).over(Window.partitionBy(key))).filter("n > start")
-    stop = F.col("text").rlike(r"^\s{0,3}#{1,6}\s") | F.col("text").rlike("(?i)</details>")
-    section = begun.withColumn("stops", F.sum(stop.cast("int")).over(w)).filter("stops = 0")
-    bullet = r"^\s{0,3}(?:[-*]|\d+\.)\s+(\S.*)$"
-    items = section.filter(F.col("text").rlike(bullet)).withColumn("message", F.trim(F.regexp_extract("text", bullet, 1)))
-    return items.withColumn("at", file_line("message")).filter("at IS NOT NULL").select(key, "n", F.col("at.file").alias("file"), F.col("at.line").alias("line"), "severity", "message")
+    heading; bullets without a place are dropped, and all have the severity of the review's risk.
+
+    Each line carries the number of the last line that opened the list and of the last that closed one."""
+    lines = reviews.select(key, mapped_severity(risk_word(column), S.PR_BOT_SEVERITY).alias("severity"), F.posexplode(F.split(column, "\r?\n")).alias("n", "text"))
+    whole = Window.partitionBy(key)
+    opened = F.min(F.when(F.col("text").rlike(S.ISSUES_START), F.col("n"))).over(whole)
+    told = fence_mask(lines, key, "n", "text").filter("NOT fenced").withColumn("opened", opened)
+    closed = F.min(F.when((F.col("n") > F.col("opened")) & F.col("text").rlike(S.ISSUES_END), F.col("n"))).over(whole)
+    items = told.withColumn("closed", closed).filter("n > opened AND (closed IS NULL OR n < closed)").withColumn("message", F.trim(F.regexp_extract("text", S.ISSUE_BULLET, 1)))
+    return items.filter("message != ''").withColumn("at", file_line("message")).filter("at IS NOT NULL").select(key, "n", F.col("at.file").alias("file"), F.col("at.line").alias("line"), "severity", "message")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import project_relative
+from ..functions.paths import report_path
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +26,7 @@ def parse(lines: DataFrame, root: str = "") -> dict[str, DataFrame]:
     starts = F.startswith(text, F.lit("SF:")) | (F.lag(text).over(w) == "end_of_record")
     rows = lines.select("report", "n", text.alias("line"), F.when(starts, 1).otherwise(0).alias("starts"))
     rows = rows.withColumn("block", F.sum("starts").over(w)).drop("starts")
-    sf = rows.filter("line LIKE 'SF:%'").select("report", "block", project_relative(F.trim(F.substring("line", 4, 1 << 20)), root).alias("file"))
+    sf = rows.filter("line LIKE 'SF:%'").select("report", "block", report_path(F.trim(F.substring("line", 4, 1 << 20)), root).alias("file"))
     body = rows.join(sf, ["report", "block"])
     da = body.filter("line LIKE 'DA:%'").select("file", F.regexp_extract("line", r"^DA:(\d+),(\d+)", 1).try_cast("int").alias("line"), F.regexp_extract("line", r"^DA:(\d+),(\d+)", 2).try_cast("long").alias("hits")).filter("line IS NOT NULL AND hits IS NOT NULL")
     fn = r"^FN:(\d+),(?:\d+,)?(.+)$"

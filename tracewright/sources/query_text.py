@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import REPLY_HEADER
+
 
 def tokens(line):
     """SRC-12: the tokens of a row: JSON strings, decoded, or runs without blanks."""
@@ -15,7 +17,7 @@ def tokens(line):
 def rows(replies: DataFrame, key: str, column: str = "value") -> DataFrame:
     """SRC-11: key, n and cells (a map from column to text; - is null) of replies that start with
     "rows: N (cols: ...)"; rows of another number of tokens are dropped. At most N rows count."""
-    head = r"^rows:\s*(\d+)\s*\(cols:\s*([^)]*)\)"
+    head = REPLY_HEADER
     lines = F.split(column, "\r?\n")
     r = replies.filter(F.col(column).rlike(head)).select(key, F.regexp_extract(column, head, 1).cast("int").alias("count"), F.split(F.trim(F.regexp_extract(column, head, 2)), r"[\s,]+").alias("cols"), F.posexplode(F.slice(lines, 2, F.size(lines))).alias("n", "line"))
     r = r.filter("n < count").withColumn("tokens", tokens(F.col("line"))).filter("size(tokens) = size(cols)")
