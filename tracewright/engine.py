@@ -145,17 +145,17 @@ class Engine:
         return Result("ok", frames={"hops": traverse.expansion(*found, seeds), "missing": review.missing(seeds, found[0])})
 
     def entry_candidates(self, pins: list[str] | None = None, section: str | None = None) -> Result:
-        """API-05."""
+        """API-05: status none where nothing is pinned and no root reaches enough."""
         found = self._scoped(section)
         if found is None:
             return self._unknown(section)
         nodes, edges = found
         pins = entry.clean_pins(pins or [])
-        pinned = self.spark.createDataFrame([(p,) for p in pins], "id string")
-        starts = traverse.roots(nodes, edges).select("id").unionByName(pinned.join(nodes.select("id"), "id", "left_semi")).distinct()
-        reached = traverse.cut(traverse.reach(nodes, edges, starts))
-        listed = traverse.cut(entry.candidates(nodes, edges, pins, reached))
-        return Result("ok", frames={"candidates": listed, "relations": entry.agent_relations(entry.relations(reached, listed)), "hidden_pins": review.missing(pinned, nodes)})
+        nodes = nodes if "called_at_load_by" in nodes.columns else fold.module_links(nodes, self.modules["uses"])
+        listed, reached = entry.candidates(nodes, edges, pins)
+        listed = traverse.cut(listed)
+        hidden = review.missing(self.spark.createDataFrame([(p,) for p in pins], "id string"), nodes)
+        return Result("none" if listed.isEmpty() else "found", frames={"candidates": listed, "relations": entry.agent_relations(entry.relations(reached, listed)), "hidden_pins": hidden})
 
     def diff_scope(self, changed: DataFrame, listed: DataFrame, ranges: DataFrame, section: str | None = None) -> Result:
         """API-06."""

@@ -1,4 +1,4 @@
-"""What is drawn and said about the map: JOIN-23, JOIN-29, TRV-11, TOP-15, FLT-34, FN-01, FN-21, UDF-01, UDF-06 to UDF-10."""
+"""What is drawn and said about the map: JOIN-23, JOIN-29, TOP-15, FLT-34, FN-01, UDF-07, UDF-08, UDF-10."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .community import connected
 from .ranked import top_k
 
 #: Shown of ambiguous names, neighbours and findings; the rest is a number.
@@ -37,13 +36,6 @@ def unique_ids(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
-def reach_upper_bounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """TRV-11: id and bound: no walk from a node leaves its connected component, so it reaches at most the component's other nodes."""
-    of = connected(edges.select("src", "dst"))
-    size = of.groupBy("component").agg((F.count(F.lit(1)) - 1).alias("bound"))
-    return nodes.select("id").distinct().join(of.withColumnRenamed("node", "id"), "id", "left").join(size, "component", "left").select("id", F.coalesce("bound", F.lit(0).cast("long")).alias("bound"))
-
-
 def shown(df: DataFrame, what: str, by: list[str], order: list[Column | str]) -> DataFrame:
     """TOP-15: the first rows that are shown, with the total."""
     return top_k(df, by, order, SHOWN[what])

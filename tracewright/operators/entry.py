@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.paths import no_entry_file
 from . import traverse
+from .condense import reach_upper_bounds
 from .ranked import top_k
 
 
@@ -16,24 +17,83 @@ def clean_pins(pins: list) -> list[str]:
     return list(dict.fromkeys(p for p in pins if isinstance(p, str)))[: S.PINS_MAX]
 
 
-def candidates(nodes: DataFrame, edges: DataFrame, pins: list[str] | None = None, reached: DataFrame | None = None) -> DataFrame:
-    """id, name, file, reach, pinned, pos and total_qualifying: pins first in their order, then the
-    roots of the widest reach. A root needs a reach of ENTRY_MIN_REACH; at most ENTRY_MAX are listed."""
+#: Roots walked at first, and by how much each further lot is larger.
+FIRST_LOT, GROWTH = 512, 8
+
+
+def _reaching(edges: DataFrame, starts: DataFrame, least: int) -> DataFrame:
+    """id of the starts that reach `least` nodes or more.
+
+    Of each node only so many successors are followed that, whatever was found before, enough new
+    ones would be among them; a start that has enough is followed no further.
+    """
+    few = edges.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter(F.col("k") <= 2 * least).select("src", "dst")
+    found = traverse.cut(starts.select("id", F.col("id").alias("node")))
+    tip, enough = found, None
+    while True:
+        tip = traverse.cut(tip.join(few, tip["node"] == few["src"]).select("id", F.col("dst").alias("node")).distinct().join(found, ["id", "node"], "left_anti"))
+        found = found.unionByName(tip)
+        counts = found.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("n"))
+        full = traverse.cut(counts.filter(F.col("n") >= least).select("id"))
+        enough = full if enough is None else enough.unionByName(full)
+        found = traverse.cut(found.join(full, "id", "left_anti"))
+        tip = traverse.cut(tip.join(full, "id", "left_anti"))
+        if tip.isEmpty():
+            return enough
+
+
+def _widest(edges: DataFrame, bounds: DataFrame, k: int) -> tuple[list[tuple[str, int]], DataFrame | None]:
+    """The k ids of the widest reach (then the lowest id), and what they reach (root, node). bounds: id and bound.
+
+    Ids are walked in lots by falling bound, until no bound that is left can rank; at most k of each
+    lot stay.
+    """
+    order = [F.desc("bound"), "id"]
+    best: list[tuple[str, int]] = []
+    kept, walked, lot = None, 0, FIRST_LOT
+    while True:
+        part = traverse.cut(bounds.orderBy(*order).offset(walked).limit(lot))
+        reached = traverse.cut(traverse.hops_from(edges, part.select(F.col("id").alias("root"), F.col("id").alias("node"))).select("root", "node"))
+        counts = reached.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        top = [(r["id"], r["n"]) for r in part.select("id").join(counts, "id").orderBy(F.desc("n"), "id").limit(k).collect()]
+        best = sorted(best + top, key=lambda x: (-x[1], x[0]))[:k]
+        kept = reached if kept is None else kept.unionByName(reached)
+        kept = traverse.cut(kept.filter(F.col("root").isin([i for i, _ in best])))
+        walked, lot = walked + lot, lot * GROWTH
+        after = bounds.orderBy(*order).offset(walked).limit(1).collect()
+        if not after or (len(best) == k and (-after[0]["bound"], after[0]["id"]) > (-best[-1][1], best[-1][0])):
+            return best, kept
+
+
+def candidates(nodes: DataFrame, edges: DataFrame, pins: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The candidates, and what each of them reaches (root, node).
+
+    Candidates: id, name, file, start_line, end_line, reach, reason (pinned, or no-callers),
+    loaded_by (see there; from the column called_at_load_by, null without it), pinned, pos and
+    total_qualifying. Pins come first in their order, then the roots of the widest reach. A root needs
+    a reach of ENTRY_MIN_REACH; at most ENTRY_MAX are listed. No row: there is none.
+    """
     pins = clean_pins(pins or [])
     spark = nodes.sparkSession
-    able = traverse.roots(nodes, edges).filter(~no_entry_file("file")).dropDuplicates(["id"])
+    one = nodes.dropDuplicates(["id"])
+    steps = traverse.cut(traverse.valid_edges(one, traverse.caller_edges(edges)).filter("src != dst").select("src", "dst").distinct())
     pinned = spark.createDataFrame([(p, i) for i, p in enumerate(pins)], "id string, pos long")
-    starts = able.select("id").unionByName(pinned.select("id").join(nodes.select("id"), "id", "left_semi")).distinct()
-    reached = traverse.reach(nodes, edges, starts) if reached is None else reached
+    able = one.join(steps.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").filter(~no_entry_file("file")).join(F.broadcast(pinned), "id", "left_anti").select("id")
+    bounds = traverse.cut(able.join(reach_upper_bounds(one, steps), "id").filter(F.col("bound") >= S.ENTRY_MIN_REACH))
+    qualifying = _reaching(steps, bounds.select("id"), S.ENTRY_MIN_REACH).count()
+    best, wide = _widest(steps, bounds, S.ENTRY_MAX)
+    best = [(i, n) for i, n in best if n >= S.ENTRY_MIN_REACH]
+    own = pinned.join(one.select("id"), "id", "left_semi")
+    ranked = spark.createDataFrame([(i, S.PINS_MAX + k) for k, (i, _) in enumerate(best)], "id string, pos long")
+    walks = traverse.hops_from(steps, own.select(F.col("id").alias("root"), F.col("id").alias("node"))).select("root", "node").unionByName(wide.filter(F.col("root").isin([i for i, _ in best])))
+    reached = traverse.cut(walks)
     width = reached.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
-    of = lambda df: df.join(width, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(0).cast("long")))
-    good = of(able.join(F.broadcast(pinned), "id", "left_anti")).filter(F.col("reach") >= S.ENTRY_MIN_REACH)
-    by_rank = [F.desc("reach"), "id"]
-    ranked = top_k(good.select("id", "name", "file", "reach"), [], by_rank, S.ENTRY_MAX)
-    own = of(nodes.dropDuplicates(["id"]).join(F.broadcast(pinned), "id"))
-    qualifying = good.agg(F.count(F.lit(1)).alias("q")).crossJoin(own.agg(F.count(F.lit(1)).alias("p")))
-    listed = own.select("id", "name", "file", "reach", F.lit(True).alias("pinned"), "pos").unionByName(ranked.select("id", "name", "file", "reach", F.lit(False).alias("pinned"), (F.col("rank") + S.PINS_MAX).alias("pos")))
-    return listed.crossJoin(F.broadcast(qualifying)).select("id", "name", "file", "reach", "pinned", F.row_number().over(Window.orderBy("pos")).cast("long").alias("pos"), (F.col("q") + F.col("p")).alias("total_qualifying"))
+    listed = own.withColumn("pinned", F.lit(True)).unionByName(ranked.withColumn("pinned", F.lit(False)))
+    load = loaded_by() if "called_at_load_by" in nodes.columns else F.lit(None).cast("struct<first:array<string>,total:int>")
+    full = one.join(F.broadcast(listed), "id").join(F.broadcast(width), "id", "left")
+    out = full.select("id", "name", "file", "start_line", "end_line", F.coalesce("reach", F.lit(0).cast("long")).alias("reach"), F.when(F.col("pinned"), "pinned").otherwise("no-callers").alias("reason"), F.when(~F.col("pinned"), load).alias("loaded_by"), "pinned", "pos")
+    # at most ENTRY_MAX + PINS_MAX rows
+    return out.withColumns({"pos": F.row_number().over(Window.orderBy("pos")).cast("long"), "total_qualifying": F.lit(qualifying).cast("long") + F.count_if("pinned").over(Window.partitionBy())}), reached
 
 
 def relations(reached: DataFrame, listed: DataFrame) -> DataFrame:

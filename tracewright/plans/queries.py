@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import paths, text
-from ..operators import canvas, community, coverage, diff, entry, fold, layout, links, ranked, records, review, risk, scope, traverse
+from ..operators import canvas, community, condense, coverage, diff, entry, fold, layout, links, ranked, records, review, risk, scope, traverse
 from ..sources import diffs, findings, lcov, query_text, scans
 from . import graph_view as g
 from . import sql as q
@@ -191,23 +191,45 @@ def path_highlight(spark, d):
     return traverse.induced(g.edges(spark, d), ids)
 
 
-_ROOT = "rt AS MATERIALIZED (SELECT id, name, file FROM nodes WHERE id NOT IN (SELECT dst FROM edges WHERE src <> dst)), rs AS (SELECT id FROM rt UNION SELECT 'P:1'), r AS (SELECT id AS root, id AS node FROM rs UNION SELECT r.root, ed.dst FROM r JOIN ed ON ed.src = r.node), w AS MATERIALIZED (SELECT root AS id, count(*) - 1 AS reach FROM r GROUP BY root)"
-_CANDIDATES = "cand AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY (NOT pinned), reach DESC, id) AS pos FROM (SELECT n.id, n.name, n.file, w.reach, true AS pinned FROM nodes n JOIN w ON w.id = n.id WHERE n.id = 'P:1' UNION ALL (SELECT rt.id, rt.name, rt.file, w.reach, false FROM rt JOIN w ON w.id = rt.id WHERE w.reach >= 3 ORDER BY w.reach DESC, rt.id LIMIT 12)))"
+_MODULES = "mo AS MATERIALIZED (SELECT id, file FROM nodes WHERE kind = 'Module'), mp AS MATERIALIZED (SELECT id FROM nodes WHERE kind <> 'Module')"
+_ROOT = "nn AS MATERIALIZED (SELECT * FROM nodes WHERE kind <> 'Module'), en AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND kind IN ('CALLS', 'USAGE') AND src IN (SELECT id FROM nn) AND dst IN (SELECT id FROM nn)), rt AS MATERIALIZED (SELECT id FROM nn WHERE id NOT IN (SELECT dst FROM en)), rs AS (SELECT id FROM rt UNION SELECT 'P:1'), r AS (SELECT id AS root, id AS node FROM rs UNION SELECT r.root, en.dst FROM r JOIN en ON en.src = r.node), w AS MATERIALIZED (SELECT root AS id, count(*) - 1 AS reach FROM r GROUP BY root)"
+_CANDIDATES = "cand AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY (NOT pinned), reach DESC, id) AS pos FROM (SELECT id, reach, true AS pinned FROM w WHERE id = 'P:1' UNION ALL (SELECT id, reach, false FROM w JOIN rt USING (id) WHERE w.reach >= 3 AND id <> 'P:1' ORDER BY w.reach DESC, id LIMIT 12)))"
+
+
+def _folded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes without modules, with the files that load them; edges among them."""
+    f = fold.modules(g.nodes(spark, d), g.edges(spark, d))
+    return fold.module_links(f["nodes"], f["uses"]), f["edges"]
 
 
-@query("entry_candidates", _with(q.NODES, q.EDGES, _VALID, _ROOT, _CANDIDATES, recursive=True) + "SELECT id, name, file, reach, pinned, pos, (SELECT count(*) FROM rt JOIN w USING (id) WHERE reach >= 3) + 1 AS total_qualifying FROM cand")
+@query(
+    "entry_candidates",
+    _with(q.NODES, q.EDGES, _MODULES, _ROOT, _CANDIDATES, "us AS (SELECT DISTINCT e.dst AS id, mo.file FROM edges e JOIN mo ON mo.id = e.src WHERE e.dst IN (SELECT id FROM mp))", recursive=True)
+    + "SELECT c.id, n.name, n.file, n.start_line, n.end_line, c.reach, c.pinned, CASE WHEN c.pinned THEN 'pinned' ELSE 'no-callers' END AS reason, CASE WHEN NOT c.pinned THEN (SELECT array_to_string(list_sort(list(file))[1:3], ',') FROM us WHERE us.id = c.id) END AS loaded_by, CASE WHEN NOT c.pinned THEN (SELECT CAST(nullif(count(*), 0) AS INTEGER) FROM us WHERE us.id = c.id) END AS loaders, pos, (SELECT count(*) FROM rt JOIN w USING (id) WHERE reach >= 3 AND id <> 'P:1') + 1 AS total_qualifying FROM cand c JOIN nn n ON n.id = c.id",
+)
 def entry_candidates(spark, d):
-    """TRV-10, TRV-12, TOP-07, FLT-24, FLT-31, API-05"""
-    return entry.candidates(g.nodes(spark, d), g.edges(spark, d), ["P:1", "P:1"])
+    """TRV-10, TRV-12, TRV-13, TOP-07, FLT-24, FLT-31, API-05"""
+    out = entry.candidates(*_folded(spark, d), ["P:1", "P:1"])[0]
+    return out.withColumns({"loaders": F.col("loaded_by.total"), "loaded_by": F.array_join("loaded_by.first", ",")})
 
 
-@query("entry_relations", _with(q.NODES, q.EDGES, _VALID, _ROOT, _CANDIDATES, "m AS (SELECT r.* FROM r JOIN cand ON cand.id = r.root WHERE r.root <> r.node)", recursive=True) + "SELECT x.root AS a, y.root AS b, count(*) AS shared_reach FROM m x JOIN m y ON x.node = y.node AND x.root < y.root GROUP BY 1, 2")
+@query("entry_relations", _with(q.NODES, q.EDGES, _ROOT, _CANDIDATES, "m AS (SELECT r.* FROM r JOIN cand ON cand.id = r.root WHERE r.root <> r.node)", recursive=True) + "SELECT x.root AS a, y.root AS b, count(*) AS shared_reach FROM m x JOIN m y ON x.node = y.node AND x.root < y.root GROUP BY 1, 2")
 def entry_relations(spark, d):
     """JOIN-20, SET-02"""
-    n, e = g.nodes(spark, d), g.edges(spark, d)
-    starts = traverse.roots(n, e).filter(~paths.no_entry_file("file")).select("id").unionByName(n.filter("id = 'P:1'").select("id"))
-    reached = traverse.cut(traverse.reach(n, e, starts))
-    return entry.relations(reached, entry.candidates(n, e, ["P:1"], reached))
+    listed, reached = entry.candidates(*_folded(spark, d), ["P:1"])
+    return entry.relations(reached, listed)
+
+
+@query(
+    "reach_upper_bounds",
+    _with(q.NODES, q.EDGES, _VALID, "v AS (SELECT count(DISTINCT id) AS v FROM nodes)", "r0 AS (SELECT id, 1::BIGINT AS b FROM nodes WHERE starts_with(id, 'R:'))")
+    + "".join(f", {x} AS MATERIALIZED (SELECT n.id, least((SELECT v FROM v), 1 + coalesce(CAST(sum(y.b) AS BIGINT), 0)) AS b FROM nodes n LEFT JOIN ed ON ed.src = n.id LEFT JOIN ({y}) y ON y.id = ed.dst WHERE starts_with(n.id, '{p}:') GROUP BY n.id)" for x, y, p in (("r1", "SELECT * FROM r0", "N"), ("r2", "SELECT * FROM r1", "S"), ("r3", "SELECT * FROM r2", "P"), ("r4", "SELECT * FROM r3", "O"), ("r5", "SELECT * FROM r4 UNION ALL SELECT * FROM r1", "C")))
+    + " SELECT id, b - 1 AS bound FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5)",
+)
+def reach_upper_bounds(spark, d):
+    """TRV-11"""
+    n = g.nodes(spark, d)
+    return condense.reach_upper_bounds(n, traverse.valid_edges(n, g.edges(spark, d)).filter("src != dst").select("src", "dst").distinct())
 
 
 _SIMILAR = "ok AS MATERIALIZED (SELECT id, name, file FROM nodes WHERE kind = 'Function' AND NOT test), both_ways AS (SELECT a, b, score FROM simpairs UNION SELECT b, a, score FROM simpairs), sp AS (SELECT p.a AS id, p.b AS other, y.name, y.file, p.score FROM both_ways p JOIN ok x ON x.id = p.a JOIN ok y ON y.id = p.b WHERE p.score >= 0.9 AND x.file <> y.file)"
@@ -399,9 +421,6 @@ def cluster_edges(spark, d):
     return review.cluster_edges(g.edges(spark, d), diff.changed_nodes(n, g.change(spark, d)["changed"]), cluster_of, n.filter("id NOT LIKE 'P:%'").select("id"))
 
 
-_MODULES = "mo AS MATERIALIZED (SELECT id, file FROM nodes WHERE kind = 'Module'), mp AS MATERIALIZED (SELECT id FROM nodes WHERE kind <> 'Module')"
-
-
 @query("fold_modules", _with(q.NODES) + "SELECT file, array_to_string(list_sort(list(DISTINCT id)), ',') AS module_ids, min(start_line) AS start_line, max(end_line) AS end_line FROM nodes WHERE kind = 'Module' GROUP BY file")
 def fold_modules(spark, d):
     """AGG-06"""
@@ -465,12 +484,6 @@ def neighbours_shown(spark, d):
     return canvas.shown(nb, "neighbours", ["id"], ["other"])
 
 
-@query("reach_upper_bounds")
-def reach_upper_bounds(spark, d):
-    """TRV-11"""
-    return canvas.reach_upper_bounds(g.nodes(spark, d), traverse.valid_edges(g.nodes(spark, d), g.edges(spark, d)))
-
-
 @query("event_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM events")
 def event_times(spark, d):
     """FN-13"""
