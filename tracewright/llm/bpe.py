@@ -20,10 +20,12 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import TwoAges, byte_runs, held, pick
+from .common import TwoAges, byte_runs, held, pick, small_batches
 
 
 HEAD = 6
+#: What a worker keeps, in bytes: whether pairs of tokens stand, prefixes of pieces, pieces and words with their ids.
+PAIR_BYTES, HEAD_BYTES, PIECE_BYTES, FIRST_BYTES, WORD_BYTES = 48 << 20, 32 << 20, 24 << 20, 12 << 20, 96 << 20
 
 
 class Vocabulary:
@@ -42,10 +44,10 @@ class Vocabulary:
         for data, rank in ranks.items():
             self.token[rank] = data
         #: Tokens that merging makes from their own bytes; others occur as a whole piece only.
-        self._own = TwoAges(lambda t: self.merge(self.token[t]) == [t], 1 << 18)
-        self._pair = TwoAges(lambda p: self.merge(self.token[p[0]] + self.token[p[1]]) == [p[0], p[1]], 1 << 20)
+        self._own = TwoAges(lambda t: self.merge(self.token[t]) == [t], 16 << 20)
+        self._pair = TwoAges(lambda p: self.merge(self.token[p >> 32] + self.token[p & 0xFFFFFFFF]) == [p >> 32, p & 0xFFFFFFFF], PAIR_BYTES, 90)
         #: Last tokens of the prefixes of a piece's first HEAD bytes, which many pieces share.
-        self._heads = TwoAges(self._head, 1 << 18)
+        self._heads = TwoAges(self._head, HEAD_BYTES)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -76,7 +78,7 @@ class Vocabulary:
                 if size <= end:
                     start = end - size
                     t = ranks(data[start:end])
-                    if t is not None and (pair[last[start], t] if start else own[t]):
+                    if t is not None and (pair[last[start] << 32 | t] if start else own[t]):
                         last.append(t)
                         break
             else:
@@ -153,15 +155,15 @@ class PieceBuffer:
 class Tokenizer:
     """Splits a text into the matches of a pattern and encodes each on its own."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 900_000):
+    def __init__(self, path: str, pattern: str):
         import regex
 
         self.v = Vocabulary.load(path)
         self.split = regex.compile(pattern).findall
         self._match = regex.compile(pattern).match
-        self._piece = TwoAges(lambda s: np.array(self.v.encode_piece(s.encode("utf-8")), "<u4").tobytes(), cached // 4)
-        self._first = TwoAges(self._split, cached // 8)
-        self._rest = TwoAges(lambda s: self._split(" " + s), cached)
+        self._piece = TwoAges(lambda s: np.array(self.v.encode_piece(s.encode("utf-8")), "<u4").tobytes(), PIECE_BYTES)
+        self._first = TwoAges(self._split, FIRST_BYTES)
+        self._rest = TwoAges(lambda s: self._split(" " + s), WORD_BYTES)
         self._line_end = self._split("\n")
         self._double = re.compile(r"\s\s").search
 
@@ -244,6 +246,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     with_ids adds ids array<int>. Null text: as the empty text, no tokens. Null ids, repeated rows
     and empty tables pass through. Other columns of docs are not read.
     """
+    small_batches(docs.sparkSession)
     schema = "id {}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean".format(dict(docs.dtypes)[id_col])
     schema += ", ids array<int>" if with_ids else ""
 

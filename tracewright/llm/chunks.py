@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, byte_runs, pick, written
+from .common import BLANKS, byte_runs, pick, small_batches, written
 
 LEAST, USUAL, MOST = 512, 2048, 8192
 
@@ -114,6 +114,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_
     empty text. Null ids come last; of several rows with the smallest id exactly one stays. Empty
     texts have the empty recipe and equal each other. Other columns of docs are not read.
     """
+    small_batches(docs.sparkSession)
     rows = written(recipes(docs, id_col, text_col, hash_bits).withColumn("row", F.monotonically_increasing_id()), "recipes")
     alike = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     suspects = rows.join(alike.select("recipe"), "recipe", "left_semi").select("id").distinct()

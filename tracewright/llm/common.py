@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only word separator of the word contracts.
 BLANKS = b" \t\n\x0b\x0c\r"
+BATCH_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,17 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's spark.checkpoint.dir names it.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Where that is unset, a temporary folder is made and set if the master is local; on a cluster it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows come to this session's Python workers in batches of BATCH_BYTES; a batch is held a few times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
@@ -42,10 +52,18 @@ def release(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What was shuffled for it is deleted once it is written.
+    """
     spark = df.sparkSession
     path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -120,18 +138,27 @@ def held(key, make):
 
 
 class TwoAges(dict):
-    """A cache of bounded size: when full, the younger half ages and the older half goes."""
+    """A cache of about `most` bytes: when half is full, the younger half ages and the older one goes.
 
-    def __init__(self, make, most: int):
+    Keys and values are text, bytes, numbers or lists of numbers.
+    """
+
+    def __init__(self, make, most: int, entry: int = 140):
+        """entry: bytes that an entry takes besides the characters, bytes or numbers that it holds."""
         super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
+        self.make, self.most, self.entry, self.old, self.held = make, most // 2, entry, {}, 0
+
+    @staticmethod
+    def size(x) -> int:
+        return 8 * len(x) if isinstance(x, list) else len(x) if isinstance(x, (str, bytes)) else 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        self.held += self.entry + self.size(key) + self.size(value)
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
         return value

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, byte_runs, held, pick
+from .common import BLANKS, byte_runs, held, pick, small_batches
 from .words import HashTable, code_points, repeated_words, split
 
 
@@ -55,7 +55,7 @@ _NOT_SYMBOLS = bytes(sorted(set(range(256)) - set(SYMBOLS)))
 class FertilityTable(HashTable):
     """Words with their hashes and tokens."""
 
-    def __init__(self, model: str, most: int = 250_000):
+    def __init__(self, model: str, most: int = 64 << 20):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -139,6 +139,7 @@ def measure(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     Null or unknown language: the band under LATIN, or under None for texts mostly not of ASCII. Null ids and repeated rows are kept as they are;
     columns of docs not named are not read.
     """
+    small_batches(docs.sparkSession)
     bands = BANDS if bands is None else bands
     types = dict(docs.dtypes)
     carried = [id_col, *keep]

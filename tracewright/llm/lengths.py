@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_runs, pick
+from .common import byte_runs, pick, small_batches, written
 
 WIDTH = 1024
 
@@ -42,6 +42,7 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str, text_col: str = "t
                     found[n] = found.get(n, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["length", "n_docs"])
 
+    small_batches(docs.sparkSession)
     return pick(docs, text_col).mapInArrow(run, "length long, n_docs long")
 
 
@@ -51,9 +52,9 @@ def histogram(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     Returns for each length that occurs: length, n_docs, n_tokens, docs_from and tokens_from (of this
     length or longer), truncated_total (all tokens if texts are cut to this length), docs_upto (of
     this length or shorter). All long. Null and empty texts have length 0. Empty table: no rows.
-    Sums run within ranges of WIDTH lengths; only a row for each range meets in one task.
+    The histogram is written once, so texts are encoded once. Sums run within ranges of WIDTH lengths; only a row for each range meets in one task.
     """
-    h = encoded_lengths(docs, path, pattern, text_col).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    h = written(encoded_lengths(docs, path, pattern, text_col).groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "lengths")
     h = h.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / WIDTH).alias("band"))
     up = Window.orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
     bands = h.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_runs, written
+from .common import byte_runs, small_batches, written
 from .words import _ODD, mix
 
 #: A block of fewer words stays.
@@ -221,6 +221,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     Documents are in order of their ids, those without an id last; rows of the same id and text are
     one document, so repeated rows don't delete each other's lines. rare has no effect any more.
     """
+    small_batches(docs.sparkSession)
     recs = written(_lines(_keyed(docs, id_col, text_col)).dropDuplicates(KEY), "lines")
     runs = _runs(recs, block_words)
     firsts = runs.groupBy("r").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").drop("last")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_runs, pick, written
+from .common import byte_runs, pick, small_batches, written
 from .words import _ODD, mix, split
 
 #: Weight of the pair's own frequency against the word's, and what is added to each word's count.
@@ -31,6 +31,8 @@ LEAST = 2
 START, WORDS = 0, 1
 #: Tokens of the corpus for each bucket that counts words and pairs.
 PER_BUCKET = 2 << 20
+#: Bits of a pair's hash beyond those that number all tokens: of 2^EXTRA_BITS pairs about one is taken for another.
+EXTRA_BITS = 24
 KINDS = ("words", "pairs")
 
 
@@ -81,7 +83,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, target: bool) -> DataFr
     return pick(docs, id_col, text_col).mapInArrow(run, f"block long, target boolean, tokens long, texts long, ids array<{kind}>, lens array<int>, toks binary, words binary")
 
 
-def _pairs(lens: np.ndarray, toks: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+def _pairs(lens: np.ndarray, toks: np.ndarray, words: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """Of a block's distinct pairs, rising by hash: hash, first, second, how often; and the pair of each token."""
     before = np.empty(len(toks), np.int64)
     before[1:] = toks[:-1]
@@ -90,20 +92,20 @@ def _pairs(lens: np.ndarray, toks: np.ndarray, words: np.ndarray) -> tuple[np.nd
     code, of, n = np.unique(before * size + toks, return_inverse=True, return_counts=True)
     a, b = code // size, code % size
     names = np.concatenate([np.ones(WORDS, np.uint64), words])
-    pair = mix(names[a] * _ODD + names[b])
+    pair = mix(names[a] * _ODD + names[b]) >> np.uint64(64 - bits)
     order = np.argsort(pair)
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     return pair[order], a[order], b[order], n[order], back[of]
 
 
-def _dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Ends of each bucket's share of rising hashes."""
-    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+def _dealt(hashes: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Ends of each bucket's share of rising hashes of so many bits."""
+    edges = (np.arange(1, buckets, dtype=object) * (1 << bits) // buckets).astype(np.uint64)
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
-def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
+def _asked(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
     """bucket, asker (a block), target, words, pairs (rising hashes) and their numbers in the block; only rows that ask for something."""
 
     def run(batches):
@@ -114,10 +116,10 @@ def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
                 lens, words = row["lens"].values.to_numpy(zero_copy_only=False), np.frombuffer(row["words"].as_py(), np.uint64)
                 toks = from_planes(row["toks"].as_py(), "<u4").astype(np.int64)
-                pair, _, _, n, _ = _pairs(lens, toks, words)
+                pair, _, _, n, _ = _pairs(lens, toks, words, bits)
                 order = np.argsort(words)
                 both = [(words[order], np.bincount(toks, minlength=len(words) + WORDS)[WORDS:][order]), (pair, n)]
-                ends = [_dealt(h, buckets) for h, _ in both]
+                ends = [_dealt(h, buckets, k) for (h, _), k in zip(both, (64, bits), strict=True)]
                 some = np.flatnonzero((np.diff(ends[0]) > 0) | (np.diff(ends[1]) > 0))
                 cols = [pa.array(some, pa.int32()), pa.array([row["block"].as_py()] * len(some), pa.int64()), pa.array([row["target"].as_py()] * len(some), pa.bool_())]
                 for (h, m), e in zip(both, ends, strict=True):
@@ -167,8 +169,9 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     (mean nats a token), ce_diff (their difference); the three are null for a text without words.
     Null text: no words; very long texts are a block of their own. Null ids and repeated rows are
     kept; each occurrence counts. Empty target: every word has the same share there. Empty docs: no
-    rows. Columns not named are not read. Words and pairs are known by 64-bit hashes.
+    rows. Columns not named are not read. Words are known by 64-bit hashes, pairs by as many bits as EXTRA_BITS says.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     of_target = target.select(F.lit(None).cast(kind).alias(id_col), text_col)
     blocks = written(_blocks(docs, id_col, text_col, False).unionByName(_blocks(of_target, id_col, text_col, True)), "blocks")
@@ -176,7 +179,8 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     total = {s: sums[s == "t"]["tokens"] if (s == "t") in sums else 0 for s in "tb"}
     texts = {s: sums[s == "t"]["texts"] if (s == "t") in sums else 0 for s in "tb"}
     buckets = max(1, -(-sum(total.values()) // PER_BUCKET))
-    answers = written(_answered(_asked(blocks, buckets)), "answers")
+    bits = min(64, EXTRA_BITS + sum(total.values()).bit_length())
+    answers = written(_answered(_asked(blocks, buckets, bits)), "answers")
     known = answers.filter("asker IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("listed", "listed_t", "listed_b")]).first()
     size = known["listed"] + 1
     unknown = {s: total[s] - known[f"listed_{s}"] for s in "tb"}
@@ -187,7 +191,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         lens = block.column("lens").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         words = np.frombuffer(block.column("words")[0].as_py(), np.uint64)
         toks = from_planes(block.column("toks")[0].as_py(), "<u4").astype(np.int64)
-        _, a, b, _, of = _pairs(lens, toks, words)
+        _, a, b, _, of = _pairs(lens, toks, words, bits)
         order = np.argsort(answer.column("bucket").to_numpy())
         read = lambda c: np.concatenate([np.zeros(0, np.int64), *[from_planes(answer.column(c)[i].as_py(), "<u8").astype(np.int64) for i in order]])
         full = lens > 0

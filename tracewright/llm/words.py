@@ -35,28 +35,33 @@ class _Index(dict):
 
 
 class WordTable:
-    """Numbers for words, kept over texts. Starts anew with a text once it holds more than `most` words.
+    """Numbers for words, kept over texts. Starts anew with a text once it holds more than `most` bytes, counting ENTRY for
+    each word besides its own.
 
     describe(first, new words) is called with the words not known before, numbered from first.
     """
 
-    def __init__(self, most: int = 500_000):
+    ENTRY = 200
+
+    def __init__(self, most: int = 64 << 20):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
         self.index = _Index()
+        self.held = 0
 
     def describe(self, first: int, words: list[bytes]) -> None:
         raise NotImplementedError
 
     def slots(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.most:
+        if self.held > self.most:
             self.clear()
         index = self.index
         out = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         if index.new:
             new, index.new = index.new, []
+            self.held += sum(map(len, new)) + self.ENTRY * len(new)
             self.describe(len(index) - len(new), new)
         return out
 
