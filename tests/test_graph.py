@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 from conftest import rows
@@ -201,17 +203,86 @@ def test_partition_by_component_equals_whole():
         assert groups == apart
 
 
+def plain_depths(members, callees, called):
+    """Walks one after the other, each over what is left."""
+    left, out = set(members), {}
+    starts = sorted(m for m in members if not called[m]) or [min(members, key=lambda m: (-called[m], m))]
+    while left:
+        start = next((s for s in starts if s in left), None) or min(left)
+        level, depth = [(start, None)], 0
+        left.remove(start)
+        while level:
+            out |= {n: (depth, p) for n, p in level}
+            depth, above, level = depth + 1, [n for n, _ in level], []
+            for n in above:
+                new = sorted(c for c in callees.get(n, ()) if c in left)
+                left -= set(new)
+                level += [(c, n) for c in new]
+    return out
+
+
+def test_depths(spark):
+    r = random.Random(8)
+    nodes, edges, want = [], [], {}
+    for k, (n, m) in enumerate([(9, 14), (8, 20), (6, 5), (1, 0), (5, 25)]):
+        ids = [f"c{k}n{i}" for i in range(n)]
+        nodes += [(i, f"c{k}") for i in ids]
+        pairs = {(r.choice(ids), r.choice(ids)) for _ in range(m)} - {(i, i) for i in ids}
+        if k == 4:
+            pairs |= set(zip(ids, ids[1:] + ids[:1], strict=True))
+        edges += sorted(pairs)
+        callees = {i: [b for a, b in pairs if a == i] for i in ids}
+        want |= plain_depths(ids, callees, {i: sum(b == i for _, b in pairs) for i in ids})
+    members = spark.createDataFrame(nodes, "id string, community string")
+    inner = community.structure(spark.createDataFrame(edges, "src string, dst string"), members)
+    assert {x.id: (x.depth, x.parent) for x in layout.depths(members, inner).collect()} == want
+
+
+def plain_relax(n, links, passes=4):
+    slot, wide = list(range(n)), math.ceil(math.sqrt(n))
+    total = lambda s: sum(w * math.dist(divmod(s[a], wide), divmod(s[b], wide)) for a, b, w in links)
+    for _ in range(passes):
+        for a, b in itertools.combinations(range(n), 2):
+            other = slot.copy()
+            other[a], other[b] = other[b], other[a]
+            both = [x for x in links if {a, b} & set(x[:2])]
+            ab = sum(w * math.dist(divmod(slot[a], wide), divmod(slot[b], wide)) for x, y, w in both if {x, y} == {a, b})
+            if total(other) < total(slot) - 1e-9 and ab >= 0:
+                slot = other
+    return slot
+
+
 def test_layouts(spark):
-    assert layout.depths(["a", "b", "c"], {"a": ["b"], "b": ["c"], "c": ["a"]}, {"a": 1, "b": 2, "c": 1}) == {"b": (0, None), "c": (1, "b"), "a": (2, "c")}
-    at = layout.layered([("r", 0, None, ()), ("b", 1, "r", ()), ("a", 1, "r", ())])
-    assert at == {"r": (0.0, 0.0), "a": (260.0, 0.0), "b": (260.0, 110.0)}
-    assert sorted(layout.relax(["a", "b", "c", "d", "e"], [("a", "e", 9)])) == [0, 1, 2, 3, 4]
+    r = random.Random(2)
+    for n in (1, 2, 5, 9, 12):
+        links = [(a, b, r.randint(1, 9)) for a in range(n) for b in range(a) if r.random() < 0.4]
+        assert layout.relax([f"b{i}" for i in range(n)], [(f"b{a}", f"b{b}", w) for a, b, w in links]) == plain_relax(n, links)
+    cards = spark.createDataFrame([("k", "r", 0, None, 0), ("k", "b", 1, "r", 0), ("k", "a", 1, "r", 0), ("k", "top", 1, "r", -3), ("k", "z", 3, "b", 0), ("k", "y", 3, "a", 0)], "block string, id string, depth int, parent string, rank int")
+    sizes = spark.createDataFrame([("top", 300.0, 200.0)], "id string, width double, height double")
+    places, extent = layout.layered(cards, sizes)
+    assert rows(places, "id", "x", "y") == [("a", 260.0, 224.0), ("b", 260.0, 334.0), ("r", 0.0, 0.0), ("top", 260.0, 0.0), ("y", 880.0, 0.0), ("z", 880.0, 110.0)]
+    assert rows(extent) == [("k", 1140.0, 444.0)]
+    many = spark.createDataFrame([("k", f"n{i:02}", 0, None, 0) for i in range(10)], "block string, id string, depth int, parent string, rank int")
+    assert rows(layout.layered(many, square=True)[0], "id", "x", "y")[4:6] == [("n04", 0.0, 440.0), ("n05", 260.0, 0.0)]
     assert layout.zoom_band(0.9, 0.5) == 0.5 and layout.zoom_band(0.3, 0.5) == 0.25
+    assert layout.live_view(-130.0, 40.0, 0.5, 800.0, 400.0, 0.5) == (0.5, (400.0, 0.0, 1600.0, 800.0)) and layout.live_view(0, 0, 1, 0, 9, 0.5)[1] == (0.0, 0.0, 0.0, 0.0)
     cards = spark.createDataFrame([(0, 300.0, None), (1, None, None), (2, 100.0, 200.0)], "index int, width double, height double")
-    assert [(r.x, r.y) for r in layout.measured_grid(cards, 2).orderBy("index").collect()] == [(0.0, 0.0), (300.0, 0.0), (0.0, 200.0)]
+    assert [(x.x, x.y) for x in layout.measured_grid(cards, 2).orderBy("index").collect()] == [(0.0, 0.0), (360.0, 0.0), (0.0, 224.0)]
     pts = spark.createDataFrame([("a", 10.0, 10.0), ("b", 20.0, 20.0), ("c", 900.0, 900.0)], "id string, x double, y double")
     assert rows(layout.level_of_detail(pts, 1.0, 2.0, (0.0, 0.0, 1000.0, 1000.0)), "nodes", "full") == [(1, True), (2, False)]
-    assert len(layout.full_layout({"c1": ["a", "b"], "c2": ["c"]}, {"a": ["b"]}, {"b": 1}, [("c1", "c2", 1)])) == 3
+    # a and b share cells up to the threshold; c is alone at once
+    far = spark.createDataFrame([("a", 10.0, 10.0), ("b", 20.0, 20.0), ("c", 9000.0, 900.0)], "id string, x double, y double")
+    assert layout.zoom_to_show(far, "c", 0.4, 1.0, 800, 600) == 0.4 and layout.zoom_to_show(far, "a", 0.4, 1.0, 800, 600) == 1.0 and layout.zoom_to_show(far, "a", 0.4, 1.0, 0, 0) == 0.4
+    assert rows(layout.bounds_of(pts)) == [(-120.0, -45.0, 1150.0, 1000.0)]
+    assert layout.fit((0.0, 0.0, 1000.0, 500.0), (1.0, 2.0), 1100.0, 1100.0) == (550.0 - 500.0, 550.0 - 250.0, 1.0)
+    assert layout.fit((0.0, 0.0, 1e5, 1e5), (100.0, 200.0), 800.0, 600.0) == (400.0 - 25.0, 300.0 - 50.0, 0.25)
+    assert layout.shelves([("a", 1000.0, 100.0), ("b", 300.0, 200.0), ("c", 100.0, 100.0)]) == {"a": (0.0, 0.0), "b": (0.0, 320.0), "c": (820.0, 320.0)}
+    members = spark.createDataFrame([("a", "c1"), ("b", "c1"), ("c", "c2"), ("d", "c3"), ("e", "c3"), ("u", "community:unreferenced"), ("v", "community:unreferenced")], "id string, community string")
+    inner = community.structure(spark.createDataFrame([("a", "b"), ("d", "e")], "src string, dst string"), members)
+    links = spark.createDataFrame([("c1", "c2", 1)], "source string, target string, count long")
+    got = layout.full_layout(members, inner, links, ["c1", "c2", "c3", "community:unreferenced"], spark.createDataFrame([("t",)], "id string"), ["c3"])
+    at = {x.id: (x.x, x.y) for x in got.collect()}
+    assert at.keys() == {"a", "b", "c", "c3", "u", "v", "t"} and at["a"] == (0.0, 0.0) and at["b"] == (260.0, 0.0) and at["v"][0] == at["u"][0] + 260.0
 
 
 def test_drill_tree():

@@ -69,28 +69,19 @@ class Tree:
         return Tree(tuple(e for e in self.entries if e is not stub))._layer(node, stub.depth, callees, reach, under)[0]
 
     def collapse(self, node: str) -> Tree:
-        """TRV-21: without what hangs below the node; what is linked from elsewhere moves to its first link."""
+        """TRV-21: without what hangs below the node; what is linked from elsewhere moves to its first link.
+
+        A descent over (parent, id): rounds add the ids whose parent is under the node, until none is new.
+        """
         if node not in self.shown():
             return self
-        top = {e.id for e in self.entries if e.kind == "node" and e.parent is None}
-        gone: dict[str, int] = {}
-        todo = [node]
-        for parent in todo:
-            for e in self.entries:
-                if e.kind == "node" and e.parent == parent and e.id not in gone and e.id not in top and e.id != node:
-                    gone[e.id] = e.reach
-                    todo.append(e.id)
-        out, home = [], set()
-        for e in self.entries:
-            if e.kind == "node":
-                if e.id not in gone:
-                    out.append(e)
-            elif e.parent != node and e.parent not in gone:
-                if e.kind == "ref" and e.id in gone and e.id not in home:
-                    home.add(e.id)
-                    e = Entry("node", e.parent, e.depth, e.id, gone[e.id])
-                out.append(e)
-        return Tree(tuple(out))
+        hung = {e.id: e for e in self.entries if e.kind == "node" and e.parent is not None}
+        under: set[str] = set()
+        while more := {i for i, e in hung.items() if e.parent in under | {node}} - under - {node}:
+            under |= more
+        stays = [e for e in self.entries if (e.id not in under if e.kind == "node" else e.parent not in under | {node})]
+        first = {e.id: k for k, e in reversed(list(enumerate(stays))) if e.kind == "ref" and e.id in under}
+        return Tree(tuple(Entry("node", e.parent, e.depth, e.id, hung[e.id].reach) if first.get(e.id) == k and e.kind == "ref" else e for k, e in enumerate(stays)))
 
     def refreshed(self, known: set[str], callees: Callees, reach: Reach) -> Tree:
         """TRV-22: after a new map: without unknown nodes and what hung below them, reach renewed, and new callees of expanded nodes added."""
