@@ -145,25 +145,57 @@ def test_chunks_follow_content():
     assert all(512 <= len(p) <= 8192 for _, p in chunks.chunk(data)[:-1])
 
 
-def plain_line_dedup(texts, ids, least=30, rare=64):
+def bounds_of_line_dedup(texts, least=30):
+    """Of texts in their order: lines that must go (in a common block with an earlier text, all of whose lines occur once
+    in both), and lines that may (in any run of least words that an earlier text has too)."""
+    lines = [(t or "").split("\n") for t in texts]
+    words = [[len(x.split()) for x in ls] for ls in lines]
+    plain = [[x if x.split() else "" for x in ls] for ls in lines]
+    must, may = [set() for _ in texts], [set() for _ in texts]
+    for d, own in enumerate(plain):
+        for other in plain[:d]:
+            for s in range(len(own)):
+                for t in range(len(other)):
+                    n = 0
+                    while s + n < len(own) and t + n < len(other) and own[s + n] == other[t + n]:
+                        n += 1
+                    if sum(words[d][s : s + n]) >= least:
+                        may[d] |= set(range(s, s + n))
+            if all(own.count(x) == 1 == other.count(x) for x in set(own) & set(other)) and (both := [(k, other.index(x)) for k, x in enumerate(own) if x in other]) == sorted(both, key=lambda p: p[1]):
+                for s, t in both:
+                    n = 0
+                    while (s + n, t + n) in both:
+                        n += 1
+                    if sum(words[d][s : s + n]) >= least:
+                        must[d] |= set(range(s, s + n))
+    return must, may
+
+
+def test_line_dedup_against_common_runs(spark):
+    r = random.Random(5)
+    pool = [" ".join(f"w{i}x{k}" for k in range(r.choice([4, 9, 16, 31]))) for i in range(40)]
+    texts = []
+    for _ in range(120):
+        s = r.randrange(len(pool) - 6)
+        texts.append("\n".join([f"own {r.random()}"] * r.randint(0, 1) + pool[s : s + r.randint(1, 6)] + r.sample(pool, r.randint(0, 3))))
+    must, may = bounds_of_line_dedup(texts)
+    got = {x.doc_id: set(x.deleted) for x in line_align.dedup_lines(frame(spark, texts)).collect()}
+    assert all(must[i] <= got[i] <= may[i] for i in got) and sum(map(bool, must)) > 40
+
+
+def test_line_dedup_in_company(spark):
+    """More documents never make less go: an eight-line block goes whatever else holds its lines."""
+    block = [" ".join(f"b{i}w{k}" for k in range(10)) for i in range(8)]
+    texts = ["\n".join(["first", *block]), *[f"short {k}\n{block[k % 8]}" for k in range(16)], "\n".join([*block, "last"])]
+    got = {x.doc_id: x.deleted for x in line_align.dedup_lines(frame(spark, texts)).collect()}
+    assert got[17] == list(range(8)) and not any(got[i] for i in range(17))
+
+
+def plain_line_dedup(texts, ids, least=30):
+    """All pairs aligned."""
     order = sorted(set(zip([i is None for i in ids], [i or 0 for i in ids], texts, strict=True)), key=lambda x: (x[0], x[1]))
-    lines = [(t or "").split("\n") for _, _, t in order]
-    holders = {}
-    for d, ls in enumerate(lines):
-        for x in {x for x in ls if x.split()}:
-            holders.setdefault(x, []).append(d)
-    pairs = set()
-    for ds in holders.values():
-        pairs |= {(d, ds[0]) for d in ds[1:]}
-        if len(ds) <= rare:
-            pairs |= set(zip(ds[1:], ds, strict=False))
-    code = {}
-    hashed = [[code.setdefault(x, len(code) + 1) if x.split() else 0 for x in ls] for ls in lines]
-    gone = [set() for _ in order]
-    for d, e in pairs:
-        for a, b in line_align.common_blocks(hashed[d], [len(x.split()) for x in lines[d]], hashed[e], least):
-            gone[d] |= set(range(a, b))
-    return {(n, i, t): ("\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d]), sorted(gone[d])) for d, (n, i, t) in enumerate(order)}
+    gone = all_pairs_line_dedup([t or "" for _, _, t in order], least)
+    return {x: ("\n".join(y for k, y in enumerate((x[2] or "").split("\n")) if k not in gone[d]), gone[d]) for d, x in enumerate(order)}
 
 
 def test_line_dedup(spark):
@@ -194,7 +226,7 @@ def test_line_dedup(spark):
 def test_line_dedup_of_frequent_passage(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     texts = [f"head {i} x y\n{passage}\ntail {i}" for i in range(90)]
-    got = {r.doc_id: r for r in line_align.dedup_lines(frame(spark, texts), rare=4).collect()}
+    got = {r.doc_id: r for r in line_align.dedup_lines(frame(spark, texts)).collect()}
     assert got[0].n_deleted == 0 and all(got[i].deleted == [1] for i in range(1, 90))
     few = [f"head {i}\nshort line\ntail {i}" for i in range(9)]
     assert all(r.n_deleted == 0 for r in line_align.dedup_lines(frame(spark, few)).collect())
@@ -228,6 +260,8 @@ def test_patience():
     assert line_align.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_align.patience([5, 1, 2, 3], [1, 2, 3, 5]) in ([(1, 0), (2, 1), (3, 2)], [(0, 3)])
     assert line_align.patience([], [1]) == []
+    assert line_align.patience([9, 1, 2, 1, 2, 8], [7, 1, 2, 1, 2, 6]) == [(k, k) for k in range(1, 5)]
+    assert line_align.common_blocks([9, 1, 2, 1, 2, 8], [5, 9, 9, 9, 9, 5], [7, 1, 2, 1, 2, 6]) == [(1, 5)]
     r = random.Random(1)
     for _ in range(200):
         a, b = ([r.randrange(8) for _ in range(r.randrange(12))] for _ in range(2))

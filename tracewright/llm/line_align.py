@@ -48,12 +48,44 @@ def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def heavy_run(a: list, words: list[int], b: list, span: tuple[int, int, int, int], least: int) -> tuple[int, int, int] | None:
+    """Places in a and b and the length of the first run of equal lines that holds `least` words, as long as it goes; span: ranges of a and b."""
+    i, ie, j, je = span
+    size = {x: words[k] for k, x in enumerate(a[i:ie], i)}
+
+    def runs(seq, lo, hi):
+        """Each run from a line on that just holds enough words, all its lines being lines of a."""
+        for s in range(lo, hi):
+            held = 0
+            for e in range(s, hi):
+                if seq[e] not in size:
+                    break
+                held += size[seq[e]]
+                if held >= least:
+                    yield tuple(seq[s : e + 1]), s
+                    break
+
+    there = dict(reversed(list(runs(b, j, je))))
+    for run, s in runs(a, i, ie):
+        if run in there:
+            t, n = there[run], len(run)
+            while s > i and t > j and a[s - 1] == b[t - 1]:
+                s, t, n = s - 1, t - 1, n + 1
+            while s + n < ie and t + n < je and a[s + n] == b[t + n]:
+                n += 1
+            return s, t, n
+    return None
+
+
+def patience(a: list, b: list, words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
     """Aligned equal lines (place in a, place in b), rising in both.
 
     Within a range: equal lines at both ends are aligned; then the lines that occur once in either
-    range, in their longest common order, and the ranges between these in the same way.
+    range, in their longest common order, and the ranges between these in the same way. Where no
+    line occurs once in both, the first common run of `least` words (of a's lines; without words,
+    each counts one) is aligned, and what lies on either side of it.
     """
+    words = [1] * len(a) if words is None else words
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -66,13 +98,16 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out.append((ie, je))
         if i >= ie or j >= je:
             continue
-        once: dict[int, list[int]] = {}
+        once: dict[object, list[int]] = {}
         for side, (seq, lo, hi) in enumerate(((a, i, ie), (b, j, je))):
             for k in range(lo, hi):
                 x = once.setdefault(seq[k], [0, 0, 0, 0])
                 x[side] += 1
                 x[2 + side] = k
         anchors = longest_rising(sorted((p, q) for m, n, p, q in once.values() if m == 1 == n))
+        if not anchors:
+            run = heavy_run(a, words, b, (i, ie, j, je), least)
+            anchors = [(run[0] + k, run[1] + k) for k in range(run[2])] if run else []
         if not anchors:
             continue
         at, to = i, j
@@ -84,10 +119,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], words: list[int], b: list[int], least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+def common_blocks(a: list, words: list[int], b: list, least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
     """(start, end) in a of aligned runs without a gap on either side that hold `least` words or more."""
     out, run, held = [], [], 0
-    for p, q in [*patience(a, b), (-2, -2)]:
+    for p, q in [*patience(a, b, words, least), (-2, -2)]:
         if run and (p, q) == (run[-1][0] + 1, run[-1][1] + 1):
             run.append((p, q))
             held += words[p]
@@ -125,23 +160,29 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """nul, id, fp and, for each line, its hash (0: no word) and number of words; one row for each id and text."""
+    """nul, id, fp and, for each line, both halves of its 128-bit hash (0: no word) and number of words; one row for each id and text.
+
+    Runs are looked up by the first halves; lines are equal where both agree.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            hashes, words = [], []
+            hashes, others, words = [], [], []
             for _, texts in byte_runs(batch.column(3)):
                 for data in texts:
                     lines = (data or b"").split(b"\n")
                     n = [len(x.split()) for x in lines]
                     words.append(n)
-                    hashes.append([_signed(xxhash.xxh3_64_intdigest(x) or 1) if k else 0 for x, k in zip(lines, n, strict=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["nul", "id", "fp", "hashes", "words"])
+                    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) if k else bytes(16) for x, k in zip(lines, n, strict=True)), "<i8")
+                    hashes.append(both[::2])
+                    others.append(both[1::2])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (hashes, others)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, pa.array(words, pa.list_(pa.int32()))], names=["nul", "id", "fp", "hashes", "others", "words"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"nul boolean, id {kind}, fp long, hashes array<long>, words array<int>")
+    return docs.mapInArrow(run, f"nul boolean, id {kind}, fp long, hashes array<long>, others array<long>, words array<int>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -173,8 +214,8 @@ def _runs(recs: DataFrame, least: int) -> DataFrame:
 
 def _aligned(pairs: DataFrame, recs: DataFrame, least: int) -> DataFrame:
     """doc and gone: the places of its lines that some of its pairs (doc, other) deletes."""
-    side = recs.select(F.struct(*KEY).alias("doc"), "hashes", "words")
-    pairs = pairs.join(side, "doc").join(side.select(F.col("doc").alias("other"), F.col("hashes").alias("theirs")), "other")
+    side = recs.select(F.struct(*KEY).alias("doc"), "hashes", "others", "words")
+    pairs = pairs.join(side, "doc").join(side.select(F.col("doc").alias("other"), F.col("hashes").alias("theirs"), F.col("others").alias("their_others")), "other")
 
     def run(batches):
         import pyarrow as pa
@@ -182,13 +223,14 @@ def _aligned(pairs: DataFrame, recs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             keep, gone = [], []
             for k in range(batch.num_rows):
-                blocks = common_blocks(batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), least)
+                lines = [list(zip(batch.column(c)[k].as_py(), batch.column(c + 1)[k].as_py(), strict=True)) for c in (1, 3)]
+                blocks = common_blocks(lines[0], batch.column(5)[k].as_py(), lines[1], least)
                 if blocks:
                     keep.append(k)
                     gone.append([x for a, b in blocks for x in range(a, b)])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
 
-    found = pairs.select("doc", "hashes", "words", "theirs").mapInArrow(run, f"doc {dict(pairs.dtypes)['doc']}, gone array<int>")
+    found = pairs.select("doc", "hashes", "others", "theirs", "their_others", "words").mapInArrow(run, f"doc {dict(pairs.dtypes)['doc']}, gone array<int>")
     return found.select("doc", F.explode("gone").alias("p")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("p")).alias("gone"))
 
 
@@ -215,11 +257,11 @@ def _left(shared: DataFrame, gone: DataFrame, recs: DataFrame, least: int) -> Da
     return rows.select("doc", "hashes", "words", "rs", "gone").mapInArrow(run, f"doc {dict(side.dtypes)['doc']}, r long")
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int | None = None) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """nul, id, fp (the document: id is null, id, hash of the text) and gone: places of its lines to delete, rising.
 
     Documents are in order of their ids, those without an id last; rows of the same id and text are
-    one document, so repeated rows don't delete each other's lines. rare has no effect any more.
+    one document, so repeated rows don't delete each other's lines.
     """
     small_batches(docs.sparkSession)
     recs = written(_lines(_keyed(docs, id_col, text_col)).dropDuplicates(KEY), "lines")
@@ -245,20 +287,20 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
     gone = written(deletions(docs, id_col, text_col, **how), "gone")
     rows = docs.toDF(*names).select("*", F.col(at[id_col]).isNull().alias("nul"), F.coalesce(F.col(at[id_col]), F.lit("0").cast(kind)).alias("id"), F.xxhash64(at[text_col]).alias("fp"))
-    rows = rows.join(gone.hint("shuffle_hash"), KEY, "left")
+    rows = rows.join(gone, KEY, "left")
     lines = F.split(at[text_col], "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return rows.withColumn("left", F.when(F.col("gone").isNull(), F.col(at[text_col])).otherwise(left)), at
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, rare: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row of docs with what alignment deletes.
 
     Returns id_col, n_lines, n_deleted (long), text (what is left), deleted (array of line places).
     Null text stays null and has no lines; a text of one line is one block. Repeated rows of one id
     and text get the same result. Empty table: no rows. Columns not named are not read.
     """
-    rows, at = _cut(docs.select(id_col, text_col), id_col, text_col, block_words=block_words, rare=rare)
+    rows, at = _cut(docs.select(id_col, text_col), id_col, text_col, block_words=block_words)
     size = F.coalesce(F.size(F.split(at[text_col], "\n")), F.lit(0))
     size = F.when(F.col(at[text_col]).isNull(), F.lit(0)).otherwise(size)
     none = F.array().cast("array<int>")
