@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,8 @@ def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), 40, f"{shared_dir(spark)}/tables/slot-map-{uuid.uuid4().hex}")
+    # each table has a map of its own, which later runs edit
+    return sharding.shard(table(spark, sf_dir, "documents"), 40, f"{shared_dir(spark)}/slot-maps/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 N_SLOTS = 8192
 OVERHEAD = 16
+#: Rows equal in id and text share a slot up to so many.
+REPEATS = 16
 
 
 def text_bytes(text: str | Column) -> Column:
@@ -114,10 +118,19 @@ class SlotMap:
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, size (text bytes plus OVERHEAD), text_crc32 and virtual_slot of each row. The slot hashes the id and
-    the text's checksum: rows without an id are spread by their texts; only rows equal in both share a slot for sure."""
-    crc = text_crc(text_col)
-    return docs.select(F.col(id_col), (text_bytes(text_col) + OVERHEAD).alias("size"), crc.alias("text_crc32")).withColumn("virtual_slot", slot_of(n_slots, F.col(id_col), F.col("text_crc32")))
+    """id_col, size (text bytes plus OVERHEAD), text_crc32 and virtual_slot of each row.
+
+    The slot hashes the id and the text's checksum, so rows without an id are spread by their texts.
+    Rows equal in both that are more than REPEATS are dealt over all slots one by one, each by where
+    it stands; a slot would else hold them all. That number isn't the same in a second evaluation, so
+    the result must be written before it is used twice.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), (text_bytes(text_col) + OVERHEAD).alias("size"), text_crc(text_col).alias("text_crc32"))
+    key = F.xxhash64("id", "text_crc32")
+    rows = rows.withColumn("key", key)
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REPEATS).select("key", F.lit(True).alias("many"))
+    slot = F.when(F.col("many"), slot_of(n_slots, F.col("key"), F.monotonically_increasing_id())).otherwise(slot_of(n_slots, F.col("id"), F.col("text_crc32")))
+    return rows.join(many, "key", "left").select(F.col("id").alias(id_col), "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_weights(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list[int]]:
@@ -128,22 +141,38 @@ def slot_weights(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], li
     return size, count
 
 
+def stored(spark: SparkSession, path: str) -> SlotMap | None:
+    """The latest map at path; None where there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return SlotMap.load(spark, path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
 def shard(docs: DataFrame, n_shards: int, path: str | None = None, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put each row of docs into a shard of near equal bytes (law `bytes`).
 
     Returns id_col, size, text_crc32, law, shard, slot (the row's place in its shard, gapless from 0),
-    grown_shard (null under this law), virtual_slot and map_version. With `path`, the first map and
-    the rebalanced one are stored there. Null texts weigh OVERHEAD; null ids and repeated rows are
-    rows like others; of an empty table nothing is returned. A row can't be split, so shards are
-    near equal as far as single rows are small beside a shard.
+    grown_shard (null under this law), virtual_slot and map_version. With `path`, the map stored there
+    is edited: slots move as little as balance asks, and the next version is stored if any moved;
+    where none is stored, the first map and its rebalanced version are. A map of another number of
+    slots there is an error. Null texts weigh OVERHEAD; null ids and repeated rows are rows like
+    others; very long texts are read for their length and checksum only; of an empty table nothing
+    is returned; columns not named are not read. A row can't be split, so shards are near equal as
+    far as single rows are small beside a shard.
     """
     spark = docs.sparkSession
-    rows = records(docs, n_slots, id_col, text_col)
+    rows = written(records(docs, n_slots, id_col, text_col), "records")
     size, count = slot_weights(rows, n_slots)
-    old = SlotMap.first(n_slots, n_shards)
-    new = old.rebalance(size)
-    if path:
-        old.save(spark, path)
+    old = stored(spark, path) if path else None
+    if old is None:
+        old = SlotMap.first(n_slots, n_shards)
+        if path:
+            old.save(spark, path)
+    if len(old.shard) != n_slots:
+        raise ValueError(f"the map at {path} has {len(old.shard)} slots, not {n_slots}")
+    new = old.rebalance(size, n_shards)
+    if new.shard == old.shard and new.n_shards == old.n_shards:
+        new = old
+    elif path:
         new.save(spark, path)
     base, filled = [0] * n_slots, [0] * n_shards
     for slot, s in enumerate(new.shard):
