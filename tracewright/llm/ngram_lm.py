@@ -9,13 +9,14 @@ words; it and the table of pairs grow with the corpus. Texts are held in blocks
 asks once for each of its words and pairs, dealt by their hashes over as many buckets as the corpus
 needs; each bucket counts what all blocks ask it and answers them. So neither a task nor the driver
 holds a model, and a frequent pair is one entry for each block that has it. Numbers travel as sorted
-lists by byte planes, which the exchange's compression makes small.
+lists by byte planes, compressed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,20 +31,22 @@ LEAST = 2
 #: Numbers within a block: the start of a text, then the block's words.
 START, WORDS = 0, 1
 #: Tokens of the corpus for each bucket that counts words and pairs.
-PER_BUCKET = 2 << 20
+PER_BUCKET = 1 << 20
+#: Bytes of text in a block.
+BLOCK_BYTES = 2 << 20
 #: Bits of a pair's hash beyond those that number all tokens: of 2^EXTRA_BITS pairs about one is taken for another.
 EXTRA_BITS = 24
 KINDS = ("words", "pairs")
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers of one fixed width by planes of bytes, the first bytes of all first."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+    """Numbers of one fixed width by planes of bytes, the first bytes of all first, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), 1)
 
 
 def from_planes(data: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
 def rising(x: np.ndarray) -> bytes:
@@ -63,7 +66,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, target: bool) -> DataFr
 
         k, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for at, texts in byte_runs(batch.column(1)):
+            for at, texts in byte_runs(batch.column(1), BLOCK_BYTES):
                 index: dict[bytes, int] = {}
                 place = index.setdefault
                 lens, toks = [], []
@@ -71,8 +74,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, target: bool) -> DataFr
                     ws = split(data or b"")
                     lens.append(len(ws))
                     toks.append(np.fromiter((place(w, len(index)) for w in ws), np.uint32, len(ws)))
-                flat = np.concatenate(toks) + np.uint32(WORDS)
+                flat = np.concatenate(toks)
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+                # frequent words get small numbers
+                order = np.argsort(-np.bincount(flat, minlength=len(hashes)), kind="stable")
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(WORDS, len(order) + WORDS, dtype=np.uint32)
+                flat, hashes = rank[flat], hashes[order]
                 ids = batch.column(0).slice(at, 0 if target else len(texts))
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(lens, pa.int32()))]
                 cols = [pa.array([((part << 24) + k) * 2 + target]), pa.array([target]), pa.array([len(flat)], pa.int64()), pa.array([sum(n > 0 for n in lens)], pa.int64()), *lists]
