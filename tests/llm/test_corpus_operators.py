@@ -401,7 +401,7 @@ def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in cp.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "mixing", "encoding"]
-    good = {r.doc_id for r in fertility.measure(docs, P.path(PIECES)).filter("kept").collect()}
+    good = {r.doc_id for r in fertility.measure(docs, P.path(PIECES), P.path(MULTI), P.PATTERN).filter("kept").collect()}
     left = [r for r in docs.orderBy("doc_id").collect() if r.doc_id in good]
     cut = plain_line_dedup([r.text for r in left], [r.doc_id for r in left])
     texts = {i: v[0] for (_, i, t), v in cut.items() if v[0].split() or not v[1]}

@@ -103,13 +103,13 @@ def test_quality_base(spark, docs):
     r = random.Random(1)
     more = ["".join(r.choice(["ab ", "cd\n", "#", "é ", "x y z w v u t s ", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(80)]
     d = spark.createDataFrame([(100 + i, t, "en") for i, t in enumerate(more)], "doc_id long, text string, lang string").unionByName(docs.select("doc_id", "text", "lang"))
-    got = fertility.measure(d, PIECES).collect()
+    got = fertility.measure(d, PIECES, MULTI, P.PATTERN).collect()
     texts = {x.doc_id: x.text for x in d.collect()}
     assert len(got) == d.count()
     for x in got:
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == plain_quality(texts[x.doc_id])
         assert not (x.base_failed and x.kept)
-    assert fertility.measure(d.limit(0), PIECES).count() == 0
+    assert fertility.measure(d.limit(0), PIECES, MULTI, P.PATTERN).count() == 0
 
 
 def test_quality_tokens(spark):
@@ -121,7 +121,7 @@ def test_quality_tokens(spark):
     text = "The cat sat on the mat 日 and ☃ again the cat"
     ids = [t for w in text.split() for t in sp.encode(w)]
     n = Counter(ids)
-    x = fertility.measure(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), PIECES).first()
+    x = fertility.measure(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), PIECES, MULTI, P.PATTERN).first()
     assert x.n_tokens == len(ids) and x.fallback_share == pytest.approx(sum(sp.is_byte(t) for t in ids) / len(ids))
     assert x.token_entropy == pytest.approx(-sum(c / len(ids) * math.log2(c / len(ids)) for c in n.values()))
     assert x.chars_per_token == pytest.approx(len(text.replace(" ", "")) / len(ids))
@@ -130,9 +130,9 @@ def test_quality_tokens(spark):
 def test_quality_keeps_good_and_rejects_noise(spark):
     sf = "/root/testdata/sf0.01"
     lab = spark.read.parquet(f"{sf}/labels.parquet")
-    got = fertility.measure(spark.read.parquet(f"{sf}/documents.parquet"), PIECES).join(lab, "doc_id").filter("NOT base_failed").toPandas()
+    got = fertility.measure(spark.read.parquet(f"{sf}/documents.parquet"), PIECES, MULTI, P.PATTERN).join(lab, "doc_id").filter("NOT base_failed").toPandas()
     assert got[got.quality == 1].kept.mean() > 0.995 and got[got.quality == 0].kept.mean() < 0.4
-    kept = fertility.select_kept(spark.read.parquet(f"{sf}/documents.parquet"), PIECES)
+    kept = fertility.select_kept(spark.read.parquet(f"{sf}/documents.parquet"), PIECES, MULTI, P.PATTERN)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -143,11 +143,47 @@ def test_quality_without_a_known_language(spark):
     lab = spark.read.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet").join(lab, "doc_id")
     for lang in (F.lit(None).cast("string"), F.lit("xx"), F.concat(F.upper("lang"), F.lit("-US"))):
-        got = fertility.measure(docs.withColumn("lang", lang), PIECES, keep=("quality",)).filter("NOT base_failed").toPandas()
+        got = fertility.measure(docs.withColumn("lang", lang), PIECES, MULTI, P.PATTERN, keep=("quality",)).filter("NOT base_failed").toPandas()
         assert got[got.quality == 1].kept.mean() > 0.995 and got[got.quality == 0].kept.mean() < 0.4
-    band = lambda lang, text: fertility.band_of(fertility.BANDS, lang, text.encode(), len(text))
-    assert band(None, "日本語の文") is band("ja", "это текст") is fertility.BANDS[None]
+    band = lambda lang, text: fertility.band_of(fertility.BANDS, lang, text.encode())
     assert band("EN", "x") is band("en_GB", "日") is fertility.BANDS["en"]
+    for text, script in {"これは日本のかなです": "kana", "это текст": "cyrillic", "昨天晚上 abc": "han", "Ça va très bien": "latin", "नई फिल्म": "indic", "새 영화": "hangul", "123 ::": "latin", "ሰላም": "other", "": "other"}.items():
+        assert band(None, text) is band("xx", text) is fertility.BANDS[script], text
+
+
+def plain_verdict(text, lang):
+    """Base rules and bands, from the whole text by both libraries."""
+    import math
+
+    import sentencepiece
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    if plain_quality(text)[-1]:
+        return False
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids = [t for w in words for t in sp.encode(w)]
+    ranks = bpe.Vocabulary.load(MULTI).ranks
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    band, chars, n = fertility.BANDS[lang], sum(map(len, words)), Counter(ids)
+    entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in n.values())
+    at, floor = math.log2(len(ids)), band.floor
+    least = floor[0][1] if at <= floor[0][0] else floor[-1][1]
+    for (x, y), (z, w) in zip(floor, floor[1:], strict=False):
+        if x < at <= z:
+            least = y + (w - y) * (at - x) / (z - x)
+    per, per_byte = chars / len(ids), chars / sum(len(enc.encode_ordinary(w)) for w in words)
+    return band.min_chars <= per <= band.max_chars and band.byte_chars[0] <= per_byte <= band.byte_chars[1] and sum(map(sp.is_byte, ids)) / len(ids) <= band.max_fallback and entropy >= least
+
+
+def test_quality_verdicts(spark):
+    r = random.Random(2)
+    vocabulary = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect() if x.text]
+    texts = [t[: r.randint(100, 900)] for t in vocabulary] + [" ".join(r.choice(["☃", "#$", "ab1", "x"]) + str(r.randrange(k)) for _ in range(60)) for k in (2, 9, 99, 9999)]
+    texts += [" ".join(r.choice("abc") for _ in range(n)) for n in (19, 20, 21, 63, 64, 65)] + [None, ""]
+    data = [(i, t, ["en", "fr", "de", "es"][i % 4]) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.kept for x in fertility.measure(spark.createDataFrame(data, "doc_id long, text string, lang string"), PIECES, MULTI, P.PATTERN).collect()}
+    want = {i: plain_verdict(t, lang) for i, t, lang in data}
+    assert got == want and 10 < sum(want.values()) < len(want) - 10
 
 
 def test_repeated_words_edges():

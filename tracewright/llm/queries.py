@@ -43,7 +43,7 @@ def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.measure(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return fertility.measure(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), public_tokenizers.path(MULTI), public_tokenizers.PATTERN)
 
 
 def op7_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
