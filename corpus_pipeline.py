@@ -19,7 +19,7 @@ from tracewright.llm.queries import MULTI, PIECES
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return fertility.select_kept(docs, public_tokenizers.path(PIECES))
+    return fertility.select_kept(docs, public_tokenizers.path(PIECES), public_tokenizers.path(MULTI), public_tokenizers.PATTERN)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
