@@ -209,8 +209,53 @@ def plain_detections(text):
     return {x[4] for x in stand}
 
 
+def sample(pattern):
+    """A text that a rule's pattern matches: first alternatives, no optional parts."""
+    from re import _parser
+
+    def made(parts):
+        out = ""
+        for op, arg in parts:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "IN":
+                out += chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1])
+            elif kind == "BRANCH":
+                out += made(arg[1][0])
+            elif kind == "SUBPATTERN":
+                out += made(arg[3])
+            elif kind == "MAX_REPEAT":
+                out += made(arg[2]) * arg[0]
+        return out
+
+    return made(_parser.parse(pattern))
+
+
+def test_each_license_rule(spark):
+    listed = licenses.rules()
+    texts = [sample(r.pattern) for r in listed]
+    for r, t in zip(listed, texts, strict=True):
+        assert re.fullmatch(r.pattern, t), (r.pattern, t)
+        assert any(f" {k} " in f" {t} " for k in r.keywords), (r.keywords, t)
+    data = [(i, f"Some words; {t.title()}, and more.") for i, t in enumerate(texts)]
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, r in enumerate(listed):
+        mine = plain_detections(data[i][1])
+        assert mine and mine <= set(got[i].labels.split(",")), (r.pattern, data[i][1])
+        assert r.label in mine or any(x.tier <= r.tier for x in got[i].detections), r.pattern
+
+
+def test_short_forms(spark):
+    want = {"Released under GPLv3 or later.": "gpl-3.0", "LGPLv2.1": "lgpl-2.1", "licensed under the GPLv3": "gpl-3.0", "either version 2 of the License, or (at your option) any later version": "or-later-2", "MPLv2 file": "mpl-2.0"}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for x, label in zip(got, want.values(), strict=True):
+        assert label in x.labels.split(","), x
+
+
 def test_licenses(spark, docs):
-    assert len(licenses.rules()) > 200
+    written = len(licenses.WRITTEN) + len(licenses.OTHERS) + len(licenses.FAMILIES)
+    assert written > 200 and len(licenses.rules()) > written
     r = random.Random(2)
     bits = ["CC BY", "CC-BY-NC 4.0.", "all rights reserved", "Licensed under the", "Apache License, Version 2.0", "GNU General Public License v3", "MIT License", "foo", "épl", "_cc_by_", "SPDX-License-Identifier: GPL-2.0", "public domain", "copyright 2020", "BSD 3-Clause", "\n", "GPL", "Released under the"]
     more = [" ".join(r.choice(bits) for _ in range(r.randint(1, 9))) for _ in range(60)] + ["All rights reserved. " * 1300]

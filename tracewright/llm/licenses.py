@@ -76,6 +76,187 @@ OTHERS: list[tuple[str, str, int, float, str]] = [
     ("proprietary and confidential", "proprietary", 1, 0.8, "proprietary"),
     ("no part of this (?:publication|book|work) may be reproduced", "reserved", 1, 0.8, "reproduced"),
 ]
+#: Hand-written rules: pattern, label, tier, weight, keyword. A grant, a notice or a passage of a license's body is tier 0, a
+#: name with its version tier 1, a mere name or hint tier 2.
+WRITTEN: list[tuple[str, str, int, float, str]] = [
+    # short forms, as one word or with their version behind
+    ("gplv3(?: or later| only)?|gpl3", "gpl-3.0", 1, 0.9, "gplv3|gpl3"),
+    ("gplv2(?: or later| only)?|gpl2", "gpl-2.0", 1, 0.9, "gplv2|gpl2"),
+    ("gplv1|gpl1", "gpl-1.0", 1, 0.8, "gplv1|gpl1"),
+    ("lgplv3(?: or later| only)?|lgpl3", "lgpl-3.0", 1, 0.9, "lgplv3|lgpl3"),
+    ("lgplv2 1(?: or later| only)?", "lgpl-2.1", 1, 0.9, "lgplv2"),
+    ("lgplv2(?! 1)(?: 0)?|lgpl2", "lgpl-2.0", 1, 0.8, "lgplv2|lgpl2"),
+    ("agplv3(?: or later| only)?|agpl3", "agpl-3.0", 1, 0.9, "agplv3|agpl3"),
+    ("agplv1|agpl1", "agpl-1.0", 1, 0.8, "agplv1|agpl1"),
+    ("mplv2(?: 0)?", "mpl-2.0", 1, 0.9, "mplv2"),
+    ("mplv1 1", "mpl-1.1", 1, 0.9, "mplv1"),
+    ("eplv2(?: 0)?", "epl-2.0", 1, 0.9, "eplv2"),
+    ("eplv1(?: 0)?", "epl-1.0", 1, 0.9, "eplv1"),
+    ("(?:the )?asl 2(?: 0)? licen[cs]e|apache ?2(?: 0)? licen[cs]e(?:d)?", "apache-2.0", 1, 0.8, "license|licence|licensed|licenced"),
+    ("apache 2(?: 0)?", "apache-2.0", 1, 0.6, "apache"),
+    ("under the apache licen[cs]e", "apache", 1, 0.7, "apache"),
+    ("mit licen[cs]ed", "mit", 0, 0.9, "mit"),
+    ("(?:under|is) (?:the )?mit(?: x11)? licen[cs]e", "mit", 0, 0.9, "mit"),
+    ("bsd licen[cs]ed", "bsd", 0, 0.8, "bsd"),
+    ("bsd style licen[cs]e", "bsd", 1, 0.7, "bsd"),
+    ("bsd 4 clause|4 clause bsd|original bsd licen[cs]e", "bsd-4-clause", 1, 0.9, "bsd"),
+    ("0bsd|bsd zero clause|zero clause bsd", "0bsd", 1, 0.9, "0bsd|bsd"),
+    ("cc by sa 2 0", "cc-by-sa-2.0", 1, 0.9, "cc"),
+    ("cc by 2 0", "cc-by-2.0", 1, 0.9, "cc"),
+    ("cc by nc nd 3 0 igo|cc by 3 0 igo", "cc-by-igo-3.0", 1, 0.9, "igo"),
+    # headers of the copyleft family
+    ("free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation", "gpl", 0, 1.0, "redistribute"),
+    ("gnu general public licen[cs]e as published by the free software foundation either version 3(?: of the licen[cs]e)? or (?:at your option )?any later version", "gpl-3.0-or-later", 0, 1.0, "published"),
+    ("gnu general public licen[cs]e as published by the free software foundation either version 2(?: of the licen[cs]e)? or (?:at your option )?any later version", "gpl-2.0-or-later", 0, 1.0, "published"),
+    ("gnu general public licen[cs]e as published by the free software foundation version 2(?: of the licen[cs]e)?", "gpl-2.0", 0, 1.0, "published"),
+    ("gnu general public licen[cs]e as published by the free software foundation version 3(?: of the licen[cs]e)?", "gpl-3.0", 0, 1.0, "published"),
+    ("gnu lesser general public licen[cs]e as published by the free software foundation either version 3(?: of the licen[cs]e)?", "lgpl-3.0-or-later", 0, 1.0, "lesser"),
+    ("gnu lesser general public licen[cs]e as published by the free software foundation either version 2 1(?: of the licen[cs]e)?", "lgpl-2.1-or-later", 0, 1.0, "lesser"),
+    ("gnu library general public licen[cs]e as published by the free software foundation either version 2(?: of the licen[cs]e)?", "lgpl-2.0-or-later", 0, 1.0, "library"),
+    ("gnu affero general public licen[cs]e as published by the free software foundation either version 3(?: of the licen[cs]e)?", "agpl-3.0-or-later", 0, 1.0, "affero"),
+    ("either version 2 of the licen[cs]e or (?:at your option )?any later version", "or-later-2", 1, 0.7, "version"),
+    ("either version 3 of the licen[cs]e or (?:at your option )?any later version", "or-later-3", 1, 0.7, "version"),
+    ("either version 2 1 of the licen[cs]e or (?:at your option )?any later version", "or-later-2.1", 1, 0.7, "version"),
+    ("you should have received a copy of the gnu general public licen[cs]e along with", "gpl", 0, 0.9, "received"),
+    ("you should have received a copy of the gnu lesser general public licen[cs]e along with", "lgpl", 0, 0.9, "received"),
+    ("you should have received a copy of the gnu affero general public licen[cs]e along with", "agpl", 0, 0.9, "received"),
+    ("see the gnu general public licen[cs]e for more details", "gpl", 0, 0.8, "details"),
+    ("see the gnu lesser general public licen[cs]e for more details", "lgpl", 0, 0.8, "details"),
+    ("see the gnu affero general public licen[cs]e for more details", "agpl", 0, 0.8, "details"),
+    ("everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document", "gnu-text", 0, 0.9, "verbatim"),
+    ("the licen[cs]es for most software are designed to take away your freedom to share and change it", "gpl-2.0", 0, 1.0, "freedom"),
+    ("the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works", "gpl-3.0", 0, 1.0, "copyleft"),
+    ("the gnu affero general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works", "agpl-3.0", 0, 1.0, "copyleft"),
+    ("this lesser general public licen[cs]e applies to some specially designated software packages", "lgpl-2.1", 0, 1.0, "designated"),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e version 1 [0-9]", "gfdl", 0, 1.0, "documentation"),
+    ("with no invariant sections no front cover texts and no back cover texts|with no invariant sections with no front cover texts and with no back cover texts", "gfdl-no-invariants", 0, 0.8, "invariant"),
+    ("gpl (?:2 0 )?with classpath exception|classpath exception", "gpl-classpath-exception", 1, 0.8, "classpath"),
+    ("linking this library statically or dynamically with other modules is making a combined work", "gpl-linking-exception", 0, 0.9, "statically"),
+    ("as a special exception the copyright holders", "exception", 1, 0.6, "exception"),
+    ("gcc runtime library exception", "gcc-exception", 1, 0.9, "runtime"),
+    ("dual licen[cs]ed under (?:the )?mit and (?:the )?gpl|mit gpl dual licen[cs]ed?", "mit-or-gpl", 0, 0.9, "dual"),
+    ("dual licen[cs]ed under (?:the )?(?:mit and apache|apache and mit)|mit or apache 2 0|apache 2 0 or mit|mit apache 2 0", "mit-or-apache-2.0", 0, 0.9, "apache"),
+    ("dual licen[cs]ed", "dual", 2, 0.4, "dual"),
+    ("tri licen[cs]ed|mpl gpl lgpl tri licen[cs]e", "mpl-tri", 1, 0.7, "tri"),
+    ("alternatively the contents of this file may be used under the terms of (?:either )?(?:of )?the gnu", "mpl-tri", 0, 0.9, "alternatively"),
+    ("commercial licen[cs]es? (?:is|are) available", "commercial", 1, 0.6, "commercial"),
+    # permissive bodies
+    ("to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[cs]e and or sell copies of the software", "mit", 0, 1.0, "sublicense|sublicence"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit", 0, 1.0, "substantial"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit", 0, 0.9, "noninfringement"),
+    ("except as contained in this notice the names? of the (?:x consortium|above copyright holders|authors) shall not be used in advertising", "x11", 0, 0.9, "advertising"),
+    ("permission to use copy modify and distribute this software and its documentation for any purpose", "hpnd", 0, 0.9, "documentation"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", 0, 1.0, "fee"),
+    ("the software is provided as is and the author disclaims all warranties with regard to this software", "isc", 0, 0.9, "disclaims"),
+    ("redistributions of source code must retain the above copyright notice", "bsd", 0, 0.9, "redistributions"),
+    ("redistributions in binary form must reproduce the above copyright notice", "bsd", 0, 0.9, "redistributions"),
+    ("neither the name of (?:the )?(?:[a-z0-9]+ ){1,8}nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause", 0, 1.0, "endorse"),
+    ("all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment", "bsd-4-clause", 0, 1.0, "advertising"),
+    ("this software is provided by (?:the )?(?:[a-z0-9]+ ){1,8}as is and any express(?:ed)? or implied warranties", "bsd", 0, 0.8, "warranties"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "zlib", 0, 1.0, "liable"),
+    ("the origin of this software must not be misrepresented", "zlib", 0, 0.9, "misrepresented"),
+    ("altered source versions must be plainly marked as such", "zlib", 0, 0.9, "plainly"),
+    ("licen[cs]ed under the apache licen[cs]e version 2 0 the licen[cs]e", "apache-2.0", 0, 1.0, "apache"),
+    ("you may obtain a copy of the licen[cs]e at http (?:www )?apache org licen[cs]es licen[cs]e 2 0", "apache-2.0", 0, 1.0, "apache"),
+    ("unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis", "apache-2.0", 0, 0.9, "applicable"),
+    ("licen[cs]ed to the apache software foundation asf under one or more contributor licen[cs]e agreements", "apache-2.0", 0, 1.0, "contributor"),
+    ("this product includes software developed by the apache (?:software foundation|group)", "apache-1.1", 0, 0.8, "apache"),
+    ("this product includes software developed by the openssl project", "openssl", 0, 1.0, "openssl"),
+    ("boost software licen[cs]e version 1 0", "bsl-1.0", 0, 1.0, "boost"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "bsl-1.0", 0, 1.0, "organization"),
+    ("distributed under the boost software licen[cs]e", "bsl-1.0", 0, 0.9, "boost"),
+    ("you can do whatever you want with this stuff if we meet some day", "beerware", 0, 1.0, "stuff"),
+    ("beer ?ware licen[cs]e|the beer ware licen[cs]e", "beerware", 1, 0.9, "license|licence"),
+    ("the author or authors of this code dedicate any and all copyright interest in this code to the public domain|we make this dedication for the benefit of the public at large", "unlicense", 0, 1.0, "domain|dedication"),
+    ("anyone is free to copy modify publish use compile sell or distribute this software", "unlicense", 0, 1.0, "compile"),
+    ("the author disclaims copyright to this source code", "blessing", 0, 1.0, "disclaims"),
+    ("to the extent possible under law (?:[a-z0-9]+ ){1,10}has waived all copyright and related or neighbou?ring rights", "cc0-1.0", 0, 1.0, "waived"),
+    ("cc0 1 0 universal", "cc0-1.0", 0, 1.0, "universal"),
+    ("no rights reserved", "cc0", 1, 0.6, "reserved"),
+    ("permission is hereby granted without written agreement and without licen[cs]e or royalty fees", "mit-modern", 0, 0.9, "royalty"),
+    ("curl licen[cs]e|copyright and permission notice copyright (?:c )?[0-9 ]+daniel", "curl", 1, 0.8, "license|licence|permission"),
+    ("universal permissive licen[cs]e", "upl-1.0", 1, 0.9, "permissive"),
+    ("the unicode(?: data files and software)? licen[cs]e|unicode licen[cs]e agreement", "unicode", 1, 0.9, "unicode"),
+    ("icu licen[cs]e", "icu", 1, 0.9, "icu"),
+    ("ncsa open source licen[cs]e|university of illinois ncsa", "ncsa", 1, 0.9, "ncsa"),
+    ("w3c software (?:notice and licen[cs]e|licen[cs]e)", "w3c", 1, 0.9, "w3c"),
+    ("zope public licen[cs]e", "zpl", 1, 0.9, "zope"),
+    ("postgresql licen[cs]e", "postgresql", 1, 0.9, "postgresql"),
+    ("ruby licen[cs]e", "ruby", 1, 0.8, "ruby"),
+    ("vim licen[cs]e", "vim", 1, 0.8, "vim"),
+    ("tcl tk licen[cs]e", "tcl", 1, 0.8, "tcl"),
+    ("openssl licen[cs]e", "openssl", 1, 0.9, "openssl"),
+    ("artistic licen[cs]e 2 0", "artistic-2.0", 1, 0.9, "artistic"),
+    ("same terms as perl(?: itself)?", "perl", 0, 0.9, "perl"),
+    ("the freetype (?:project )?licen[cs]e", "ftl", 1, 0.9, "freetype"),
+    ("independent jpeg group", "ijg", 1, 0.8, "jpeg"),
+    ("libpng licen[cs]e", "libpng", 1, 0.9, "libpng"),
+    ("mulan (?:psl|permissive software licen[cs]e)", "mulanpsl", 1, 0.9, "mulan"),
+    # weak copyleft bodies
+    ("this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", "mpl-2.0", 0, 1.0, "mozilla"),
+    ("the contents of this file are subject to the mozilla public licen[cs]e version 1 1", "mpl-1.1", 0, 1.0, "mozilla"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2.0", 0, 1.0, "mpl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v(?:ersion)? ?1 0", "epl-1.0", 0, 1.0, "accompanying"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v(?:ersion)? ?2 0", "epl-2.0", 0, 1.0, "accompanying"),
+    ("the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "cddl", 0, 1.0, "development"),
+    ("licen[cs]ed under the eupl", "eupl", 0, 1.0, "eupl"),
+    ("microsoft public licen[cs]e ms pl|ms pl", "ms-pl", 1, 0.9, "ms"),
+    ("licen[cs]ed under the open software licen[cs]e", "osl", 0, 0.9, "open"),
+    ("reciprocal public licen[cs]e", "rpl", 1, 0.9, "reciprocal"),
+    ("sleepycat licen[cs]e|the sleepycat public licen[cs]e", "sleepycat", 1, 0.9, "sleepycat"),
+    ("q public licen[cs]e|qpl licen[cs]e", "qpl", 1, 0.9, "license|licence"),
+    ("ibm public licen[cs]e", "ipl", 1, 0.9, "ibm"),
+    ("sun (?:public|industry standards source) licen[cs]e", "spl", 1, 0.9, "sun"),
+    ("netscape public licen[cs]e", "npl", 1, 0.9, "netscape"),
+    ("apple public source licen[cs]e", "apsl", 1, 0.9, "apple"),
+    ("nasa open source agreement", "nasa", 1, 0.9, "nasa"),
+    ("lucent public licen[cs]e", "lpl", 1, 0.9, "lucent"),
+    ("cecill(?: b| c)?(?: licen[cs]e)?", "cecill", 1, 0.8, "cecill"),
+    # content and data
+    ("this work is licen[cs]ed under (?:a |the )?creative commons attribution (?:[0-9] 0 )?international licen[cs]e", "cc-by", 0, 1.0, "commons"),
+    ("this work is licen[cs]ed under (?:a |the )?creative commons attribution share ?alike", "cc-by-sa", 0, 1.0, "commons"),
+    ("this work is licen[cs]ed under (?:a |the )?creative commons attribution non ?commercial", "cc-by-nc", 0, 1.0, "commons"),
+    ("some rights reserved", "cc", 2, 0.5, "reserved"),
+    ("text is available under the creative commons attribution share ?alike licen[cs]e", "cc-by-sa", 0, 1.0, "commons"),
+    ("creative commons org licen[cs]es by sa [0-9] [0-9]|creativecommons org licen[cs]es by sa [0-9] [0-9]", "cc-by-sa", 0, 0.9, "org"),
+    ("creativecommons org licen[cs]es by nc [0-9] [0-9]", "cc-by-nc", 0, 0.9, "creativecommons"),
+    ("creativecommons org licen[cs]es by nd [0-9] [0-9]", "cc-by-nd", 0, 0.9, "creativecommons"),
+    ("creativecommons org licen[cs]es by [0-9] [0-9]", "cc-by", 0, 0.9, "creativecommons"),
+    ("creativecommons org publicdomain zero 1 0", "cc0-1.0", 0, 1.0, "creativecommons"),
+    ("creativecommons org publicdomain mark 1 0|public domain mark", "public-domain", 0, 0.9, "creativecommons|domain"),
+    ("creative commons licen[cs]e", "cc", 2, 0.5, "commons"),
+    ("open government licen[cs]e", "ogl", 1, 0.9, "government"),
+    ("open database licen[cs]e", "odbl", 1, 0.9, "database"),
+    ("public domain dedication and licen[cs]e|pddl", "pddl", 1, 0.9, "dedication|pddl"),
+    ("community data licen[cs]e agreement", "cdla", 1, 0.9, "community"),
+    ("this font software is licen[cs]ed under the sil open font licen[cs]e", "ofl", 0, 1.0, "font"),
+    ("project gutenberg licen[cs]e", "gutenberg", 1, 0.9, "gutenberg"),
+    ("free art licen[cs]e", "free-art", 1, 0.9, "art"),
+    ("gnu simpler free documentation licen[cs]e", "gsfdl", 1, 0.9, "documentation"),
+    # source-available and models
+    ("business source licen[cs]e 1 1|business source licen[cs]e", "busl", 1, 0.9, "business"),
+    ("elastic licen[cs]e 2 0|elastic licen[cs]e", "elastic", 1, 0.9, "elastic"),
+    ("commons clause licen[cs]e condition", "commons-clause", 1, 0.9, "clause"),
+    ("functional source licen[cs]e", "fsl", 1, 0.9, "functional"),
+    ("polyform (?:noncommercial|strict|shield|small business) licen[cs]e", "polyform", 1, 0.9, "polyform"),
+    ("prosperity public licen[cs]e", "prosperity", 1, 0.9, "prosperity"),
+    ("responsible ai licen[cs]e|openrail(?: m)? licen[cs]e", "openrail", 1, 0.9, "license|licence"),
+    ("for non ?commercial use only|non ?commercial use only", "non-commercial", 1, 0.6, "commercial|noncommercial"),
+    ("for (?:academic|research|educational) (?:use|purposes) only(?: licen[cs]e)?", "research-only", 1, 0.6, "only"),
+    ("end user licen[cs]e agreement", "eula", 1, 0.8, "agreement"),
+    ("shareware licen[cs]e", "shareware", 1, 0.6, "shareware"),
+    ("freeware licen[cs]e", "freeware", 1, 0.6, "freeware"),
+    # rights and notices
+    ("all rights are reserved", "reserved", 1, 0.7, "reserved"),
+    ("rights reserved worldwide", "reserved", 1, 0.6, "reserved"),
+    ("unauthori[sz]ed (?:copying|reproduction|use|distribution) (?:of this (?:file|material) )?(?:via any medium )?is strictly prohibited", "proprietary", 0, 0.9, "prohibited"),
+    ("reproduced (?:with|by) (?:the )?(?:kind )?permission of", "by-permission", 1, 0.6, "permission"),
+    ("used (?:with|by) permission", "by-permission", 1, 0.5, "permission"),
+    ("reprinted (?:with|by) permission", "by-permission", 1, 0.6, "permission"),
+    ("crown copyright", "crown", 1, 0.8, "copyright"),
+    ("this work is in the public domain|is in the public domain", "public-domain", 0, 0.9, "domain"),
+    ("c (?:19|20)[0-9]{2} (?:[a-z0-9]+ ){1,6}all rights reserved", "reserved", 1, 0.7, "reserved"),
+]
 
 
 @dataclass(frozen=True)
@@ -102,8 +283,8 @@ def _keywords(alternatives: str) -> tuple[str, ...]:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules in order, best first, made from FAMILIES by a few ways of naming a license."""
-    out: list[Rule] = []
+    """All rules in order, best first: those written out, and those made from FAMILIES by a few ways of naming a license."""
+    out = [Rule(*x, tuple(key.split("|"))) for *x, key in WRITTEN]
     for names, label, versions in FAMILIES:
         key, name = _keywords(names), f"(?:{names})"
         grant = "(?:licen[cs]ed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of (?:the )?)?"
@@ -124,15 +305,19 @@ def rules() -> tuple[Rule, ...]:
 
 
 #: A text without any of these, in any case, has no detection and no base phrase.
-GATE = ("licen", "reserved", "domain", "hereby", "permission", "redistribution", "unencumbered", "copyright", "proprietary", "reproduced", "attribution", "creative")
+GATE = (
+    "licen", "reserved", "domain", "hereby", "permission", "redistribut", "unencumbered", "copyright", "proprietary", "reproduced", "attribution", "creative",
+    "misrepresented", "plainly", "endorse", "advertising", "warrant", "waived", "received", "copyleft", "verbatim", "invariant", "exception", "statically",
+    "alternatively", "apache", "gnu", "openssl", "whatever", "dedicat", "perl", "jpeg", "accompanying", "agreement", "commercial", "only", "prohibited", "compile", "clause",
+)
 #: The same for short names, which count as whole words only.
-GATE_SHORT = ("spdx", "cc", "gpl", "gfdl", "mpl", "epl", "edl", "cddl", "cpl", "eupl", "afl", "osl", "bsl", "busl", "sspl", "odbl", "odc", "ofl", "bsd")
+GATE_SHORT = ("spdx", "cc", "gpl", "gfdl", "mpl", "epl", "edl", "cddl", "cpl", "eupl", "afl", "osl", "bsl", "busl", "sspl", "odbl", "odc", "ofl", "bsd", "pddl", "cecill", "mulan", "publicdomain")
 
 
 def _gate(text: Column) -> Column:
     low = F.lower(text)
     some = lambda names: reduce(or_, [F.contains(low, F.lit(x)) for x in names])
-    whole = low.rlike(rf"(?<![a-z0-9])(?:[al]?gpl|cc0|{'|'.join(GATE_SHORT)})(?![a-z0-9])")
+    whole = low.rlike(rf"(?<![a-z0-9])(?:[al]?gplv?[0-9]*|[me]plv[0-9]|0bsd|cc0|{'|'.join(GATE_SHORT)})(?![a-z0-9])")
     return some(GATE) | F.when(some(GATE_SHORT), whole).otherwise(F.lit(False))
 
 
