@@ -382,10 +382,33 @@ def test_mix(spark):
             assert v == pytest.approx(own[k], abs=2e-3)
     again = mixing.mix(d.repartition(7), part=0.5, most_cells=1).toPandas().sort_values("doc_id")
     near = again.merge(got, on="doc_id")
-    assert (near.p_x - near.p_y).abs().max() < 0.02
+    assert (near.p_x - near.p_y).abs().max() < 1e-6
+    # plain raking of the cells' shares, and a plain search for the scale
+    totals, shares = {}, {}
+    for x in got.itertuples():
+        totals[x.source, x.lang, x.topic] = totals.get((x.source, x.lang, x.topic), 0) + x.n_tokens
+    shares = {c: n / sum(totals.values()) for c, n in totals.items()}
+    for _ in range(3000):
+        for k, m in enumerate(mixing.MARGINS):
+            now = {}
+            for c, v in shares.items():
+                now[c[k]] = now.get(c[k], 0) + v
+            own = mixing.tempered(got.groupby(m).n_tokens.sum().to_dict(), mixing.POWERS[m])
+            live = sum(own[v] for v in now if now[v] > 0)
+            shares = {c: v * own[c[k]] / live / now[c[k]] if now[c[k]] else 0.0 for c, v in shares.items()}
+    scale = lambda c: sum(min(1.0, c * shares[x] / n) * n for x, n in totals.items() if n)
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        low, high = ((low + high) / 2, high) if scale((low + high) / 2) < 0.5 * sum(totals.values()) else (low, (low + high) / 2)
+    for x in got.itertuples():
+        c = x.source, x.lang, x.topic
+        assert x.p == pytest.approx(min(1.0, high * shares[c] / totals[c]) if totals[c] else 0.0, abs=1e-5)
     assert mixing.mix(frame(spark, [])).count() == 0
     kept = mixing.sample(d, part=0.5)
     assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == set(got[got.kept].doc_id)
+    odd = d.selectExpr("*", "1 AS mix_p", "'x' AS mix_source", "2 AS u", "3 AS p", "'y' AS topic", "5 AS tokens", "6 AS in_0")
+    again = mixing.sample(odd, part=0.5)
+    assert again.columns == odd.columns and {tuple(x) for x in again.select("doc_id", "mix_p", "u", "p", "in_0").collect()} == {(x.doc_id, 1, 2, 3, 6) for x in kept.collect()}
     given = mixing.mix(d, targets={"source": {"a": 1.0}}, part=0.2).toPandas()
     assert given[given.source != "a"].p.max() == 0
 

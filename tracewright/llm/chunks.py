@@ -3,8 +3,8 @@
 A text is cut where its own bytes say so, each chunk is named by a 64-bit hash, and a document
 becomes the ordered list of its chunks' names: its recipe. Only texts whose recipes agree are read a
 second time, to compare the bytes of chunks of the same name; should two differ, they get identifiers
-of their own. Then equal lists of verified identifiers are equal texts. Texts are moved once at most,
-those without a copy not beyond their first exchange by id.
+of their own. Then equal lists of verified identifiers are equal texts. Only suspects' chunks are
+moved, each distinct one of a task once.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, byte_runs, pick, small_batches, written
+from .common import BLANKS, byte_runs, may_have, pick, small_batches, written
 
 LEAST, USUAL, MOST = 512, 2048, 8192
 
@@ -117,9 +117,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_
     small_batches(docs.sparkSession)
     rows = written(recipes(docs, id_col, text_col, hash_bits).withColumn("row", F.monotonically_increasing_id()), "recipes")
     alike = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    suspects = rows.join(alike.select("recipe"), "recipe", "left_semi").select("id").distinct()
+    suspects = written(rows.join(alike.select("recipe"), "recipe", "left_semi").select("id").distinct(), "suspects")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(suspects.withColumnRenamed("id", "other").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("other")), "left_semi").select("text")
+    texts = may_have(texts, suspects, "id").select("text")
     clashes = written(_chunk_rows(texts, hash_bits, False).distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"), "clashes")
     key = ["recipe"]
     if not clashes.isEmpty():

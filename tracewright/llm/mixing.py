@@ -45,13 +45,13 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """id, source, lang, topic, tokens and u of each row. u in [0, 1) depends on the id, and for rows without one on the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), text)
     u = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), key)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    return docs.select(F.col(id_col).alias("id"), name(source_col).alias("source"), name(lang_col).alias("lang"), topic_of(text).alias("topic"), n_tokens(text).alias("tokens"), u.alias("u"))
+    return docs.select(F.col(id_col).alias("id"), name(source_col).alias("source"), name(lang_col).alias("lang"), topic_of(text).alias("topic"), n_tokens(text).alias("tokens"), u.alias("u"), *keep)
 
 
 def tempered(totals: Mapping[str, float], power: float) -> dict[str, float]:
@@ -178,20 +178,21 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     tokens; a cell without tokens has p 0, or 1 if all tokens are wanted. Rows of the same id share
     their fate; rows without an id are told apart by their texts. Empty table: no rows.
     """
-    rows = labelled(docs, id_col, text_col, source_col, lang_col)
+    rows = written(labelled(docs, id_col, text_col, source_col, lang_col), "labelled")
     cells, small = fit(rows, targets, part, most_cells)
     out = rows.join(F.broadcast(cells) if small else cells, list(MARGINS), "left")
     return out.select(F.col("id").alias(id_col), *MARGINS, F.col("tokens").alias("n_tokens"), F.col("share").alias("cell_share"), "p", (F.col("u") < F.col("p")).alias("kept"))
 
 
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, part: float = 0.8, most_cells: int = MOST_CELLS) -> DataFrame:
-    """The rows of docs that mix() keeps, with their own columns; texts are not shuffled."""
-    rows = labelled(docs)
-    cells, small = fit(rows, targets, part, most_cells)
-    cells = cells.select(*[F.col(m).alias(f"mix_{m}") for m in MARGINS], F.col("p").alias("mix_p"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("string"), text)
-    u = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), key)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    there = docs.withColumns({"mix_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "mix_topic": topic_of(text), "mix_u": u})
-    joined = there.join(F.broadcast(cells) if small else cells, [f"mix_{m}" for m in MARGINS], "left")
-    return joined.filter(F.col("mix_u") < F.col("mix_p")).select(*docs.columns)
+    """The rows of docs that mix() keeps, with their own columns, whatever their names; texts are not shuffled.
+
+    docs: doc_id, text, source, lang and others. Nulls, empty texts, repeated rows and empty tables as in mix().
+    """
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names)
+    own = labelled(rows, at["doc_id"], at["text"], at["source"], at["lang"], keep=names)
+    cells, small = fit(own, targets, part, most_cells)
+    joined = own.join(F.broadcast(cells) if small else cells, list(MARGINS), "left")
+    return joined.filter(F.col("u") < F.col("p")).select(*[F.col(n).alias(c) for c, n in at.items()])
