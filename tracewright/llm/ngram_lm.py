@@ -33,7 +33,7 @@ START, WORDS = 0, 1
 #: Tokens of the corpus for each bucket that counts words and pairs.
 PER_BUCKET = 1 << 20
 #: Bytes of text in a block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 #: Bits of a pair's hash beyond those that number all tokens: of 2^EXTRA_BITS pairs about one is taken for another.
 EXTRA_BITS = 24
 KINDS = ("words", "pairs")
@@ -41,7 +41,7 @@ KINDS = ("words", "pairs")
 
 def planes(x: np.ndarray) -> bytes:
     """Numbers of one fixed width by planes of bytes, the first bytes of all first, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), 3)
 
 
 def from_planes(data: bytes, kind: str) -> np.ndarray:
