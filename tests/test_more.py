@@ -6,7 +6,7 @@ import sys
 from conftest import rows
 
 from tracewright.functions import text
-from tracewright.operators import canvas, condense
+from tracewright.operators import canvas, condense, generate
 from tracewright.plans import queries as Q
 from tracewright.sources import local
 from pyspark.sql import functions as F
@@ -65,6 +65,21 @@ def test_reach_bounds(spark):
     assert got == bounds and all(got[i] >= reach[i] for i in ids)
 
 
+def test_generated(spark):
+    def make():
+        def answer(prompt):
+            if prompt == "deny":
+                raise generate.AuthFailure
+            if prompt == "break":
+                raise RuntimeError
+            return f" {prompt}\u00a0 \n" if prompt != "blank" else " \n"
+
+        return answer
+
+    p = spark.createDataFrame([(1, "say"), (2, None), (3, "blank"), (4, "break"), (5, "again"), (6, "deny"), (7, "late"), (8, None)], "id int, prompt string").coalesce(1)
+    assert rows(generate.generated(p, "stub", make)) == [(1, "success", "say"), (2, "unreadable", None), (3, "degenerate", None), (4, "failed", None), (5, "success", "again"), (6, "failed", None), (7, "skipped", None), (8, "unreadable", None)]
+
+
 def test_local(tmp_path):
     deep = tmp_path / "x" / "y"
     deep.mkdir(parents=True)

@@ -16,10 +16,12 @@ from .. import schema as S
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the session's checkpoint folder; one is made only where none is set."""
+    """df with its lineage cut, in the session's checkpoint folder; one is made only where none is set and the master is local."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="levels-"))
     return df.checkpoint()
 
@@ -71,9 +73,9 @@ def _bounded(edges: DataFrame, hops: int) -> DataFrame:
 def blast_radius(nodes: DataFrame, edges: DataFrame, hops: int | float = S.DEFAULT_HOPS) -> DataFrame:
     """TRV-05, SET-01: id and other, for every node: what a forward or a backward walk of so many hops
     reaches, not itself. A number of hops that is no positive integer reaches nothing."""
-    good = valid_edges(nodes, edges)
     if hops != int(hops) or hops < 1:
-        return good.select(F.col("src").alias("id"), F.col("dst").alias("other")).limit(0)
+        return edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).limit(0)
+    good = cut(valid_edges(nodes, edges).filter("src != dst").select("src", "dst", F.lit("").alias("kind")).distinct())
     return _bounded(good, int(hops)).unionByName(_bounded(flipped(good), int(hops))).distinct()
 
 
@@ -99,12 +101,14 @@ def resolve(nodes: DataFrame, query: str) -> DataFrame:
     """
     q = F.lit(query.strip().lower())
     tier = F.when(F.lower("id") == q, 1).when(F.lower("name") == q, 2).when(F.contains(F.lower("name"), q), 3)
-    hits = nodes.withColumn("tier", tier).filter("tier IS NOT NULL")
-    best = hits.agg(F.min("tier").alias("tier"))
-    hits = hits.join(F.broadcast(best), "tier", "left_semi")
-    low = hits.filter("tier = 1").agg(F.min("id").alias("low"))
-    hits = hits.crossJoin(F.broadcast(low)).filter("tier > 1 OR id = low").drop("low")
-    return hits.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("matches"))))
+    told = nodes.withColumn("tier", tier)
+    # one row: the best tier, how many nodes it has, and the lowest of equal ids
+    counts = [F.count_if(F.col("tier") == k).alias(f"n{k}") for k in (1, 2, 3)]
+    found = told.agg(F.min("tier").alias("best"), F.min(F.when(F.col("tier") == 1, F.col("id"))).alias("low"), *counts).first()
+    hits = told.filter(F.col("tier") == F.lit(found["best"]))
+    if found["best"] == 1:
+        return hits.filter(F.col("id") == F.lit(found["low"])).withColumn("matches", F.lit(1).cast("long"))
+    return hits.withColumn("matches", F.lit(found[f"n{found['best']}"] if found["best"] else 0).cast("long"))
 
 
 def call_tree(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:

@@ -347,7 +347,8 @@ _CUTS = "pop AS (SELECT type, value FROM lg WHERE type = 'blast-radius' UNION AL
 
 def _measured(spark: SparkSession, d: str) -> DataFrame:
     n = links.hotspots(g.nodes(spark, d), g.files(spark, d))
-    return n.join(traverse.blast_counts(g.nodes(spark, d), g.edges(spark, d)), "id").select("id", "name", "file", "complexity", "cognitive", F.col("hotspot").cast("double").alias("hotspot"), "blast_radius")
+    # used more than once by what follows
+    return traverse.cut(n.join(traverse.blast_counts(g.nodes(spark, d), g.edges(spark, d)), "id").select("id", "name", "file", "complexity", "cognitive", F.col("hotspot").cast("double").alias("hotspot"), "blast_radius"))
 
 
 @query(
@@ -383,7 +384,7 @@ def review_metric_rows(spark, d):
     """AGG-20, TOP-08, FLT-27, SET-03, API-10"""
     n, e = g.nodes(spark, d), g.edges(spark, d)
     seeds = n.filter("id LIKE 'P:%'").filter(F.startswith("file", F.lit("Brand#2/"))).select("id")
-    table = n.select("id", "name").join(traverse.blast_counts(n, e), "id")
+    table = traverse.cut(n.select("id", "name").join(traverse.blast_counts(n, e), "id"))
     both = traverse.hops_from(e, seeds.select(F.lit("").alias("root"), F.col("id").alias("node")), 1).unionByName(traverse.hops_from(traverse.flipped(e), seeds.select(F.lit("").alias("root"), F.col("id").alias("node")), 1))
     hops = both.groupBy(F.col("node").alias("id")).agg(F.min("hop").alias("hop"))
     return review.rows(table, seeds, hops, 1).select("id", "name", "blast_radius", "hop", "hidden")

@@ -1,4 +1,4 @@
-"""Work on streams: SNK-01, SNK-03 to SNK-05, STR-01 to STR-04, STR-08 to STR-12, STR-14, STR-16, STR-17, AGG-27, UDF-03 to UDF-05.
+"""Work on streams: SNK-01, SNK-03 to SNK-05, STR-01 to STR-04, STR-08 to STR-12, STR-14, STR-16, STR-17, AGG-27, UDF-03.
 
 There is no event time here: late work is told by a generation number, so no watermark is set. State
 is kept in tables in a folder that all executors share; a batch writes a version under its own
@@ -65,9 +65,10 @@ def scope_to_use(set_before: list[str] | None, set_during: list[str] | None) ->
     return set_during if set_during is not None else set_before
 
 
-def reindex_latch(latched: str | None, head: str | None, indexed: str | None) -> str | None:
-    """STR-16: the head a re-index was started for; cleared once it is indexed."""
-    return None if indexed == head else latched
+def reindex_latch(latched: str | None, at_start: str | None, same_project: bool = True) -> str | None:
+    """STR-16: the head that a re-index was asked for, once an index that started at some head has succeeded: cleared
+    when that is the one, and when the project is another; kept when the checkout moved on meanwhile."""
+    return latched if same_project and latched != at_start else None
 
 
 class Cache:
