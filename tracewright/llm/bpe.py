@@ -243,8 +243,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     Returns id_col, n_tokens long, ids_sha256 (of ids as little-endian unsigned 32-bit integers),
     decoded_sha256 (of the decoded bytes) and round_trip boolean (decoded bytes equal the text's);
-    with_ids adds ids array<int>. Null text: as the empty text, no tokens. Null ids, repeated rows
-    and empty tables pass through. Other columns of docs are not read.
+    with_ids adds ids array<int>. Null text: as the empty text, no tokens. Very long texts are encoded
+    whole; a worker holds one at a time besides its caches. Null ids, repeated rows and empty tables
+    pass through. Other columns of docs are not read.
     """
     small_batches(docs.sparkSession)
     schema = "id {}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean".format(dict(docs.dtypes)[id_col])

@@ -112,7 +112,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_
 
     Returns for each row: id_col, keep_id, group_size long, kept, text_sha256. Null text: as the
     empty text. Null ids come last; of several rows with the smallest id exactly one stays. Empty
-    texts have the empty recipe and equal each other. Other columns of docs are not read.
+    texts have the empty recipe and equal each other. Very long texts are many chunks of at most MOST
+    bytes. Repeated rows are copies of each other. Empty table: no rows. Other columns of docs are not read.
     """
     small_batches(docs.sparkSession)
     rows = written(recipes(docs, id_col, text_col, hash_bits).withColumn("row", F.monotonically_increasing_id()), "recipes")

@@ -51,7 +51,8 @@ def histogram(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
 
     Returns for each length that occurs: length, n_docs, n_tokens, docs_from and tokens_from (of this
     length or longer), truncated_total (all tokens if texts are cut to this length), docs_upto (of
-    this length or shorter). All long. Null and empty texts have length 0. Empty table: no rows.
+    this length or shorter). All long. Null and empty texts have length 0; very long ones are encoded
+    whole; repeated rows count each; ids and other columns are not read. Empty table: no rows.
     The histogram is written once, so texts are encoded once. Sums run within ranges of WIDTH lengths; only a row for each range meets in one task.
     """
     h = written(encoded_lengths(docs, path, pattern, text_col).groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "lengths")

@@ -373,7 +373,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base_labels, labels (distinct, sorted, comma-joined; empty string for none), score (the best
     weight among detections that stand, 0 to 1) and detections (array of start and end in characters
     of the joined words, tier, label, weight; those that stand, in order). Null text: as the empty
-    text. Null ids and repeated rows are kept as they are; columns not named are not read.
+    text. Very long texts are scanned whole. Null ids and repeated rows are kept as they are; empty table:
+    no rows; columns not named are not read.
     """
     listed = rules()
     table = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.tier).alias("tier"), F.lit(r.weight).alias("weight"), F.array(*[F.lit(f" {k} ") for k in r.keywords]).alias("keywords")) for i, r in enumerate(listed)])

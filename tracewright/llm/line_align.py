@@ -298,7 +298,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns id_col, n_lines, n_deleted (long), text (what is left), deleted (array of line places).
     Null text stays null and has no lines; a text of one line is one block. Repeated rows of one id
-    and text get the same result. Empty table: no rows. Columns not named are not read.
+    and text get the same result. Very long texts are aligned whole, by hashes of their lines. Empty
+    table: no rows. Columns not named are not read, so their names don't clash.
     """
     rows, at = _cut(docs.select(id_col, text_col), id_col, text_col, block_words=block_words)
     size = F.coalesce(F.size(F.split(at[text_col], "\n")), F.lit(0))
@@ -308,7 +309,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """docs with their own columns and the texts that are left, n_chars adjusted; documents that lost all their words go."""
+    """docs with their own columns, whatever their names, and the texts that are left, n_chars adjusted; documents that lost all their words go.
+
+    docs: doc_id, text and others. Null and empty texts, and texts without words from the start, stay as they are. Rows
+    without an id are last in order. Repeated rows of one id and text get the same result. Very long texts are cut like
+    others: only hashes of their lines are aligned. Empty table: no rows.
+    """
     rows, at = _cut(docs, "doc_id", "text")
     rows = rows.filter(F.col("gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     own = {"text": F.col("left")}

@@ -176,7 +176,8 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     data itself. part: of all tokens, how many to keep on average. Returns id_col, source, lang,
     topic (null as "(none)"), n_tokens long, cell_share and p double, kept boolean. Null text: no
     tokens; a cell without tokens has p 0, or 1 if all tokens are wanted. Rows of the same id share
-    their fate; rows without an id are told apart by their texts. Empty table: no rows.
+    their fate; rows without an id are told apart by their texts. Very long texts count by all their
+    words. Empty table: no rows. Columns not named are not read.
     """
     rows = written(labelled(docs, id_col, text_col, source_col, lang_col), "labelled")
     cells, small = fit(rows, targets, part, most_cells)
