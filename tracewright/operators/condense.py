@@ -70,17 +70,19 @@ def reach_upper_bounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     whole = of.count()
     name = lambda c: of.select(F.col("id").alias(c), F.col("component").alias("c" + c))
     steps = cut(edges.select("src", "dst").join(name("src"), "src").join(name("dst"), "dst").filter("csrc != cdst").select(F.col("csrc").alias("c"), F.col("cdst").alias("to")).distinct())
-    sums = cut(of.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("bound")))
+    # of each component: its bound so far, and how many of its successors are still open
+    left = steps.groupBy("c").agg(F.count(F.lit(1)).alias("left"))
+    sizes = of.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("bound"))
+    state = cut(sizes.join(left, "c", "left").select("c", "bound", F.coalesce("left", F.lit(0).cast("long")).alias("left")))
     known = None
     while True:
-        # components all of whose successors are known
-        ready = cut(sums.join(steps.select("c").distinct(), "c", "left_anti").select("c", F.least("bound", F.lit(whole)).alias("bound")))
+        ready = state.filter("left = 0").select("c", F.least("bound", F.lit(whole)).alias("bound"))
         if ready.isEmpty():
             break
         known = ready if known is None else known.unionByName(ready)
-        added = steps.join(ready.select(F.col("c").alias("to"), F.col("bound").alias("more")), "to").groupBy("c").agg(F.sum("more").alias("more"))
-        sums = cut(sums.join(ready.select("c"), "c", "left_anti").join(added, "c", "left").select("c", (F.col("bound") + F.coalesce("more", F.lit(0))).alias("bound")))
-        steps = cut(steps.join(ready.select(F.col("c").alias("to")), "to", "left_anti"))
+        came = steps.join(ready.select(F.col("c").alias("to"), F.col("bound").alias("more")), "to").groupBy("c").agg(F.sum("more").alias("more"), F.count(F.lit(1)).alias("n"))
+        rest = state.filter("left > 0").join(came, "c", "left")
+        state = cut(rest.select("c", (F.col("bound") + F.coalesce("more", F.lit(0))).alias("bound"), (F.col("left") - F.coalesce("n", F.lit(0))).alias("left")))
     if known is None:
         return of.select("id", F.lit(0).cast("long").alias("bound"))
     return of.join(known.withColumnRenamed("c", "component"), "component").select("id", (F.col("bound") - 1).alias("bound"))

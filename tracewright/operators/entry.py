@@ -18,7 +18,7 @@ def clean_pins(pins: list) -> list[str]:
 
 
 #: Roots walked at first, and by how much each further lot is larger.
-FIRST_LOT, GROWTH = 512, 8
+FIRST_LOT, GROWTH = 4096, 16
 
 
 def _reaching(edges: DataFrame, starts: DataFrame, least: int) -> DataFrame:
@@ -28,17 +28,19 @@ def _reaching(edges: DataFrame, starts: DataFrame, least: int) -> DataFrame:
     ones would be among them; a start that has enough is followed no further.
     """
     few = edges.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter(F.col("k") <= 2 * least).select("src", "dst")
-    found = traverse.cut(starts.select("id", F.col("id").alias("node")))
-    tip, enough = found, None
+    found = traverse.cut(starts.select("id", F.col("id").alias("node"), F.lit(0).alias("level")))
+    level, enough = 0, None
     while True:
-        tip = traverse.cut(tip.join(few, tip["node"] == few["src"]).select("id", F.col("dst").alias("node")).distinct().join(found, ["id", "node"], "left_anti"))
-        found = found.unionByName(tip)
-        counts = found.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("n"))
-        full = traverse.cut(counts.filter(F.col("n") >= least).select("id"))
+        tip = found.filter(F.col("level") == level).join(few, F.col("node") == few["src"]).select("id", F.col("dst").alias("node")).distinct()
+        level += 1
+        new = tip.join(found.select("id", "node"), ["id", "node"], "left_anti").withColumn("level", F.lit(level))
+        of_start = Window.partitionBy("id")
+        both = traverse.cut(found.unionByName(new).withColumns({"n": F.count(F.lit(1)).over(of_start) - 1, "last": F.max("level").over(of_start)}))
+        full = both.filter((F.col("n") >= least) & (F.col("level") == 0)).select("id")
         enough = full if enough is None else enough.unionByName(full)
-        found = traverse.cut(found.join(full, "id", "left_anti"))
-        tip = traverse.cut(tip.join(full, "id", "left_anti"))
-        if tip.isEmpty():
+        # starts that have too few and found something new go on
+        found = both.filter((F.col("n") < least) & (F.col("last") == level)).drop("n", "last")
+        if found.isEmpty():
             return enough
 
 
