@@ -20,12 +20,12 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import TwoAges, byte_runs, held, pick, small_batches
+from .common import TwoAges, byte_runs, held, pick, small_batches, tidy
 
 
 HEAD = 6
 #: What a worker keeps, in bytes: whether pairs of tokens stand, prefixes of pieces, pieces and words with their ids.
-PAIR_BYTES, HEAD_BYTES, PIECE_BYTES, FIRST_BYTES, WORD_BYTES = 48 << 20, 32 << 20, 24 << 20, 12 << 20, 96 << 20
+PAIR_BYTES, HEAD_BYTES, PIECE_BYTES, FIRST_BYTES, WORD_BYTES = 32 << 20, 24 << 20, 16 << 20, 8 << 20, 80 << 20
 
 
 class Vocabulary:
@@ -277,4 +277,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return pick(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return pick(docs, id_col, text_col).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, byte_runs, may_have, pick, small_batches, written
+from .common import BLANKS, byte_runs, may_have, pick, small_batches, tidy, written
 
 LEAST, USUAL, MOST = 512, 2048, 8192
 
@@ -81,7 +81,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "sha", "recipe"])
 
     kind = dict(docs.dtypes)[id_col]
-    return pick(docs, id_col, text_col).mapInArrow(run, f"id {kind}, sha binary, recipe array<long>")
+    return pick(docs, id_col, text_col).mapInArrow(tidy(run), f"id {kind}, sha binary, recipe array<long>")
 
 
 def _chunk_rows(texts: DataFrame, hash_bits: int, with_place: bool) -> DataFrame:
@@ -104,7 +104,7 @@ def _chunk_rows(texts: DataFrame, hash_bits: int, with_place: bool) -> DataFrame
                 if rows:
                     yield batch_of(list(rows))
 
-    return texts.mapInArrow(run, "name long, bytes binary" + (", sha binary, place int" if with_place else ""))
+    return texts.mapInArrow(tidy(run), "name long, bytes binary" + (", sha binary, place int" if with_place else ""))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:

@@ -126,6 +126,28 @@ def byte_runs(column, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
         yield start, col.slice(start, len(sizes) - start).to_pylist()
 
 
+def trim() -> None:
+    """Give memory that this worker process doesn't use any more back to the system, where its C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to do
+        pass
+
+
+def tidy(run):
+    """run, a function of Arrow batches, followed by trim(): workers wait between stages and share an executor's memory."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 _HELD: dict = {}
 
 
@@ -133,6 +155,7 @@ def held(key, make):
     """make(), kept in this worker process over tasks; a worker holds one such thing at a time, so stages don't add up."""
     if key not in _HELD:
         _HELD.clear()
+        trim()
         _HELD[key] = make()
     return _HELD[key]
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, byte_runs, held, pick, small_batches
+from .common import BLANKS, byte_runs, held, pick, small_batches, tidy
 from .words import HashTable, code_points, repeated_words, split
 
 
@@ -206,7 +206,7 @@ def measure(docs: DataFrame, model: str, ranks: str, pattern: str, id_col: str =
             cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *cols], names=labels)
 
-    out = pick(docs, *carried, text_col, lang_col).toDF(*names, "t", "l").mapInArrow(run, schema)
+    out = pick(docs, *carried, text_col, lang_col).toDF(*names, "t", "l").mapInArrow(tidy(run), schema)
     return out.toDF(*carried, *out.columns[len(carried) :])
 
 

@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_runs, pick, small_batches, written
+from .common import byte_runs, pick, small_batches, tidy, written
 
 WIDTH = 1024
 
@@ -43,7 +43,7 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str, text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["length", "n_docs"])
 
     small_batches(docs.sparkSession)
-    return pick(docs, text_col).mapInArrow(run, "length long, n_docs long")
+    return pick(docs, text_col).mapInArrow(tidy(run), "length long, n_docs long")
 
 
 def histogram(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_runs, small_batches, written
+from .common import byte_runs, small_batches, tidy, written
 from .words import _ODD, mix
 
 #: A block of fewer words stays.
@@ -182,7 +182,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, pa.array(words, pa.list_(pa.int32()))], names=["nul", "id", "fp", "hashes", "others", "words"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"nul boolean, id {kind}, fp long, hashes array<long>, others array<long>, words array<int>")
+    return docs.mapInArrow(tidy(run), f"nul boolean, id {kind}, fp long, hashes array<long>, others array<long>, words array<int>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -209,7 +209,7 @@ def _runs(recs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[part])), pa.array(same[of[part]]), pa.array(r[part])], names=["doc", "same", "r"])
 
     side = recs.select(F.struct(*KEY).alias("doc"), "hashes", "words")
-    return side.mapInArrow(run, f"doc {dict(side.dtypes)['doc']}, same long, r long")
+    return side.mapInArrow(tidy(run), f"doc {dict(side.dtypes)['doc']}, same long, r long")
 
 
 def _aligned(pairs: DataFrame, recs: DataFrame, least: int) -> DataFrame:
@@ -230,7 +230,7 @@ def _aligned(pairs: DataFrame, recs: DataFrame, least: int) -> DataFrame:
                     gone.append([x for a, b in blocks for x in range(a, b)])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
 
-    found = pairs.select("doc", "hashes", "others", "theirs", "their_others", "words").mapInArrow(run, f"doc {dict(pairs.dtypes)['doc']}, gone array<int>")
+    found = pairs.select("doc", "hashes", "others", "theirs", "their_others", "words").mapInArrow(tidy(run), f"doc {dict(pairs.dtypes)['doc']}, gone array<int>")
     return found.select("doc", F.explode("gone").alias("p")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("p")).alias("gone"))
 
 
@@ -254,7 +254,7 @@ def _left(shared: DataFrame, gone: DataFrame, recs: DataFrame, least: int) -> Da
             some = (held[e] - held[s] < e - s) & np.isin(key(r, of), key(asked, np.repeat(np.arange(len(n)), n)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[some])), pa.array(r[some])], names=["doc", "r"])
 
-    return rows.select("doc", "hashes", "words", "rs", "gone").mapInArrow(run, f"doc {dict(side.dtypes)['doc']}, r long")
+    return rows.select("doc", "hashes", "words", "rs", "gone").mapInArrow(tidy(run), f"doc {dict(side.dtypes)['doc']}, r long")
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_runs, pick, small_batches, written
+from .common import byte_runs, pick, small_batches, tidy, written
 from .words import _ODD, mix, split
 
 #: Weight of the pair's own frequency against the word's, and what is added to each word's count.
@@ -88,7 +88,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, target: bool) -> DataFr
                 k += 1
 
     kind = dict(docs.dtypes)[id_col]
-    return pick(docs, id_col, text_col).mapInArrow(run, f"block long, target boolean, tokens long, texts long, ids array<{kind}>, lens array<int>, toks binary, words binary")
+    return pick(docs, id_col, text_col).mapInArrow(tidy(run), f"block long, target boolean, tokens long, texts long, ids array<{kind}>, lens array<int>, toks binary, words binary")
 
 
 def _pairs(lens: np.ndarray, toks: np.ndarray, words: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
@@ -134,7 +134,7 @@ def _asked(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
                     cols += [pa.array([rising(h[e[x] : e[x + 1]]) for x in some], pa.binary()), pa.array([planes(m[e[x] : e[x + 1]].astype("<u4")) for x in some], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["bucket", "asker", "target", "words", "words_n", "pairs", "pairs_n"])
 
-    return blocks.select("block", "target", "lens", "toks", "words").mapInArrow(run, "bucket int, asker long, target boolean, words binary, words_n binary, pairs binary, pairs_n binary")
+    return blocks.select("block", "target", "lens", "toks", "words").mapInArrow(tidy(run), "bucket int, asker long, target boolean, words binary, words_n binary, pairs binary, pairs_n binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
