@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, fertility, lengths, licenses, line_align, mixing, ngram_join, ngram_lm, sharding
+from . import bpe, chunks, conversation_trie, fertility, lengths, licenses, line_align, mixing, ngram_join, ngram_lm, sharding
 from .common import may_have, shared_dir, table, written
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI), public_tokenizers.PATTERN)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_cross_entropy_difference": op1_cross_entropy_difference,
     "op2_mix_to_weights": op2_mix_to_weights,
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_length_histogram": op8_length_histogram,
     "op9_license_rules": op9_license_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -115,4 +120,30 @@ ORACLES: dict[str, str] = {
                row_number() OVER (PARTITION BY x ORDER BY doc_id) = 1 AS kept, sha256(x) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY x)
     """,
+    "op11_conversation_trie": r"""
+        WITH t AS MATERIALIZED (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), k AS MATERIALIZED (  -- crc32, bit by bit: a byte comes in, then eight shifts
+            SELECT c, (xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda s: list_concat([ascii(s)::BIGINT], list_transform(range(8), lambda j: -1::BIGINT))))),
+                lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END), 4294967295::BIGINT)) % 6 AS h
+            FROM (SELECT DISTINCT c FROM t)
+        ), b AS (SELECT k.c, k.h, least(k.h, count(t.c)) AS n FROM k LEFT JOIN t ON t.c = k.c - k.c % 100 GROUP BY k.c, k.h),
+        r AS (
+            SELECT b.c, t.i AS d, {'r': role, 't': txt} AS x FROM b JOIN t ON t.c = b.c - b.c % 100 AND t.i <= b.h
+            UNION ALL SELECT b.c, t.i - b.h + b.n, {'r': role, 't': txt} FROM b JOIN t ON t.c = b.c AND t.i > b.h
+        ), p AS MATERIALIZED (
+            SELECT c, d, list(x) OVER (PARTITION BY c ORDER BY d) AS path, length(x.t) AS chars, d = max(d) OVER (PARTITION BY c) AS ending FROM r
+            UNION ALL SELECT c, 0, [], 0, c NOT IN (SELECT c FROM r) FROM k
+        ), n AS MATERIALIZED (
+            SELECT d, path, min(c) AS c, count(*) AS n, max(chars) AS chars, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ending), '') AS ends FROM p GROUP BY d, path
+        ), ch AS MATERIALIZED (SELECT path[1:d - 1] AS path, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+        s AS (  -- a node's ancestors lie on the way of its smallest member
+            SELECT p.path, sum((u.n - 1) * u.chars)::BIGINT AS saved, count(*) FILTER (ch.n IS NULL) AS leaves
+            FROM n u LEFT JOIN ch ON ch.path = u.path JOIN p ON p.c = u.c AND p.d <= u.d GROUP BY p.path
+        )
+        SELECT n.c AS conv_id, n.d AS depth, up.c AS parent_conv_id, n.n AS n_convs, coalesce(ch.n, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM n JOIN s ON s.path = n.path LEFT JOIN ch ON ch.path = n.path LEFT JOIN n up ON n.d > 0 AND up.path = n.path[1:n.d - 1]
+    """,
 }
