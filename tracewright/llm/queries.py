@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, conversation_trie, fertility, lengths, licenses, line_align, mixing, ngram_join, ngram_lm, sharding, whitening
+from . import bpe, chunks, conversation_trie, fertility, language, lengths, licenses, line_align, mixing, ngram_join, ngram_lm, sharding, whitening
 from .common import may_have, shared_dir, table, written
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -67,6 +67,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_language_duels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op13_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op9_license_rules": op9_license_rules,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_language_duels": op12_language_duels,
     "op13_spectrum_whitening": op13_spectrum_whitening,
 }
 
