@@ -20,11 +20,11 @@ from .common import byte_runs, tidy, written
 DIMENSIONS = 1 << 13
 ORDERS = 3
 UNKNOWN = "und"
-MOST_TEXTS = 20_000  # texts that are fitted on, of all languages together
+MOST_TEXTS = 8_000  # texts that are fitted on, of all languages together
 LEAST_TEXTS = 50  # of each language at least, where it has as many
 PENALTY = 8.0
 ROUNDS = 60
-AT_ONCE = 256  # texts that are scored at once
+AT_ONCE = 64  # texts that are scored at once
 SLICE = 1 << 20  # characters that are counted at once
 
 
@@ -93,9 +93,9 @@ def _features(batches):
                     at = np.flatnonzero(c)
                     rows.append(start + i)
                     places.append(at.astype(np.int32))
-                    numbers.append(c[at].astype(np.int64))
+                    numbers.append(c[at].astype(np.int32))
             if rows:
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(rows)), hashes.take(pa.array(rows)), pa.array(places, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int64()))], ["lang", "h", "at", "n"])
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(rows)), hashes.take(pa.array(rows)), pa.array(places, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32()))], ["lang", "h", "at", "n"])
 
 
 def _average(key, table):
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, most_texts: int = MOST_TEXTS, family_of: Mapping[str,
     limits = ranked.groupBy("lang").agg(F.max("h").alias("limit"))
     limits = spark.createDataFrame(limits.collect(), "lang string, limit long")  # a row for each language
     taken = labelled.join(F.broadcast(limits), "lang").filter("h <= limit").select("lang", "h", "text").dropDuplicates(["lang", "h"])
-    features = written(taken.mapInArrow(tidy(_features), "lang string, h long, at array<int>, n array<long>"), "language-features")
+    features = written(taken.mapInArrow(tidy(_features), "lang string, h long, at array<int>, n array<int>"), "language-features")
     found = features.groupBy("lang").applyInArrow(_average, "lang string, texts long, total binary, profile binary").collect()
     if not found:
         return None
