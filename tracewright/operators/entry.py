@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.paths import no_entry_file
+from ..storage import written
 from . import traverse
-from .condense import reach_upper_bounds
 from .ranked import top_k
+from .reach import reach
 
 
 def clean_pins(pins: list) -> list[str]:
@@ -17,56 +18,6 @@ def clean_pins(pins: list) -> list[str]:
     return list(dict.fromkeys(p for p in pins if isinstance(p, str)))[: S.PINS_MAX]
 
 
-#: Roots walked at first, and by how much each further lot is larger.
-FIRST_LOT, GROWTH = 4096, 16
-
-
-def _reaching(edges: DataFrame, starts: DataFrame, least: int) -> DataFrame:
-    """id of the starts that reach `least` nodes or more.
-
-    Of each node only so many successors are followed that, whatever was found before, enough new
-    ones would be among them; a start that has enough is followed no further.
-    """
-    few = edges.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter(F.col("k") <= 2 * least).select("src", "dst")
-    found = traverse.cut(starts.select("id", F.col("id").alias("node"), F.lit(0).alias("level")))
-    level, enough = 0, None
-    while True:
-        tip = found.filter(F.col("level") == level).join(few, F.col("node") == few["src"]).select("id", F.col("dst").alias("node")).distinct()
-        level += 1
-        new = tip.join(found.select("id", "node"), ["id", "node"], "left_anti").withColumn("level", F.lit(level))
-        of_start = Window.partitionBy("id")
-        both = traverse.cut(found.unionByName(new).withColumns({"n": F.count(F.lit(1)).over(of_start) - 1, "last": F.max("level").over(of_start)}))
-        full = both.filter((F.col("n") >= least) & (F.col("level") == 0)).select("id")
-        enough = full if enough is None else enough.unionByName(full)
-        # starts that have too few and found something new go on
-        found = both.filter((F.col("n") < least) & (F.col("last") == level)).drop("n", "last")
-        if found.isEmpty():
-            return enough
-
-
-def _widest(edges: DataFrame, bounds: DataFrame, k: int) -> tuple[list[tuple[str, int]], DataFrame | None]:
-    """The k ids of the widest reach (then the lowest id), and what they reach (root, node). bounds: id and bound.
-
-    Ids are walked in lots by falling bound, until no bound that is left can rank; at most k of each
-    lot stay.
-    """
-    order = [F.desc("bound"), "id"]
-    best: list[tuple[str, int]] = []
-    kept, walked, lot = None, 0, FIRST_LOT
-    while True:
-        part = traverse.cut(bounds.orderBy(*order).offset(walked).limit(lot))
-        reached = traverse.cut(traverse.hops_from(edges, part.select(F.col("id").alias("root"), F.col("id").alias("node"))).select("root", "node"))
-        counts = reached.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-        top = [(r["id"], r["n"]) for r in part.select("id").join(counts, "id").orderBy(F.desc("n"), "id").limit(k).collect()]
-        best = sorted(best + top, key=lambda x: (-x[1], x[0]))[:k]
-        kept = reached if kept is None else kept.unionByName(reached)
-        kept = traverse.cut(kept.filter(F.col("root").isin([i for i, _ in best])))
-        walked, lot = walked + lot, lot * GROWTH
-        after = bounds.orderBy(*order).offset(walked).limit(1).collect()
-        if not after or (len(best) == k and (-after[0]["bound"], after[0]["id"]) > (-best[-1][1], best[-1][0])):
-            return best, kept
-
-
 def candidates(nodes: DataFrame, edges: DataFrame, pins: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The candidates, and what each of them reaches (root, node).
 
@@ -77,18 +28,18 @@ def candidates(nodes: DataFrame, edges: DataFrame, pins: list[str] | None = None
     """
     pins = clean_pins(pins or [])
     spark = nodes.sparkSession
-    one = nodes.dropDuplicates(["id"])
-    steps = traverse.cut(traverse.valid_edges(one, traverse.caller_edges(edges)).filter("src != dst").select("src", "dst").distinct())
+    one = written(nodes.dropDuplicates(["id"]), "nodes")
+    steps = written(traverse.valid_edges(one, traverse.caller_edges(edges)).filter("src != dst").select("src", "dst").distinct(), "calls")
     pinned = spark.createDataFrame([(p, i) for i, p in enumerate(pins)], "id string, pos long")
     able = one.join(steps.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").filter(~no_entry_file("file")).join(F.broadcast(pinned), "id", "left_anti").select("id")
-    bounds = traverse.cut(able.join(reach_upper_bounds(one, steps), "id").filter(F.col("bound") >= S.ENTRY_MIN_REACH))
-    qualifying = _reaching(steps, bounds.select("id"), S.ENTRY_MIN_REACH).count()
-    best, wide = _widest(steps, bounds, S.ENTRY_MAX)
-    best = [(i, n) for i, n in best if n >= S.ENTRY_MIN_REACH]
+    found = reach(one, steps)
+    wide = written(able.join(found.counts(), "id").filter(F.col("reach") >= S.ENTRY_MIN_REACH), "qualifying")
+    qualifying = wide.count()
+    best = [r["id"] for r in wide.orderBy(F.desc("reach"), "id").limit(S.ENTRY_MAX).collect()]
     own = pinned.join(one.select("id"), "id", "left_semi")
-    ranked = spark.createDataFrame([(i, S.PINS_MAX + k) for k, (i, _) in enumerate(best)], "id string, pos long")
-    walks = traverse.hops_from(steps, own.select(F.col("id").alias("root"), F.col("id").alias("node"))).select("root", "node").unionByName(wide.filter(F.col("root").isin([i for i, _ in best])))
-    reached = traverse.cut(walks)
+    ranked = spark.createDataFrame([(i, S.PINS_MAX + k) for k, i in enumerate(best)], "id string, pos long")
+    # at most ENTRY_MAX + PINS_MAX roots
+    reached = written(found.of(own.select("id").unionByName(ranked.select("id"))), "reached")
     width = reached.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
     listed = own.withColumn("pinned", F.lit(True)).unionByName(ranked.withColumn("pinned", F.lit(False)))
     load = loaded_by() if "called_at_load_by" in nodes.columns else F.lit(None).cast("struct<first:array<string>,total:int>")

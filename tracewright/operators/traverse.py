@@ -7,22 +7,18 @@ of earlier levels.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..storage import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the session's checkpoint folder; one is made only where none is set and the master is local."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="levels-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

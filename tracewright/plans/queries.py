@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import paths, text
-from ..operators import canvas, community, condense, coverage, diff, entry, fold, layout, links, ranked, records, review, risk, scope, traverse
+from ..operators import canvas, community, condense, coverage, diff, entry, fold, layout, links, ranked, reach, records, review, risk, scope, traverse
 from ..sources import diffs, findings, lcov, query_text, scans
 from . import graph_view as g
 from . import sql as q
@@ -232,6 +232,13 @@ def reach_upper_bounds(spark, d):
     return condense.reach_upper_bounds(n, traverse.valid_edges(n, g.edges(spark, d)).filter("src != dst").select("src", "dst").distinct())
 
 
+@query("reach_counts", _with(q.NODES, q.EDGES, _ROOT.split(", rt AS")[0] + ", r AS (SELECT id AS root, id AS node FROM nn UNION SELECT r.root, en.dst FROM r JOIN en ON en.src = r.node)", recursive=True) + "SELECT root AS id, count(*) - 1 AS reach FROM r GROUP BY root")
+def reach_counts(spark, d):
+    """TRV-14: of every node that isn't folded away"""
+    n, e = _folded(spark, d)
+    return reach.reach(n, traverse.valid_edges(n, traverse.caller_edges(e))).counts()
+
+
 _SIMILAR = "ok AS MATERIALIZED (SELECT id, name, file FROM nodes WHERE kind = 'Function' AND NOT test), both_ways AS (SELECT a, b, score FROM simpairs UNION SELECT b, a, score FROM simpairs), sp AS (SELECT p.a AS id, p.b AS other, y.name, y.file, p.score FROM both_ways p JOIN ok x ON x.id = p.a JOIN ok y ON y.id = p.b WHERE p.score >= 0.9 AND x.file <> y.file)"
 
 
