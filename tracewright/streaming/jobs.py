@@ -1,8 +1,7 @@
 """Work on streams: SNK-01, SNK-03 to SNK-05, STR-01 to STR-04, STR-08 to STR-12, STR-14, STR-16, STR-17, AGG-27, UDF-03.
 
-There is no event time here: late work is told by a generation number, so no watermark is set. State
-is kept in tables in a folder that all executors share; a batch writes a version under its own
-number, so a batch that runs again writes the same version.
+There is no event time here: late work is told by a generation number, so no watermark is set.
+Records are kept by store.py, requests and work under state by state.py.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.records import merge
+from .store import RecordStore
 
 Work = Callable[[pd.Series], pd.DataFrame]
 
@@ -90,34 +89,14 @@ class Cache:
         return self.generation
 
 
-def _versions(spark, path: str) -> list[int]:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    done = [n for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n[2:]) for n in done)
-
-
-def read_records(spark, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """SRC-32: the last whole version of a record table (before a version number); empty if there is none."""
-    known = [v for v in _versions(spark, path) if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{path}/v={known[-1]}") if known else spark.createDataFrame([], schema)
+def read_records(spark, path: str, schema: str) -> DataFrame:
+    """SRC-32: the records of a store; empty if there is none. schema: DDL, the key first."""
+    return RecordStore(spark, path, schema.split()[0], schema).read()
 
 
 def record_sink(updates: DataFrame, path: str, key: str, schema: str, checkpoint: str, trigger: str = "500 milliseconds", once: bool = False) -> StreamingQuery:
-    """SNK-01, STR-12: merges updates into a keyed table, a version for each batch. Of a key's updates in one batch the
-    last by seq counts field by field."""
-    fields = [f.split()[0] for f in schema.split(",") if f.split()[0] != key]
-
-    def write(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in fields])
-        old = read_records(batch.sparkSession, path, schema, number)
-        merge(old, last, key, fields).write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    w = updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=trigger)).start()
+    """SNK-01, STR-12: updates into a keyed store, see RecordStore."""
+    return RecordStore(updates.sparkSession, path, key, schema).sink(updates, checkpoint, trigger, once, background=not once)
 
 
 def progress_sink(updates: DataFrame, show: Callable[[int, list], None], checkpoint: str, most: int = 5, once: bool = False) -> StreamingQuery:
