@@ -145,7 +145,5 @@ def test_stream_helpers(spark):
     assert rows(jobs.degenerate_rate(out)) == [(6, 2, True)]
     n, e = synthetic.graph(spark, 120, 3)
     assert n.count() == 120 and e.count() == 357 and scans.edge_rows(e, n).count() == 357
-    df, why = scans.optional(spark, "/nowhere/x", S.FILES)
-    assert df.count() == 0 and why
     gaps = spark.createDataFrame([('{"skipped": ["a", {"path": "b"}], "partial": [{"path": "c"}, 3]}',), ("x",)], "reply string")
     assert rows(scans.gap_files(gaps)) == [("a", "skipped"), ("b", "skipped"), ("c", "partial")]

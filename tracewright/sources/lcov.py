@@ -6,14 +6,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import report_path
+from ..storage import hadoop_path
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-16: report, n and line of every line of the files at path; reports are read whole, one row each."""
+    """report, n and line of every line of the files at path; reports are read whole, one row each."""
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report"), F.split("value", "\r?\n").alias("lines"))
     return text.select("report", F.posexplode("lines").alias("n", "line"))
 
 
+def load(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """SRC-16: a row for each report: path (as asked for), report, modified, status and text.
+
+    status is ok, absent, or corrupt (empty, no UTF-8, or no source file named); only an ok one has text.
+    modified comes with the listing, before the content, so a report that changes meanwhile looks
+    older and never newer. A path may be a folder, which is read with all below it.
+    """
+    there, gone = [], []
+    for p in paths:
+        path, fs = hadoop_path(spark, p)
+        (there if fs.exists(path) else gone).append(p)
+    absent = spark.createDataFrame([(p,) for p in gone], "path string").select("path", F.lit(None).cast("string").alias("report"), F.lit(None).cast("timestamp").alias("modified"), F.lit("absent").alias("status"), F.lit(None).cast("string").alias("text"))
+    out = absent
+    for p in there:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p)
+        text = F.try_validate_utf8(F.col("content").cast("string"))
+        ok = F.coalesce(text.rlike(r"(?m)^\s*SF:\s*\S"), F.lit(False))
+        out = out.unionByName(found.select(F.lit(p).alias("path"), F.col("path").alias("report"), F.col("modificationTime").alias("modified"), F.when(ok, "ok").otherwise("corrupt").alias("status"), F.when(ok, text).alias("text")))
+    # files without a byte give no row of their own
+    asked = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
+    return asked.join(out, "path", "left").withColumn("status", F.coalesce("status", F.lit("corrupt")))
+
+
+def lines_of(loaded: DataFrame) -> DataFrame:
+    """report, n and line of the reports that are ok."""
+    return loaded.filter("status = 'ok'").select("report", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
+
+
 def parse(lines: DataFrame, root: str = "") -> dict[str, DataFrame]:
     """SRC-15: files (file), lines (file, line, hits), functions (file, name, line), hits (file, name, hits).
 

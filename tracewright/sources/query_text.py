@@ -1,11 +1,11 @@
-"""The backend's text tables: SRC-11 to SRC-13."""
+"""The backend's text tables: SRC-11 to SRC-14."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import REPLY_HEADER
+from ..schema import BACKEND_ROWS_MAX, REPLY_HEADER
 
 
 def tokens(line):
@@ -29,3 +29,26 @@ def json_rows(replies: DataFrame, key: str, column: str = "value") -> DataFrame:
     v = F.try_parse_json(F.col(column))
     lists = F.coalesce(*[F.try_variant_get(v, f"$.{f}", "array<map<string,string>>") for f in ("rows", "results", "records", "data")], F.try_variant_get(v, "$", "array<map<string,string>>"))
     return replies.select(key, F.posexplode(lists).alias("n", "cells"))
+
+
+def truncation(text: Column) -> Column:
+    """SRC-14: why a reply may be cut, or null: fewer rows than its total, as many as the backend ever gives, or a mark that there are more."""
+    number = lambda word: F.regexp_extract(text, rf"(?m)^{word}:\s*(\d+)", 1).try_cast("long")
+    got, whole = number("rows"), number("total")
+    more = text.rlike(r"(?i)\b(?:has_more|truncated)\b[\"']?\s*[:=]\s*[\"']?true\b") | text.rlike(r"(?i)\bnext_?cursor\b")
+    ceiling = F.lit(BACKEND_ROWS_MAX)
+    return (
+        F.when(whole > got, F.concat_ws(" ", got, F.lit("of"), whole, F.lit("rows")))
+        .when(got >= ceiling, F.concat_ws(" ", got, F.lit("rows, the most there can be")))
+        .when(more, F.lit("more rows than these"))
+    )
+
+
+def states(replies: DataFrame, key: str, column: str = "value") -> DataFrame:
+    """Key, state (ok, cut or malformed: no header), reason, and rows told and rows that can be read."""
+    text = F.col(column)
+    read = rows(replies, key, column).groupBy(key).agg(F.count("*").alias("rows_read"))
+    told = F.regexp_extract(text, REPLY_HEADER, 1).try_cast("long")
+    reason = truncation(text)
+    state = F.when(text.isNull() | ~text.rlike(REPLY_HEADER), "malformed").when(reason.isNotNull(), "cut").otherwise("ok")
+    return replies.select(key, state.alias("state"), reason.alias("reason"), told.alias("rows_told")).join(read, key, "left").fillna(0, ["rows_read"])

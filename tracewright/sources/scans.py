@@ -1,4 +1,4 @@
-"""Scans of graph tables with row checks: SRC-01 to SRC-10, SRC-14, SRC-33, FLT-01 to FLT-05, FLT-30.
+"""Scans of graph tables with row checks: SRC-01 to SRC-08, SRC-33, FLT-01 to FLT-05, FLT-30.
 
 A row that lacks a needed value is dropped; rejects() counts them.
 """
@@ -8,9 +8,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .. import schema as S
 from ..functions.paths import flag, line_number, signal_value
@@ -69,26 +68,11 @@ def co_change_pairs(raw: DataFrame) -> DataFrame:
     return raw.filter(_text("file") & _text("partner")).withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def optional(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, str | None]:
-    """SRC-09, SRC-10: the table, or an empty one of the schema and why."""
-    try:
-        return spark.read.schema(schema).parquet(path), None
-    except AnalysisException as e:
-        return spark.createDataFrame([], schema), str(e).splitlines()[0]
-
-
 def rejects(raw: DataFrame, good: DataFrame) -> DataFrame:
     """FLT-30: how many rows there were, and how many were dropped."""
     return raw.agg(F.count(F.lit(1)).alias("rows")).crossJoin(good.agg(F.count(F.lit(1)).alias("kept"))).select("rows", (F.col("rows") - F.col("kept")).alias("dropped"))
 
 
-def truncation(rows: int, total: int | None, more: bool = False) -> str | None:
-    """SRC-14."""
-    if more or (total is not None and rows < total):
-        return f"{rows} of {total if total is not None else 'more'} rows"
-    return f"at the ceiling of {S.BACKEND_ROWS_MAX} rows" if rows >= S.BACKEND_ROWS_MAX else None
-
-
 def gap_files(replies: DataFrame, column: str = "reply") -> DataFrame:
     """SRC-33: path and kind (skipped or partial) from an indexer's JSON reply; entries are strings or objects with a path."""
     v = F.try_parse_json(F.col(column))
