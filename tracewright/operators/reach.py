@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh, written
 from .condense import components
+from .neighbourhood import WIDTH
 
-WIDTH = 1 << 15  # numbers of a bucket, the bits of Spark's bitmaps
 MOST_PLACES = 1024  # a bucket with more members is a bitmap
 STORE = -1  # the copy of a closure that stays
 

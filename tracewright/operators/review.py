@@ -55,10 +55,15 @@ def first_depth(hops: DataFrame) -> DataFrame:
     return hops.agg(F.max("hop").alias("max_hop")).select("max_hop", F.greatest(F.lit(1), F.least(F.lit(2), F.coalesce("max_hop", F.lit(1)))).alias("depth"))
 
 
-def sorted_by(table: DataFrame, column: str, descending: bool = False, text: bool = False) -> DataFrame:
+def column_order(column: str, descending: bool = False, text: bool = False) -> list[Column]:
     """TOP-09: by one column, nulls last either way, text without case and accents; ties by id upwards."""
     key = F.collate(F.col(column), "UNICODE_CI_AI") if text else F.col(column)
-    return table.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("id").asc())
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("id").asc()]
+
+
+def sorted_by(table: DataFrame, column: str, descending: bool = False, text: bool = False) -> DataFrame:
+    """TOP-09: the rows in that order; order.places() numbers them."""
+    return table.orderBy(*column_order(column, descending, text))
 
 
 def calls_only(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..storage import shared_dir
+from . import neighbourhood
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -77,8 +78,9 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, hops: int | float = S.DEFAU
 
 def blast_counts(nodes: DataFrame, edges: DataFrame, hops: int | float = S.DEFAULT_HOPS) -> DataFrame:
     """TRV-06: id and blast_radius for every node, 0 for those apart."""
-    counts = blast_radius(nodes, edges, hops).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return nodes.select("id").distinct().join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("blast_radius"))
+    if hops != int(hops) or hops < 1:
+        return nodes.select("id").distinct().withColumn("blast_radius", F.lit(0).cast("long"))
+    return neighbourhood.counts(nodes, edges, int(hops)).withColumnRenamed("n", "blast_radius")
 
 
 def expansion(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import canvas, community, coverage, diff, entry, fold, layout, records, review, risk, scope
+from ..operators import canvas, community, coverage, diff, entry, fold, layout, order, records, review, risk, scope
 from ..sources import diffs, query_text, scans
 from . import graph_view as g
 from . import sql as q
@@ -316,5 +316,4 @@ def utf16_ranks(spark, d):
     """FN-01"""
     w = F.when(F.col("p_size") % 4 == 0, "a").when(F.col("p_size") % 4 == 1, "\U0001f600").when(F.col("p_size") % 4 == 2, "ﬀ").otherwise("")
     p = g.table(spark, d, "part").select(F.col("p_partkey").alias("k"), canvas.utf16_order(w).alias("key"))
-    # one window over all parts: the order of a whole table is what is asked
-    return p.select("k", F.row_number().over(Window.orderBy("key", "k")).cast("long").alias("place"))
+    return order.places(p, [F.col("key"), F.col("k")]).select("k", "place")

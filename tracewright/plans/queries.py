@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import paths, text
-from ..operators import canvas, community, condense, coverage, diff, entry, fold, layout, links, ranked, reach, records, review, risk, scope, traverse
+from ..operators import canvas, community, condense, coverage, diff, entry, fold, layout, links, order, ranked, reach, records, review, risk, scope, traverse
 from ..sources import diffs, findings, lcov, query_text, scans
 from . import graph_view as g
 from . import sql as q
@@ -401,7 +401,7 @@ def review_metric_rows(spark, d):
 def review_sort_nulls_last(spark, d):
     """TOP-09"""
     n = g.nodes(spark, d).select("id", "complexity")
-    return review.sorted_by(n, "complexity", descending=True).withColumn("pos", F.row_number().over(Window.orderBy(F.col("complexity").desc_nulls_last(), "id")).cast("long"))
+    return order.places(n, review.column_order("complexity", descending=True), "pos")
 
 
 @query("review_bars", _with(q.NODES) + "SELECT id, CASE WHEN complexity IS NOT NULL THEN round(least(greatest(complexity, 0), m) / m * 100, 2) END AS bar_complexity FROM nodes, (SELECT max(complexity) AS m FROM nodes)")
