@@ -256,6 +256,18 @@ def test_line_dedup_equals_all_pairs(spark):
     assert [got[i] for i in range(len(texts))] == want and sum(map(bool, want)) > 50
 
 
+def test_long_runs_of_blank_lines_end():
+    blank = [0] * 200_000
+    words = lambda seq: [3 * (x > 0) for x in seq]
+    a = [1, *blank, 2]
+    assert line_align.common_blocks(a, words(a), [2, *blank, 1]) == []
+    a = [1, *blank, *[2] * 40]
+    (lo, hi), = line_align.common_blocks(a, words(a), [5, *[2] * 45, *blank])
+    assert a[lo:hi].count(2) == 40
+    a = [k % 10_000 == 0 for k in range(200_000)]  # words far apart, no line that occurs once
+    assert line_align.common_blocks([*a, 7], words([*a, 7]), [8, *a]) != []
+
+
 def test_patience():
     assert line_align.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_align.patience([5, 1, 2, 3], [1, 2, 3, 5]) in ([(1, 0), (2, 1), (3, 2)], [(0, 3)])

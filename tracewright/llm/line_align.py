@@ -54,18 +54,21 @@ def heavy_run(a: list, words: list[int], b: list, span: tuple[int, int, int, int
     size = {x: words[k] for k, x in enumerate(a[i:ie], i)}
 
     def runs(seq, lo, hi):
-        """Each run from a line on that just holds enough words, all its lines being lines of a."""
+        """Each run that just holds enough words and begins with a line of some, all its lines being lines of a; a line is in `least` runs at most."""
+        e, held = lo, 0
         for s in range(lo, hi):
-            held = 0
-            for e in range(s, hi):
-                if seq[e] not in size:
-                    break
+            if e < s:
+                e, held = s, 0
+            while e < hi and held < least and seq[e] in size:
                 held += size[seq[e]]
-                if held >= least:
-                    yield tuple(seq[s : e + 1]), s
-                    break
+                e += 1
+            if held >= least and size[seq[s]]:
+                yield tuple(seq[s:e]), s
+            held -= size[seq[s]] if e > s else 0
 
     there = dict(reversed(list(runs(b, j, je))))
+    if not there:
+        return None
     for run, s in runs(a, i, ie):
         if run in there:
             t, n = there[run], len(run)
