@@ -271,13 +271,16 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     runs = _runs(recs, block_words)
     firsts = runs.groupBy("r").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").drop("last")
     held = written(runs.join(firsts, "r"), "runs")
-    shared = held.filter("doc != first")
-    gone = written(_aligned(shared.select("doc", F.col("first").alias("other")).distinct(), recs, block_words), "aligned")
+    # a copy of an earlier document's lines meets that one alone, which deletes all of them
+    origin = held.groupBy("same").agg(F.min("doc").alias("origin"))
+    shared = written(held.filter("doc != first").join(origin, "same").select("doc", "same", "r", F.when(F.col("origin") != F.col("doc"), F.col("origin")).otherwise(F.col("first")).alias("other")), "shared")
+    met = shared.select("doc", "other").distinct()
+    gone = written(_aligned(met, recs, block_words), "aligned")
     left = written(_left(shared, gone, recs, block_words), "left")
     if not left.isEmpty():
         # documents of the same lines align alike, so the first of them stands for all
-        others = held.filter("doc != first").groupBy("r", "same").agg(F.min("doc").alias("other"))
-        pairs = left.distinct().join(others, "r").filter("other < doc").select("doc", "other").distinct()
+        others = held.groupBy("r", "same").agg(F.min("doc").alias("other"))
+        pairs = left.distinct().join(others, "r").filter("other < doc").select("doc", "other").distinct().join(met, ["doc", "other"], "left_anti")
         more = _aligned(pairs, recs, block_words)
         gone = gone.unionByName(more).groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     return gone.select("doc.*", "gone")
