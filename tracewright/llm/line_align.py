@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_runs, small_batches, tidy, written
+from .common import byte_runs, may_have, small_batches, tidy, written
 from .words import _ODD, mix
 
 #: A block of fewer words stays.
@@ -269,8 +269,9 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     small_batches(docs.sparkSession)
     recs = written(_lines(_keyed(docs, id_col, text_col)).dropDuplicates(KEY), "lines")
     runs = _runs(recs, block_words)
-    firsts = runs.groupBy("r").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").drop("last")
-    held = written(runs.join(firsts, "r"), "runs")
+    firsts = written(runs.groupBy("r").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").drop("last"), "firsts")
+    # most runs are in one document alone: they go before anything is dealt by run
+    held = written(may_have(runs, firsts.select("r"), "r").join(firsts, "r"), "runs")
     shared = held.filter("doc != first")
     gone = written(_aligned(shared.select("doc", F.col("first").alias("other")).distinct(), recs, block_words), "aligned")
     left = written(_left(shared, gone, recs, block_words), "left")
