@@ -253,6 +253,27 @@ def test_short_forms(spark):
         assert label in x.labels.split(","), x
 
 
+def test_versions_suffixes_and_grants(spark):
+    """Short versions, suffixes, bare names in grants, and versions inside grants: these labels and no vaguer ones beside the contract's."""
+    want = {
+        "GNU General Public License v3": "gpl,gpl-3.0",
+        "GPL v2": "gpl-2.0",
+        "LGPL v3": "lgpl-3.0",
+        "Apache License v2": "apache-2.0",
+        "Licensed under MIT": "mit",
+        "GPL-3.0-or-later": "gpl-3.0-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only": "lgpl-2.1-only",
+        "licensed under the GPL version 2 or any later version": "gpl-2.0-or-later",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0": "cc-by-nc-sa-3.0",
+        "http://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa-4.0",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3": "gfdl-1.3",
+        "mit gutem Gruss": "",
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x.labels for x in got] == list(want.values())
+
+
 def test_licenses(spark, docs):
     written = len(licenses.WRITTEN) + len(licenses.OTHERS) + len(licenses.FAMILIES)
     assert written > 200 and len(licenses.rules()) > written

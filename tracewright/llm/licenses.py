@@ -98,6 +98,10 @@ WRITTEN: list[tuple[str, str, int, float, str]] = [
     ("mit licen[cs]ed", "mit", 0, 0.9, "mit"),
     ("(?:under|is) (?:the )?mit(?: x11)? licen[cs]e", "mit", 0, 0.9, "mit"),
     ("bsd licen[cs]ed", "bsd", 0, 0.8, "bsd"),
+    ("licen[cs]ed under (?:the )?(?:terms of (?:the )?)?mit", "mit", 0, 0.9, "mit"),
+    ("licen[cs]ed under (?:the )?(?:terms of (?:the )?)?bsd", "bsd", 1, 0.8, "bsd"),
+    ("licen[cs]ed under (?:the )?(?:terms of (?:the )?)?isc", "isc", 0, 0.9, "isc"),
+    ("licen[cs]ed under (?:the )?(?:terms of (?:the )?)?zlib", "zlib", 0, 0.9, "zlib"),
     ("bsd style licen[cs]e", "bsd", 1, 0.7, "bsd"),
     ("bsd 4 clause|4 clause bsd|original bsd licen[cs]e", "bsd-4-clause", 1, 0.9, "bsd"),
     ("0bsd|bsd zero clause|zero clause bsd", "0bsd", 1, 0.9, "0bsd|bsd"),
@@ -128,6 +132,9 @@ WRITTEN: list[tuple[str, str, int, float, str]] = [
     ("the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works", "gpl-3.0", 0, 1.0, "copyleft"),
     ("the gnu affero general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works", "agpl-3.0", 0, 1.0, "copyleft"),
     ("this lesser general public licen[cs]e applies to some specially designated software packages", "lgpl-2.1", 0, 1.0, "designated"),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e version 1 3", "gfdl-1.3", 0, 1.0, "documentation"),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e version 1 2", "gfdl-1.2", 0, 1.0, "documentation"),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e version 1 1", "gfdl-1.1", 0, 1.0, "documentation"),
     ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e version 1 [0-9]", "gfdl", 0, 1.0, "documentation"),
     ("with no invariant sections no front cover texts and no back cover texts|with no invariant sections with no front cover texts and with no back cover texts", "gfdl-no-invariants", 0, 0.8, "invariant"),
     ("gpl (?:2 0 )?with classpath exception|classpath exception", "gpl-classpath-exception", 1, 0.8, "classpath"),
@@ -213,9 +220,9 @@ WRITTEN: list[tuple[str, str, int, float, str]] = [
     ("lucent public licen[cs]e", "lpl", 1, 0.9, "lucent"),
     ("cecill(?: b| c)?(?: licen[cs]e)?", "cecill", 1, 0.8, "cecill"),
     # content and data
-    ("this work is licen[cs]ed under (?:a |the )?creative commons attribution (?:[0-9] 0 )?international licen[cs]e", "cc-by", 0, 1.0, "commons"),
-    ("this work is licen[cs]ed under (?:a |the )?creative commons attribution share ?alike", "cc-by-sa", 0, 1.0, "commons"),
-    ("this work is licen[cs]ed under (?:a |the )?creative commons attribution non ?commercial", "cc-by-nc", 0, 1.0, "commons"),
+    ("this work is licen[cs]ed under (?:a |the )?creative commons attribution international licen[cs]e", "cc-by", 0, 1.0, "commons"),
+    ("this work is licen[cs]ed under (?:a |the )?creative commons attribution share ?alike(?! [0-9])", "cc-by-sa", 0, 1.0, "commons"),
+    ("this work is licen[cs]ed under (?:a |the )?creative commons attribution non ?commercial(?! (?:[0-9]|share|no))", "cc-by-nc", 0, 1.0, "commons"),
     ("some rights reserved", "cc", 2, 0.5, "reserved"),
     ("text is available under the creative commons attribution share ?alike licen[cs]e", "cc-by-sa", 0, 1.0, "commons"),
     ("creative commons org licen[cs]es by sa [0-9] [0-9]|creativecommons org licen[cs]es by sa [0-9] [0-9]", "cc-by-sa", 0, 0.9, "org"),
@@ -281,24 +288,31 @@ def _keywords(alternatives: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+#: What may follow a version, as the label says it and in words; licenses whose versions are given so.
+SUFFIXES = (("", ""), ("-or-later", " or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?"), ("-only", " only"))
+SUFFIXED = ("agpl", "lgpl", "gpl", "gfdl")
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules in order, best first: those written out, and those made from FAMILIES by a few ways of naming a license."""
-    out = [Rule(*x, tuple(key.split("|"))) for *x, key in WRITTEN]
+    # a license's own address comes before the written rule for any version of it
+    out = [Rule(f"creative ?commons org licen[cs]es {label[3:].replace('-', ' ')} {v.replace('.', ' ')}", f"{label}-{v}", 0, 0.9, ("org",)) for _, label, versions in FAMILIES for v in versions if label.startswith("cc-by")]
+    out += [Rule(*x, tuple(key.split("|"))) for *x, key in WRITTEN]
+    grant = "(?:licen[cs]ed|released|distributed|available|published|provided|covered) under (?:the |a )?(?:terms of (?:the |a )?)?"
     for names, label, versions in FAMILIES:
-        key, name = _keywords(names), f"(?:{names})"
-        grant = "(?:licen[cs]ed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of (?:the )?)?"
+        key, name, spdx = _keywords(names), f"(?:{names})", f"spdx license identifier {label.replace('-', ' ')}"
         for v in versions:
             words = v.replace(".", " ")
             short = v.removesuffix(".0")
-            number = f"(?:{words}|{short})" if short != v else words
-            full = f"{label}-{v}"
-            out.append(Rule(f"{grant}{name} (?:(?:version|v) )?{number}", full, 0, 1.0, key))
-            out.append(Rule(f"spdx license identifier {label.replace('-', ' ')} {words}(?: only| or later)?", full, 0, 1.0, ("spdx",)))
-            out.append(Rule(f"{name} (?:(?:version|v) )?{number}", full, 1, 0.9, key))
-            out.append(Rule(f"{name} v{words}", full, 1, 0.9, key))
+            number = f"(?:version |v ?)?(?:{words}|{short})" if short != v else f"(?:version |v ?)?{words}"
+            for suffix, said in SUFFIXES if label in SUFFIXED else SUFFIXES[:1]:
+                full = f"{label}-{v}{suffix}"
+                out.append(Rule(f"{grant}{name} {number}{said}", full, 0, 1.0, key))
+                out.append(Rule(f"{spdx} {words}{said}", full, 0, 1.0, ("spdx",)))
+                out.append(Rule(f"{name} {number}{said}", full, 1, 0.9, key))
         out.append(Rule(f"{grant}{name}", label, 1, 0.8, key))
-        out.append(Rule(f"spdx license identifier {label.replace('-', ' ')}", label, 1, 0.9, ("spdx",)))
+        out.append(Rule(spdx, label, 1, 0.9, ("spdx",)))
         out.append(Rule(name, label, 2, 0.5, key))
     out += [Rule(*x, (key,)) for *x, key in OTHERS]
     return tuple(sorted(out, key=lambda r: r.tier))
@@ -314,8 +328,8 @@ GATE = (
 GATE_SHORT = ("spdx", "cc", "gpl", "gfdl", "mpl", "epl", "edl", "cddl", "cpl", "eupl", "afl", "osl", "bsl", "busl", "sspl", "odbl", "odc", "ofl", "bsd", "pddl", "cecill", "mulan", "publicdomain")
 
 
-def _gate(text: Column) -> Column:
-    low = F.lower(text)
+def _gate(low: Column) -> Column:
+    """Of a text in lower case, which must be a column of its own: an or tries its right side later, so each would lower it again."""
     some = lambda names: reduce(or_, [F.contains(low, F.lit(x)) for x in names])
     whole = low.rlike(rf"(?<![a-z0-9])(?:[al]?gplv?[0-9]*|[me]plv[0-9]|0bsd|cc0|{'|'.join(GATE_SHORT)})(?![a-z0-9])")
     return some(GATE) | F.when(some(GATE_SHORT), whole).otherwise(F.lit(False))
@@ -366,6 +380,19 @@ def _places(plain: Column, pattern: Column, block: int = 512) -> Column:
     return _let(found, lambda m: F.when(F.size(m) > 0, _let(all_of(m), folded)).otherwise(F.array().cast(empty)))
 
 
+def _constants() -> tuple[Column, Column, Column]:
+    """All rules, all keywords, and the numbers of each keyword's rules, each read as one constant. Rules hold no quotes and no backslashes."""
+    listed = rules()
+    numbers: dict[str, list[int]] = {}
+    for i, r in enumerate(listed):
+        for k in r.keywords:
+            numbers.setdefault(k, []).append(i)
+    row = lambda i, r: f"named_struct('no',{i},'pattern',' (?:{r.pattern})(?= )','label','{r.label}','tier',{r.tier},'weight',{r.weight}D)"
+    table = F.expr(f"array({','.join(row(i, r) for i, r in enumerate(listed))})")
+    keys = F.expr(f"array({','.join(f"'{k}'" for k in numbers)})")
+    return table, keys, F.expr(f"map({','.join(f"'{k}',array({','.join(map(str, n))})" for k, n in numbers.items())})")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs, in one pass.
 
@@ -376,16 +403,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text. Very long texts are scanned whole. Null ids and repeated rows are kept as they are; empty table:
     no rows; columns not named are not read.
     """
-    listed = rules()
-    table = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.tier).alias("tier"), F.lit(r.weight).alias("weight"), F.array(*[F.lit(f" {k} ") for k in r.keywords]).alias("keywords")) for i, r in enumerate(listed)])
+    table, keys, numbers = _constants()
     base_re = F.lit(f" (?:{'|'.join(BASE)})(?= )")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    rows = rows.select("id", _n_words(F.col("t")).alias("n_words"), F.when(_gate(F.col("t")), _plain(F.col("t"))).alias("plain"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).select("id", "t", F.lower("t").alias("low"))
+    rows = rows.select("id", _n_words(F.col("t")).alias("n_words"), F.when(_gate(F.col("low")), _plain(F.col("t"))).alias("plain"))
     plain = F.col("plain")
     detection = "start:int,less:int,tier:int,no:int,end:int,label:string,weight:double"
-    keys = F.array(*[F.lit(k) for k in sorted({f" {k} " for r in listed for k in r.keywords})])
-    hits = _let(F.filter(keys, lambda k: F.contains(plain, k)), lambda found: F.filter(table, lambda r: F.arrays_overlap(r["keywords"], found)))
+    words = F.array_intersect(keys, F.split(plain, " "))
+    tried = F.array_sort(F.array_distinct(F.flatten(F.transform(words, lambda k: F.element_at(numbers, k)))))
+    hits = F.transform(tried, lambda i: F.get(table, i))
     every = F.array_sort(F.flatten(F.transform(hits, lambda r: F.transform(_places(plain, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("less"), r["tier"].alias("tier"), r["no"].alias("no"), p["end"].alias("end"), r["label"].alias("label"), r["weight"].alias("weight"))))))
     rows = rows.select(
         "id",
