@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..storage import shared_dir
 from . import neighbourhood
+from .tour import preorder  # noqa: F401  TRV-18
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -130,22 +131,6 @@ def call_tree(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame
         seen = seen.unionByName(level)
 
 
-def preorder(tree: DataFrame) -> DataFrame:
-    """TRV-18: rows of a tree (root, id, parent) with path and ord, children by id below their parent.
-
-    A row whose parent isn't in the tree is a root of its own.
-    """
-    known = tree.select("root", F.col("id").alias("parent")).distinct()
-    level = cut(tree.join(known, ["root", "parent"], "left_anti").select("root", "id", F.array(F.col("id")).alias("path")))
-    out = level
-    links = tree.join(known, ["root", "parent"], "left_semi").select("root", "id", "parent")
-    while True:
-        level = cut(level.select("root", F.col("id").alias("parent"), "path").join(links, ["root", "parent"]).select("root", "id", F.concat("path", F.array("id")).alias("path")))
-        if level.isEmpty():
-            return out.withColumn("ord", F.row_number().over(Window.partitionBy("root").orderBy("path")))
-        out = out.unionByName(level)
-
-
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """TRV-09: nodes that nothing but themselves calls or uses."""
     called = valid_edges(nodes, caller_edges(edges)).filter("src != dst").select(F.col("dst").alias("id")).distinct()

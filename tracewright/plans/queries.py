@@ -165,11 +165,15 @@ def trace_resolve_tiers(spark, d):
     return traverse.resolve(g.nodes(spark, d), " RED ").select("id", "name", "tier", "matches")
 
 
-@query("trace_preorder")
+_PATHS = """paths AS MATERIALIZED (SELECT id, parent, depth, [id] AS path FROM t0 UNION ALL SELECT id, parent, depth, [parent, id] FROM l1 UNION ALL SELECT id, parent, depth, ['C:1', parent, id] FROM l2
+    UNION ALL SELECT l3.id, l3.parent, l3.depth, ['C:1', l2.parent, l3.parent, l3.id] FROM l3 JOIN l2 ON l2.id = l3.parent)"""
+
+
+@query("trace_preorder", _with(q.NODES, q.EDGES, _TREE, _PATHS) + "SELECT id, parent, depth, (SELECT count(*) FROM paths b WHERE b.path[1:len(a.path)] = a.path) AS size, row_number() OVER (ORDER BY path) AS ord FROM paths a")
 def trace_preorder(spark, d):
     """TRV-18"""
     n = g.nodes(spark, d)
-    return traverse.preorder(traverse.call_tree(n, g.edges(spark, d), n.filter("id = 'C:1'").select("id"))).select("id", F.array_join("path", ">").alias("path"), "ord")
+    return traverse.preorder(traverse.call_tree(n, g.edges(spark, d), n.filter("id = 'C:1'").select("id"))).drop("root")
 
 
 @query("roots", _with(q.NODES, q.EDGES) + "SELECT id, name FROM nodes WHERE id NOT IN (SELECT dst FROM edges WHERE src <> dst)")
