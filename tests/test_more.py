@@ -1,4 +1,3 @@
-import hashlib
 import os
 import random
 import sys
@@ -8,7 +7,6 @@ from conftest import rows
 from tracewright.functions import text
 from tracewright.operators import canvas, condense, generate
 from tracewright.plans import queries as Q
-from tracewright.sources import local
 from pyspark.sql import functions as F
 
 TESTDATA = "/root/testdata/sf0.001"
@@ -80,18 +78,6 @@ def test_generated(spark):
     assert rows(generate.generated(p, "stub", make)) == [(1, "success", "say"), (2, "unreadable", None), (3, "degenerate", None), (4, "failed", None), (5, "success", "again"), (6, "failed", None), (7, "skipped", None), (8, "unreadable", None)]
 
 
-def test_local(tmp_path):
-    deep = tmp_path / "x" / "y"
-    deep.mkdir(parents=True)
-    (deep / ".git").mkdir()
-    assert local.git_root(str(deep)) == str(deep) and local.git_root(str(tmp_path)) == str(deep)
-    assert local.captured(sys.executable, ["-c", "print(1)"]) == ("ok", "1\n")
-    assert local.captured(sys.executable, ["-c", "import time; time.sleep(9)"], timeout=0.2)[0] == "timed-out"
-    assert local.captured(os.path.join(str(tmp_path), "none"), [])[0] == "failed"
-    (tmp_path / "f").write_bytes(b"abc")
-    assert local.verified(str(tmp_path / "f"), hashlib.sha256(b"abc").hexdigest()) and not local.verified(str(tmp_path / "g"), "")
-
-
 def test_small_expressions(spark):
     one = spark.range(1)
     assert one.select(text.positive_integer(F.lit(2.0)), text.positive_integer(F.lit(1.5)), text.positive_integer(F.lit(None).cast("double"))).first()[:] == (True, False, False)

@@ -138,7 +138,6 @@ def test_record_stream(spark, tmp_path):
 
 
 def test_stream_helpers(spark):
-    assert jobs.reindex_latch("a", "a") is None and jobs.reindex_latch("b", "a") == "b" and jobs.reindex_latch("b", "a", False) is None and jobs.reindex_latch(None, None) is None
     req = spark.createDataFrame([("k", 1, False, "a"), ("k", 3, False, "c"), ("k", 2, True, "b")], "key string, seq int, force boolean, v string")
     assert rows(jobs.latest(req, "key")) == [("k", 3, True, "c")]
     out = spark.createDataFrame([("ok",)] * 4 + [("degenerate",)] * 2, "kind string")

@@ -50,9 +50,9 @@ def tests_state(gap: Column, hit: Column, tests: Column, known: Column) -> Colum
     return F.when(gap, "gap").when(hit | (tests > 0), "covered").when(known, "unproven").otherwise("none")
 
 
-def first_depth(hops: DataFrame) -> DataFrame:
-    """AGG-24: the largest hop, and the depth to begin with: 1 or 2."""
-    return hops.agg(F.max("hop").alias("max_hop")).select("max_hop", F.greatest(F.lit(1), F.least(F.lit(2), F.coalesce("max_hop", F.lit(1)))).alias("depth"))
+def first_depth(hops: DataFrame, *keys: str) -> DataFrame:
+    """AGG-24: the largest hop, and the depth to begin with: 1 or 2; with keys, of each group."""
+    return hops.groupBy(*keys).agg(F.max("hop").alias("max_hop")).select(*keys, "max_hop", F.greatest(F.lit(1), F.least(F.lit(2), F.coalesce("max_hop", F.lit(1)))).alias("depth"))
 
 
 def column_order(column: str, descending: bool = False, text: bool = False) -> list[Column]:

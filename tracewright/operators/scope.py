@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -36,6 +36,11 @@ def section_argument(section: str | None, entries: list[str]) -> str:
     return "all" if section is None else "section" if section in entries else "unknown-section"
 
 
+def section_states(section: Column, entries: list[str]) -> Column:
+    """FLT-22 for a column of arguments: all (null), section or unknown-section."""
+    return F.when(section.isNull(), "all").when(section.isin(entries), "section").otherwise("unknown-section")
+
+
 def filter_to_section(nodes: DataFrame, edges: DataFrame, entries: list[str], section: str) -> tuple[DataFrame, DataFrame]:
     """FLT-21."""
     kept = with_section(nodes, entries).filter(F.col("section") == section).drop("section")
@@ -93,6 +98,6 @@ def changed_elsewhere(measures: dict[str, DataFrame], entries: list[str], sectio
     return out.orderBy(F.desc(sum((F.col(n) for n in measures), F.lit(0))), "section")
 
 
-def same_scope(a: list[str], b: list[str]) -> bool:
-    """SET-05."""
-    return list(a) == list(b)
+def same_scopes(a: Column, b: Column) -> Column:
+    """SET-05 for columns of lists: the same entries in the same order; two nulls are the same."""
+    return a.eqNullSafe(b)

@@ -120,12 +120,11 @@ def tests_states(spark, d):
     return g.table(spark, d, "part").select("p_partkey", review.tests_state(s % 2 == 0, s % 3 == 0, tests, s % 7 < 3).alias("state"))
 
 
-@query("first_depths", "SELECT p_brand, CAST(max(p_size % 4) AS INTEGER) AS max_hop, greatest(1, least(2, CAST(max(p_size % 4) AS INTEGER))) AS depth FROM part GROUP BY p_brand HAVING p_brand = 'Brand#1' UNION ALL SELECT 'none', NULL, 1")
+@query("first_depths", "SELECT p_brand, p_type, CAST(max(hop) AS INTEGER) AS max_hop, greatest(1, least(2, coalesce(CAST(max(hop) AS INTEGER), 1))) AS depth FROM (SELECT *, CASE WHEN p_size > 20 THEN p_size % 4 END AS hop FROM part) GROUP BY p_brand, p_type")
 def first_depths(spark, d):
-    """AGG-24"""
-    p = g.table(spark, d, "part").filter("p_brand = 'Brand#1'").select((F.col("p_size") % 4).cast("int").alias("hop"))
-    named = lambda df, name: review.first_depth(df).select(F.lit(name).alias("p_brand"), "max_hop", "depth")
-    return named(p, "Brand#1").unionByName(named(p.filter("hop > 9"), "none"))
+    """AGG-24: for each brand and type; small parts have no hop"""
+    p = g.table(spark, d, "part").select("p_brand", "p_type", F.when(F.col("p_size") > 20, F.col("p_size") % 4).cast("int").alias("hop"))
+    return review.first_depth(p, "p_brand", "p_type")
 
 
 @query(
@@ -182,13 +181,12 @@ def stale_sources(spark, d):
     return coverage.stale_files(p.select("file"), p.filter("p_size % 4 != 0").select("file", (F.col("p_size") % 4).cast("double").alias("mtime")), 1.0).select("file")
 
 
-@query("changed_names", "SELECT file, CAST(min(ord) AS BIGINT) AS ord FROM (SELECT 'f' || (l_partkey % 50) AS file, 2 * (row_number() OVER (ORDER BY l_linenumber, l_partkey) - 1) AS ord FROM lineitem WHERE l_orderkey = 1) GROUP BY file")
+@query("changed_names", "SELECT l_orderkey, file, CAST(min(ord) AS BIGINT) AS ord FROM (SELECT l_orderkey, 'f' || (l_partkey % 50) AS file, 2 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1) AS ord FROM lineitem) GROUP BY l_orderkey, file")
 def changed_names(spark, d):
-    """SRC-20: the items of one order as a listing with blank lines"""
-    i = g.table(spark, d, "lineitem").filter("l_orderkey = 1")
-    lines = i.select("l_linenumber", "l_partkey", F.concat(F.lit(" f"), (F.col("l_partkey") % 50).cast("string"), F.lit(" ")).alias("name"))
-    listing = lines.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "name"))).alias("x")).select(F.array_join(F.transform("x", lambda r: F.concat(r["name"], F.lit("\r\n"))), "\n").alias("value"))
-    return diffs.changed_files(listing)
+    """SRC-20: the items of each order as a listing with blank lines"""
+    lines = g.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit(" f"), (F.col("l_partkey") % 50).cast("string"), F.lit(" ")).alias("name"))
+    listing = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "name"))).alias("x")).select("l_orderkey", F.array_join(F.transform("x", lambda r: F.concat(r["name"], F.lit("\r\n"))), "\n").alias("value"))
+    return diffs.changed_files(listing, keys=["l_orderkey"])
 
 
 @query("snapshot_differences", "SELECT p_name || p_partkey AS file FROM part WHERE p_size <= 10 OR p_size > 40 OR p_size % 7 = 0")
@@ -200,16 +198,18 @@ def snapshot_differences(spark, d):
     return diffs.snapshot_changes(before, after)
 
 
-@query("section_arguments", "SELECT * FROM (VALUES (1, 'all'), (2, 'section'), (3, 'unknown-section'), (4, 'unknown-section')) t(k, state)")
+@query("section_arguments", _with(q.NODES) + f"SELECT id, CASE WHEN ord % 5 = 0 THEN 'all' WHEN regexp_replace(file, '/.*$', '') IN ({', '.join(f"'{s}'" for s in g.SECTIONS)}) THEN 'section' ELSE 'unknown-section' END AS state FROM nodes")
 def section_arguments(spark, d):
-    """FLT-22"""
-    return spark.createDataFrame([(k, scope.section_argument(s, g.SECTIONS)) for k, s in ((1, None), (2, "orders"), (3, "order"), (4, "orders/1"))], "k int, state string")
+    """FLT-22: each node's top folder as an argument, none for each fifth"""
+    return g.nodes(spark, d).select("id", scope.section_states(F.when(F.col("ord") % 5 != 0, F.substring_index("file", "/", 1)), g.SECTIONS).alias("state"))
 
 
-@query("same_scopes", "SELECT * FROM (VALUES (1, true), (2, false), (3, false)) t(k, same)")
+@query("same_scopes", "SELECT p_partkey, [p_size % 2, p_size % 3] = CASE WHEN p_size % 5 = 0 THEN [p_size % 3, p_size % 2, 0] ELSE [p_size % 3, p_size % 2] END AS same FROM part")
 def same_scopes(spark, d):
-    """SET-05"""
-    return spark.createDataFrame([(1, scope.same_scope(["a", "b"], ["a", "b"])), (2, scope.same_scope(["a", "b"], ["b", "a"])), (3, scope.same_scope(["a"], ["a", "a"]))], "k int, same boolean")
+    """SET-05: order and length count"""
+    two, three = (F.col("p_size") % k for k in (2, 3))
+    other = F.when(F.col("p_size") % 5 == 0, F.array(three, two, F.lit(0))).otherwise(F.array(three, two))
+    return g.table(spark, d, "part").select("p_partkey", scope.same_scopes(F.array(two, three), other).alias("same"))
 
 
 @query("rejected_rows", "SELECT count(*) AS n, count(*) FILTER (p_size > 30) AS dropped FROM part")

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def changed_files(output: DataFrame, column: str = "value") -> DataFrame:
-    """SRC-20: file and ord of each name in a listing of changed names, one text for each change."""
-    names = output.select(F.posexplode(F.split(column, "\r?\n")).alias("ord", "file")).select(F.trim("file").alias("file"), F.col("ord").cast("long").alias("ord"))
-    return names.filter("file != ''").groupBy("file").agg(F.min("ord").alias("ord"))
+def changed_files(output: DataFrame, column: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """SRC-20: file and ord of each name in a listing of changed names; with keys, of each change's listing apart."""
+    names = output.select(*keys, F.posexplode(F.split(column, "\r?\n")).alias("ord", "file")).select(*keys, F.trim("file").alias("file"), F.col("ord").cast("long").alias("ord"))
+    return names.filter("file != ''").groupBy(*keys, "file").agg(F.min("ord").alias("ord"))
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -59,17 +59,6 @@ def outcome(latest_good: DataFrame, replies: DataFrame) -> DataFrame:
     return latest_good.join(last, "key", "full").select("key", F.when(F.col("r.ok"), F.col("r.value")).otherwise(F.col("value")).alias("value"))
 
 
-def scope_to_use(set_before: list[str] | None, set_during: list[str] | None) -> list[str] | None:
-    """STR-09: the scope set during an index run wins."""
-    return set_during if set_during is not None else set_before
-
-
-def reindex_latch(latched: str | None, at_start: str | None, same_project: bool = True) -> str | None:
-    """STR-16: the head that a re-index was asked for, once an index that started at some head has succeeded: cleared
-    when that is the one, and when the project is another; kept when the checkout moved on meanwhile."""
-    return latched if same_project and latched != at_start else None
-
-
 class Cache:
     """STR-10, STR-11: persisted frames by generation and scope; a new generation lets go of all."""
 
