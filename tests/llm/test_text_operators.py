@@ -323,6 +323,36 @@ def test_sharding(spark, docs, tmp_path):
     assert sharding.shard(docs.limit(0), 4, n_slots=64).count() == 0
 
 
+def test_maps_cut_short_are_passed_over(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    sharding.shard(docs, 4, path, n_slots=64)
+    left = tmp_path / "map" / "version=00000007"
+    left.mkdir()
+    (left / "part-00000.parquet").write_bytes(b"PAR1")
+    assert sharding.versions(spark, path) == {0: True, 1: True, 7: False} and sharding.stored(spark, path).version == 1
+    got = sharding.shard(docs, 5, path, n_slots=64).toPandas()
+    assert set(got.map_version) == {8} and sharding.stored(spark, path).n_shards == 5 and len(got) == docs.count()
+    empty = tmp_path / "none"
+    (empty / "version=00000000").mkdir(parents=True)
+    assert sharding.stored(spark, str(empty)) is None
+    assert set(sharding.shard(docs, 4, str(empty), n_slots=64).toPandas().map_version) == {2}
+
+
+def test_repeats_spread_joined_or_broadcast(spark, monkeypatch):
+    """Rows of up to REPEATS copies share a slot, more are dealt over all, whichever way they are told."""
+    few, many = [(1, "a")] * 16 + [(None, None)] * 16, [(2, "b")] * 400 + [(None, "c")] * 300
+    d = spark.createDataFrame(few + many, "doc_id long, text string").repartition(3)
+    for most in (sharding.MOST_BROADCAST, 0):
+        monkeypatch.setattr(sharding, "MOST_BROADCAST", most)
+        slots = {}
+        for x in sharding.records(d, 64).collect():
+            slots.setdefault((x.doc_id, x.text_crc32), []).append(x.virtual_slot)
+        sizes = {k: (len(v), len(set(v))) for k, v in slots.items()}
+        assert sizes[(1, zlib.crc32(b"a"))] == (16, 1) and sizes[(None, 0)] == (16, 1)
+        assert sizes[(2, zlib.crc32(b"b"))][0] == 400 and sizes[(2, zlib.crc32(b"b"))][1] > 50
+        assert sizes[(None, zlib.crc32(b"c"))][0] == 300 and sizes[(None, zlib.crc32(b"c"))][1] > 50
+
+
 def test_rebalance():
     r = random.Random(3)
     weight = [r.randint(1, 10_000) for _ in range(2048)]

@@ -9,7 +9,7 @@ only; the one thing brought to the driver is a row for each slot, a number fixed
 from __future__ import annotations
 
 from bisect import bisect_left
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ N_SLOTS = 8192
 OVERHEAD = 16
 #: Rows equal in id and text share a slot up to so many.
 REPEATS = 16
+#: Keys of such repeats are broadcast up to so many (16 MB at most); beyond that they are joined, each dealt over SALTS.
+MOST_BROADCAST, SALTS = 1 << 20, 64
 
 
 def text_bytes(text: str | Column) -> Column:
@@ -61,16 +63,15 @@ class SlotMap:
         return spark.range(0, len(self.shard), 1, 1).select(slot.alias("slot"), self.of(slot).alias("shard"), F.lit(self.n_shards).alias("n_shards"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the table at path; a version once written is never changed."""
+        """Add this version to the table at path; a version once written is never changed, so of two runs that save one at once the later fails."""
         self.frame(spark).write.mode("errorifexists").parquet(f"{path}/version={self.version:08d}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        """That version, or the latest."""
-        df = spark.read.parquet(path)
-        version = df.agg(F.max("version")).first()[0] if version is None else version
-        rows = df.filter(F.col("version") == version).select("slot", "shard", "n_shards").orderBy("slot").collect()
-        return cls(int(version), rows[0][2], tuple(r[1] for r in rows))
+        """That version, or the latest whole one."""
+        version = max(v for v, whole in versions(spark, path).items() if whole) if version is None else version
+        rows = spark.read.parquet(f"{path}/version={version:08d}").select("slot", "shard", "n_shards").orderBy("slot").collect()
+        return cls(version, rows[0][2], tuple(r[1] for r in rows))
 
     def rebalance(self, weight: list[int], n_shards: int | None = None, tolerance: float = 0.0005) -> SlotMap:
         """The next version: slots of shards that are gone are dealt out anew, then the heaviest and the
@@ -126,11 +127,18 @@ def records(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", tex
     the result must be written before it is used twice.
     """
     rows = docs.select(F.col(id_col).alias("id"), (text_bytes(text_col) + OVERHEAD).alias("size"), text_crc(text_col).alias("text_crc32"))
-    key = F.xxhash64("id", "text_crc32")
-    rows = rows.withColumn("key", key)
-    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REPEATS).select("key", F.lit(True).alias("many"))
+    # texts are read once; what is grouped and joined from here on is a few numbers a row
+    rows = written(rows.withColumn("key", F.xxhash64("id", "text_crc32")), "sized")
+    many = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REPEATS).select("key", F.lit(True).alias("many")), "repeats")
+    on = ["key"]
+    if many.count() <= MOST_BROADCAST:
+        many = F.broadcast(many)
+    else:
+        on = ["key", "salt"]
+        many = many.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.withColumn("salt", F.monotonically_increasing_id() % SALTS)
     slot = F.when(F.col("many"), slot_of(n_slots, F.col("key"), F.monotonically_increasing_id())).otherwise(slot_of(n_slots, F.col("id"), F.col("text_crc32")))
-    return rows.join(many, "key", "left").select(F.col("id").alias(id_col), "size", "text_crc32", slot.alias("virtual_slot"))
+    return rows.join(many, on, "left").select(F.col("id").alias(id_col), "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_weights(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list[int]]:
@@ -141,10 +149,27 @@ def slot_weights(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], li
     return size, count
 
 
+def versions(spark: SparkSession, path: str) -> dict[int, bool]:
+    """Versions of the map at path, and whether each was written to its end."""
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    where = name(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return {}
+    folders = [f.getPath().getName() for f in store.listStatus(where)]
+    return {int(f.removeprefix("version=")): store.exists(name(f"{path}/{f}/_SUCCESS")) for f in folders if f.startswith("version=")}
+
+
 def stored(spark: SparkSession, path: str) -> SlotMap | None:
-    """The latest map at path; None where there is none yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return SlotMap.load(spark, path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+    """The latest whole map at path; None where there is none yet."""
+    return SlotMap.load(spark, path) if any(versions(spark, path).values()) else None
+
+
+def added(spark: SparkSession, new: SlotMap, path: str) -> SlotMap:
+    """new, saved under the first number above all versions there, those of writes that failed among them."""
+    new = replace(new, version=max(versions(spark, path), default=-1) + 1)
+    new.save(spark, path)
+    return new
 
 
 def shard(docs: DataFrame, n_shards: int, path: str | None = None, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,8 +178,9 @@ def shard(docs: DataFrame, n_shards: int, path: str | None = None, n_slots: int
     Returns id_col, size, text_crc32, law, shard, slot (the row's place in its shard, gapless from 0),
     grown_shard (null under this law), virtual_slot and map_version. With `path`, the map stored there
     is edited: slots move as little as balance asks, and the next version is stored if any moved;
-    where none is stored, the first map and its rebalanced version are. A map of another number of
-    slots there is an error. Null texts weigh OVERHEAD; null ids and repeated rows are rows like
+    where none is stored, the first map and its rebalanced version are. So the shards hang on what earlier
+    runs stored there; a version that a failed run left behind is passed over, and of two runs at once that
+    edit the map one fails. A map of another number of slots there is an error. Null texts weigh OVERHEAD; null ids and repeated rows are rows like
     others; very long texts are read for their length and checksum only; of an empty table nothing
     is returned; columns not named are not read. A row can't be split, so shards are near equal as
     far as single rows are small beside a shard.
@@ -166,14 +192,14 @@ def shard(docs: DataFrame, n_shards: int, path: str | None = None, n_slots: int
     if old is None:
         old = SlotMap.first(n_slots, n_shards)
         if path:
-            old.save(spark, path)
+            old = added(spark, old, path)
     if len(old.shard) != n_slots:
         raise ValueError(f"the map at {path} has {len(old.shard)} slots, not {n_slots}")
     new = old.rebalance(size, n_shards)
     if new.shard == old.shard and new.n_shards == old.n_shards:
         new = old
     elif path:
-        new.save(spark, path)
+        new = added(spark, new, path)
     base, filled = [0] * n_slots, [0] * n_shards
     for slot, s in enumerate(new.shard):
         base[slot] = filled[s]
