@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 
 from tracewright.streaming import state
 
@@ -152,3 +153,55 @@ def test_work_queue(spark, tmp_path, restart):
         assert Counter(g[1:] for g in got if g[0] == p) == Counter(want)
         kinds.update(w[0] for w in want)
     assert set(kinds) == {"start", "done", "dropped", "advice"}
+
+
+class Store:
+    """A state store's values and maps for one key, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.timers = Counter(), []
+
+    def getValueState(self, name, schema):
+        return Kept(self.calls)
+
+    getMapState = lambda self, name, key, value: Kept(self.calls)
+    listTimers = lambda self: iter(self.timers)
+    deleteTimer = lambda self, t: self.timers.remove(t)
+    registerTimer = lambda self, t: self.timers.append(t)
+
+
+class Kept:
+    def __init__(self, calls):
+        self.calls, self.map, self.value = calls, {}, None
+
+    def _told(self, what):
+        self.calls[what] += 1
+        return self
+
+    exists = lambda self: self._told("one").value is not None
+    get = lambda self: self._told("one").value
+    clear = lambda self: setattr(self._told("one"), "value", None)
+    update = lambda self, value: setattr(self._told("one"), "value", value)
+    containsKey = lambda self, key: key in self._told("one").map
+    getValue = lambda self, key: self._told("one").map.get(key)
+    updateValue = lambda self, key, value: self._told("one").map.__setitem__(key, value)
+    removeKey = lambda self, key: self._told("one").map.pop(key)
+    iterator = lambda self: iter(list(self._told("all").map.items()))
+
+
+def test_store_is_asked_for_what_a_batch_touches_not_for_each_event(spark):
+    n = 2000
+    e = lambda k, kind, **more: Row(**{"ms": k, "seq": k, "kind": kind, "request_id": k, "section": "a", "force": False, "message": "ok", "id": f"n{k % 4}", "urgent": False, "generation": 0, **more})
+    relay, store = state.Relay(10**6), Store()
+    relay.init(store)
+    assert list(relay.handleInputRows(("p",), iter([e(k, "request") for k in range(n)]), None)) == [] and store.timers == [10**6]
+    assert store.calls["all"] == 1 and store.calls["one"] <= 2 * n
+    store.calls.clear()
+    out = list(relay.handleInputRows(("p",), iter([e(n + k, "reply", request_id=k) for k in range(n)]), None))
+    assert [r.request_id for r in out] == list(range(n)) and store.timers == [] and relay.pending.state.map == {}
+    assert store.calls["all"] == 1 and store.calls["one"] <= 2 * n
+    for processor, kinds in ((state.WorkQueue(2, 10**6), ("submit", "finish")), (state.Coalescer(10**6), ("request", "reply"))):
+        store = Store()
+        processor.init(store)
+        out = list(processor.handleInputRows(("p",), iter([e(k, kinds[k // 4 % 2]) for k in range(n)]), None))
+        assert len(out) >= n // 2 and store.calls.total() < n
