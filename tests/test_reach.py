@@ -49,3 +49,19 @@ def test_reach_of_diamonds_and_of_nothing(spark):
     assert dict(rows(reach.reach(*graph(spark, ids, pairs)).counts()))["t0"] == 18
     assert rows(reach.reach(*graph(spark, ["a"], [])).counts()) == [("a", 0)]
     assert rows(reach.reach(*graph(spark, [], [])).counts()) == []
+
+
+def test_large_tables_are_never_sent_whole(spark, tmp_path, monkeypatch):
+    """Their files may be small, a hash table of them isn't."""
+    from tracewright import storage
+    from tracewright.operators import traverse
+
+    monkeypatch.setattr(storage, "LARGE", 10, raising=False)
+    ids = [f"n{i}" for i in range(20)]
+    n, e = graph(spark, ids, list(zip(ids, ids[1:], strict=False)))
+    found = reach.reach(n, e).counts()
+    assert dict(rows(found)) == {i: 19 - k for k, i in enumerate(ids)}
+    n.write.parquet(str(tmp_path / "ids"))
+    valid = traverse.valid_edges(spark.read.parquet(str(tmp_path / "ids")), e.selectExpr("*", "'CALLS' AS kind"))
+    for df in (found, valid):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()

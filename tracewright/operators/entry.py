@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.paths import no_entry_file
-from ..storage import written
+from ..storage import written_rows
 from . import traverse
 from .ranked import top_k
 from .reach import reach
@@ -28,18 +28,18 @@ def candidates(nodes: DataFrame, edges: DataFrame, pins: list[str] | None = None
     """
     pins = clean_pins(pins or [])
     spark = nodes.sparkSession
-    one = written(nodes.dropDuplicates(["id"]), "nodes")
-    steps = written(traverse.valid_edges(one, traverse.caller_edges(edges)).filter("src != dst").select("src", "dst").distinct(), "calls")
+    one = written_rows(nodes.dropDuplicates(["id"]), "nodes")
+    steps = written_rows(traverse.valid_edges(one, traverse.caller_edges(edges)).filter("src != dst").select("src", "dst").distinct(), "calls")
     pinned = spark.createDataFrame([(p, i) for i, p in enumerate(pins)], "id string, pos long")
     able = one.join(steps.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").filter(~no_entry_file("file")).join(F.broadcast(pinned), "id", "left_anti").select("id")
     found = reach(one, steps)
-    wide = written(able.join(found.counts(), "id").filter(F.col("reach") >= S.ENTRY_MIN_REACH), "qualifying")
+    wide = written_rows(able.join(found.counts(), "id").filter(F.col("reach") >= S.ENTRY_MIN_REACH), "qualifying")
     qualifying = wide.count()
     best = [r["id"] for r in wide.orderBy(F.desc("reach"), "id").limit(S.ENTRY_MAX).collect()]
     own = pinned.join(one.select("id"), "id", "left_semi")
     ranked = spark.createDataFrame([(i, S.PINS_MAX + k) for k, i in enumerate(best)], "id string, pos long")
     # at most ENTRY_MAX + PINS_MAX roots
-    reached = written(found.of(own.select("id").unionByName(ranked.select("id"))), "reached")
+    reached = written_rows(found.of(own.select("id").unionByName(ranked.select("id"))), "reached")
     width = reached.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
     listed = own.withColumn("pinned", F.lit(True)).unionByName(ranked.withColumn("pinned", F.lit(False)))
     load = loaded_by() if "called_at_load_by" in nodes.columns else F.lit(None).cast("struct<first:array<string>,total:int>")

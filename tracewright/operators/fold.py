@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.paths import in_scope
+from ..storage import apart
 
 
 def _rank(kind: str = "kind"):
@@ -22,7 +23,7 @@ def modules(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     A module whose id a map node has stays that node. A file uses a map node by its best kind.
     """
     kept = nodes.filter("kind != 'Module'")
-    ids = kept.select("id").distinct()
+    ids = apart(kept.select("id").distinct())
     folded = nodes.filter("kind = 'Module'").join(ids, "id", "left_anti")
     of_file = folded.select("id", "file").distinct()
     files = folded.groupBy("file").agg(F.array_sort(F.collect_set("id")).alias("module_ids"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import written_rows
 
 WIDTH = 1 << 15  # numbers of a bucket, the bits of Spark's bitmaps
 MOST = 1024  # members of a set of pairs that others take over
@@ -40,19 +40,19 @@ def _walked(steps: DataFrame, hops: int, most: int) -> tuple[DataFrame, DataFram
     pairs, bits = first, None
     for _ in range(hops - 1):
         sizes = pairs.groupBy("c").agg(F.count("*").alias("size"))
-        large = written(sizes.filter(F.col("size") > most).select("c"), "large")
+        large = written_rows(sizes.filter(F.col("size") > most).select("c"), "large")
         taken, dense = pairs, bits
         if bits is not None or not large.isEmpty():
             # a set that has bitmaps is handed on as bitmaps only
-            whole = large if bits is None else written(large.unionByName(bits.select("c")).distinct(), "large")
+            whole = large if bits is None else written_rows(large.unionByName(bits.select("c")).distinct(), "large")
             dense = _merged(_bits_of(pairs.join(whole, "c", "left_semi")), bits)
-            dense = written(dense, "dense")
+            dense = written_rows(dense, "dense")
             taken = pairs.join(whole, "c", "left_anti")
         came = steps.join(taken.withColumnRenamed("c", "to"), "to").select("c", "n")
         pairs = first.unionByName(came).distinct()
         if hops > 2:
-            pairs = written(pairs, "pairs")
-        bits = None if dense is None else written(_merged(steps.join(dense.withColumnRenamed("c", "to"), "to").select("c", "bucket", "bits")), "bits")
+            pairs = written_rows(pairs, "pairs")
+        bits = None if dense is None else written_rows(_merged(steps.join(dense.withColumnRenamed("c", "to"), "to").select("c", "bucket", "bits")), "bits")
     return pairs, bits
 
 
@@ -61,17 +61,17 @@ def counts(nodes: DataFrame, edges: DataFrame, hops: int, most: int = MOST) -> D
 
     edges: src and dst; ends that aren't nodes, repeats and self-loops don't count.
     """
-    members = written(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("c")), "numbers")
+    members = written_rows(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("c")), "numbers")
     key = lambda c, end: members.select(F.col("id").alias(end), F.col("c").alias(c))
-    steps = written(edges.select("src", "dst").filter("src != dst").join(key("c", "src"), "src").join(key("to", "dst"), "dst").select("c", "to").distinct(), "steps")
+    steps = written_rows(edges.select("src", "dst").filter("src != dst").join(key("c", "src"), "src").join(key("to", "dst"), "dst").select("c", "to").distinct(), "steps")
     back = steps.select(F.col("to").alias("c"), F.col("c").alias("to"))
     (ahead, ahead_bits), (behind, behind_bits) = _walked(steps, hops, most), _walked(back, hops, most)
     pairs = ahead.unionByName(behind)
     bits = _merged(ahead_bits, behind_bits)
     sparse = pairs
     if bits is not None:
-        whole = written(bits.select("c").distinct(), "large")
-        pairs = written(pairs.distinct(), "pairs")
+        whole = written_rows(bits.select("c").distinct(), "large")
+        pairs = written_rows(pairs.distinct(), "pairs")
         dense = _merged(bits, _bits_of(pairs.join(whole, "c", "left_semi")))
         sparse = pairs.join(whole, "c", "left_anti")
         # its own bit, where a cycle leads back to it

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..storage import fresh, written
+from ..storage import fresh, written_rows
 from .condense import components
 from .neighbourhood import WIDTH
 
@@ -31,7 +31,7 @@ def _size() -> Column:
 def _layers(steps: DataFrame, all_c: DataFrame) -> tuple[DataFrame, int, DataFrame]:
     """c and layer of the components whose ways all end, the number of layers, and the components left over (on cycles or above them)."""
     left = steps.groupBy("c").agg(F.count("*").alias("left"))
-    state = written(all_c.join(left, "c", "left").select("c", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("layer")), "open")
+    state = written_rows(all_c.join(left, "c", "left").select("c", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("layer")), "open")
     done, layer = [], 0
     while True:
         ready = state.filter("left = 0").select("c", "layer")
@@ -40,7 +40,7 @@ def _layers(steps: DataFrame, all_c: DataFrame) -> tuple[DataFrame, int, DataFra
         done.append(ready)
         layer += 1
         came = steps.join(ready.select(F.col("c").alias("to")), "to", "left_semi").groupBy("c").agg(F.count("*").alias("n"))
-        state = written(state.filter("left > 0").join(came, "c", "left").select("c", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.lit(layer).alias("layer")), "open")
+        state = written_rows(state.filter("left > 0").join(came, "c", "left").select("c", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.lit(layer).alias("layer")), "open")
     whole = done[0] if done else state.select("c", "layer").limit(0)
     for d in done[1:]:
         whole = whole.unionByName(d)
@@ -61,7 +61,7 @@ def _merged(places: DataFrame, bitmaps: DataFrame | None, most: int, first_look:
     none = F.lit(None)
     if bitmaps is None and first_look is not None and first_look <= most:
         return few.select("c", "bucket", "places", none.cast("binary").alias("bits"))
-    few = written(few, "few")
+    few = written_rows(few, "few")
     full = _as_bits(few.filter(F.size("places") > most))
     if bitmaps is not None:
         dense = bitmaps.select("c", "bucket").distinct()
@@ -104,20 +104,20 @@ def reach(nodes: DataFrame, edges: DataFrame, most_places: int = MOST_PLACES) ->
     nodes lie on cycles, components are found first.
     """
     spark = nodes.sparkSession
-    members = written(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("number")), "numbers").withColumn("c", F.col("number"))
+    members = written_rows(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("number")), "numbers").withColumn("c", F.col("number"))
     key = lambda c, end: members.select(F.col("id").alias(end), F.col("c").alias(c))
-    numbered = lambda: written(edges.select("src", "dst").filter("src != dst").join(key("c", "src"), "src").join(key("to", "dst"), "dst").filter("c != to").select("c", "to").distinct(), "steps")
+    numbered = lambda: written_rows(edges.select("src", "dst").filter("src != dst").join(key("c", "src"), "src").join(key("to", "dst"), "dst").filter("c != to").select("c", "to").distinct(), "steps")
     steps = numbered()
     layers, depth, rest = _layers(steps, members.select("c").distinct())
     if not rest.isEmpty():
         inner = steps.join(rest, "c", "left_semi").join(rest.select(F.col("c").alias("to")), "to", "left_semi").select(F.col("c").alias("src"), F.col("to").alias("dst"))
         groups = components(rest.select(F.col("c").alias("id")), inner).withColumnsRenamed({"id": "number", "component": "group"})
-        members = written(members.drop("c").join(groups, "number", "left").select("id", "number", F.coalesce("group", "number").alias("c")), "numbers")
+        members = written_rows(members.drop("c").join(groups, "number", "left").select("id", "number", F.coalesce("group", "number").alias("c")), "numbers")
         steps = numbered()
         layers, depth, _ = _layers(steps, members.select("c").distinct())
-    layers = written(layers, "layers")
+    layers = written_rows(layers, "layers")
     of = lambda c, name: layers.select(F.col("c").alias(c), F.col("layer").alias(name))
-    laid = written(steps.join(of("c", "layer"), "c").join(of("to", "below"), "to"), "laid")
+    laid = written_rows(steps.join(of("c", "layer"), "c").join(of("to", "below"), "to"), "laid")
     needed = laid.groupBy(F.col("to").alias("c")).agg(F.collect_set("layer").alias("layers"))
     whole = layers.select("c", "layer").join(needed, "c", "left").select("c", "layer", F.concat(F.array(F.lit(STORE)), F.coalesce("layers", F.array().cast("array<int>"))).alias("copies"))
     own = members.join(whole.select("c", "layer"), "c").select("c", "layer", F.expr(f"number DIV {WIDTH}").alias("bucket"), (F.col("number") % WIDTH).cast("int").alias("place"))

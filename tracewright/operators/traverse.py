@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..storage import shared_dir
+from ..storage import apart, shared_dir
 from . import neighbourhood
 from .tour import preorder  # noqa: F401  TRV-18
 
@@ -26,7 +26,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """JOIN-19, TRV-03: edges whose ends are both known; duplicates and self-loops stay."""
-    ids = nodes.select("id").distinct()
+    ids = apart(nodes.select("id").distinct())
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "kind")
 
 

@@ -6,7 +6,11 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table beyond which a join sorts it instead of sending it whole to driver and executors.
+LARGE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +36,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df for joins that sort and merge: never sent whole to the driver, however small its files. Columns of ids compress well, so
+    Spark would take a table of millions of rows for a small one and build a hash table of it in the driver."""
+    return df.hint("merge")
+
+
+def written_rows(df: DataFrame, label: str) -> DataFrame:
+    """written(), for tables that grow with the graph: one of more than LARGE rows is kept apart()."""
+    path, seen = fresh(df.sparkSession, label), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return apart(back) if (seen.get["n"] or 0) > LARGE else back
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(path, its file system) as Hadoop objects, whatever the store."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
