@@ -1,6 +1,7 @@
 """Queries over tables that have what larger copies of the standard tables have, against their SQL."""
 
 import os
+import random
 
 import pytest
 from conftest import rows
@@ -40,3 +41,24 @@ def test_points_whose_numbers_meet_are_one(spark, tmp_path):
     got = rows(entry.queries()["enclosing_interval"](spark, d), "point", "node_id")
     # any_value leaves open which row counts: here the table's first
     assert got == [(100_005_002, "P:5"), (400_005_001, "P:100005")] and [p for p, _ in got] == [p for p, _ in oracle("enclosing_interval", d)]
+
+
+def test_similar_pairs_are_not_formed(spark, monkeypatch):
+    """The same rows as from all pairs, with many functions of one file, size and group; the query forms no pairs."""
+    from tracewright import schema as S
+    from tracewright.operators import links
+    from tracewright.plans import graph_view as g
+    from tracewright.plans import queries as Q
+
+    rng = random.Random(5)
+    monkeypatch.setattr(S, "SIMILAR_MAX", 4)
+    files = [f"f{i}.ts" for i in range(6)] + ["x.test.ts"]
+    made = [(f"n{i}", f"m{rng.randrange(3)}", rng.choice(files) if i % 3 else "f1.ts", 1, 9, "Function" if i % 7 else "Type", False, None, None, i) for i in range(240)]
+    n = spark.createDataFrame(made, S.NODES + ", ord long")
+    size = {r[0]: (rng.choice([None, "a", "a", "b"]), rng.choice([1, 2, 3, 9, 20, 26])) for r in made}
+    sized = spark.createDataFrame([(i, *v) for i, v in size.items()], "id string, group string, size long")
+    pairs = [(a, b, 1 - abs(size[a][1] - size[b][1]) / 50) for a in size for b in size if a < b and size[a][0] and size[a][0] == size[b][0]]
+    want = links.similar(n, spark.createDataFrame(pairs, "a string, b string, score double"))
+    assert rows(links.similar_by_size(n, sized, g.size_score, g.SIZES_APART)) == rows(want) != []
+    monkeypatch.setattr(g, "similar_pairs", lambda *_: pytest.fail("all pairs"))
+    Q.QUERIES["similar_pairs_top20"](spark, TESTDATA)

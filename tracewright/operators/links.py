@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -81,6 +83,36 @@ def similar(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return top_k(both.select(F.col("a").alias("id"), F.col("b").alias("other"), "name", "file", "score"), ["id"], [F.desc("score"), "name", "file", "other"], S.SIMILAR_MAX)
 
 
+def similar_by_size(nodes: DataFrame, sized: DataFrame, score: Callable[[Column], Column], farthest: int) -> DataFrame:
+    """JOIN-12, TOP-02 where the pairs are those of one group and their score falls with the difference of two whole sizes: what
+    similar() gives for all pairs, without forming them.
+
+    sized: id, group and size; score: of a difference; farthest: the largest difference that is similar enough.
+    Members of one group, size and file have the same functions of other files to choose from. Of a
+    list in order, the file itself takes away rows; so with SIMILAR_MAX rows of each file at most, its
+    first 2 * SIMILAR_MAX hold what any file is shown. Totals are grouped counts.
+    """
+    k = S.SIMILAR_MAX
+    once = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("kind").alias("kind"), F.first("name").alias("name"), F.first("file").alias("file"), F.max(is_test_node()).alias("t"))
+    able = once.filter("n = 1 AND kind = 'Function' AND NOT t").join(sized, "id").select("id", "name", "file", "group", "size")
+    places = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("off", "name", "file", "other"))
+    offs = [F.lit(i).cast("long") for i in range(-farthest, farthest + 1)]
+    near = lambda df: df.select(*[c for c in df.columns if c != "size"], F.explode(F.array(*offs)).alias("step"), "size").select("*", F.abs("step").alias("off"), (F.col("size") + F.col("step")).alias("at")).filter(score(F.col("off")) >= S.SIMILAR_SCORE).drop("step", "size")
+    # the first rows of a group, size and file, then of what stands near a size
+    own = able.withColumnsRenamed({"id": "other"}).withColumn("off", F.lit(0)).withColumn("p", places(["group", "size", "file"])).filter(F.col("p") <= k).drop("p", "off")
+    line = near(own).withColumn("p", places(["group", "at", "file"])).filter(F.col("p") <= k).withColumn("p", places(["group", "at"])).filter(F.col("p") <= 2 * k).drop("p")
+    # of each file that has a function of a size, what it is shown and how many there are
+    kinds = able.groupBy("group", "size", "file").agg(F.count(F.lit(1)).alias("c"))
+    own_count = near(kinds).groupBy("group", F.col("at").alias("size"), "file").agg(F.sum("c").alias("own"))
+    all_count = near(kinds.groupBy("group", "size").agg(F.sum("c").alias("c"))).groupBy("group", F.col("at").alias("size")).agg(F.sum("c").alias("all"))
+    told = kinds.join(own_count, ["group", "size", "file"]).join(all_count, ["group", "size"]).select("group", "size", F.col("file").alias("_file"), (F.col("all") - F.col("own")).alias("total"))
+    shown = told.join(line.withColumnRenamed("at", "size"), ["group", "size"]).filter("_file != file")
+    rank = F.row_number().over(Window.partitionBy("group", "size", "_file").orderBy("off", "name", "file", "other")).cast("long")
+    shown = shown.withColumn("rank", rank).filter(F.col("rank") <= k)
+    ids = able.select("id", "group", "size", F.col("file").alias("_file"))
+    return ids.join(shown, ["group", "size", "_file"]).select("id", "other", "name", "file", score(F.col("off")).alias("score"), "rank", "total")
+
+
 def co_changes(pairs: DataFrame) -> DataFrame:
     """JOIN-13, TOP-01: file and its partners, ranked, with the total. Of repeated pairs the one with more commits counts, the first of equals."""
     good = symmetric(pairs.filter(strong_co_change() & (F.col("file") != F.col("partner"))), "file", "partner")

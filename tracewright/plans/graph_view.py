@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SECTIONS = ["Brand#1", "Brand#1/ECONOMY", "Brand#17", "suppliers", "customers", "customers/BUILDING", "orders", "geo"]
@@ -85,11 +85,25 @@ def test_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.join(src, "source")
 
 
+#: The largest difference of sizes that similar_enough() lets pass.
+SIZES_APART = 5
+
+
+def size_score(difference: Column) -> Column:
+    return 1 - difference / 50
+
+
+def sized_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pairs below come from: id, group (brand and type) and size of each part."""
+    group = F.when(F.col("p_brand").isNotNull() & F.col("p_type").isNotNull(), F.struct("p_brand", "p_type"))
+    return table(spark, sf_dir, "part").select(_id("P", "p_partkey").alias("id"), group.alias("group"), F.col("p_size").cast("long").alias("size"))
+
+
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts sold by one supplier: a, b and a score from their sizes, for parts of one brand and type."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     q = p.toDF("q_partkey", "p_brand", "p_type", "q_size")
-    score = 1 - F.abs(F.col("p_size") - F.col("q_size")) / 50
+    score = size_score(F.abs(F.col("p_size") - F.col("q_size")))
     return p.join(q, ["p_brand", "p_type"]).filter("p_partkey < q_partkey").select(_id("P", "p_partkey").alias("a"), _id("P", "q_partkey").alias("b"), score.alias("score"), F.lit(False).alias("same_file"), F.lit(0).cast("long").alias("ord"))
 
 
