@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import traverse
+from tracewright.operators import condense, traverse
 
 NAMES = [f"n{i}" for i in range(9)]
 
@@ -47,6 +47,14 @@ def test_call_tree_reads_edges_once(spark, nodes):
     assert seen.value == 2 * len(CHAIN) + 4
 
 
+@pytest.mark.parametrize("back", [[], [("n4", "n2", "CALLS")]])
+def test_upper_bounds_read_edges_once(spark, nodes, back):
+    edges, seen = told(spark, CHAIN + back)
+    got = dict(map(tuple, condense.reach_upper_bounds(nodes, edges).collect()))
+    assert got == {f"n{i}": 8 - (2 if back and 2 <= i <= 4 else i) for i in range(9)}
+    assert seen.value == len(CHAIN) + len(back)
+
+
 def test_roots_look_up_callers_alone(spark, nodes):
     edges = spark.createDataFrame([("n0", "n1", "CALLS"), ("x", "n2", "CALLS"), ("n3", "n3", "CALLS"), ("n0", "y", "USAGE")], "src string, dst string, kind string")
     got = traverse.roots(nodes, edges)

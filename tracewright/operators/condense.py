@@ -10,19 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import LARGE, apart, counted, side
 from .traverse import cut
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges less those of nodes that nothing leads to, or that lead nowhere, until none is left to take."""
-    edges, n = cut(edges), None
-    while True:
-        now = edges.count()
-        if now in (0, n):
-            return edges
-        n = now
+def _trimmed(edges: DataFrame, now: int | None = None) -> DataFrame:
+    """Edges less those of nodes that nothing leads to, or that lead nowhere, until none is left to take. now: their number, if they are written."""
+    if now is None:
+        edges, now = counted(edges, "edges")
+    n = None
+    while now not in (0, n):
+        edges = apart(edges) if now > LARGE else edges
         entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = cut(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi"))
+        after = edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi")
+        n = now
+        edges, now = counted(after, "edges")
+    return apart(edges) if now > LARGE else edges
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
@@ -36,9 +39,9 @@ def _coloured(edges: DataFrame) -> DataFrame:
             return colours
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and component (one of its ids) of each node: those that reach each other share one."""
-    rest = _trimmed(edges.select("src", "dst").filter("src != dst").distinct())
+def _cyclic(edges: DataFrame, n: int | None = None) -> DataFrame | None:
+    """node and colour (one node of its component) of the nodes that lie on a cycle; None without any. n: see _trimmed."""
+    rest = _trimmed(edges, n)
     found = None
     while not rest.isEmpty():
         colours = _coloured(rest)
@@ -53,6 +56,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         found = group if found is None else found.unionByName(group)
         done = group.select("node")
         rest = _trimmed(rest.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return found
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and component (one of its ids) of each node: those that reach each other share one."""
+    return _named(nodes, _cyclic(edges.select("src", "dst").filter("src != dst").distinct()))
+
+
+def _named(nodes: DataFrame, found: DataFrame | None) -> DataFrame:
     ids = nodes.select("id").distinct()
     if found is None:
         return ids.withColumn("component", F.col("id"))
@@ -66,21 +78,28 @@ def reach_upper_bounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     number of nodes; a node's is its component's less itself. Exact on a tree. A round for each
     layer of the condensation. Ends of edges must be nodes.
     """
-    of = cut(components(nodes, edges))
-    whole = of.count()
-    name = lambda c: of.select(F.col("id").alias(c), F.col("component").alias("c" + c))
-    steps = cut(edges.select("src", "dst").join(name("src"), "src").join(name("dst"), "dst").filter("csrc != cdst").select(F.col("csrc").alias("c"), F.col("cdst").alias("to")).distinct())
+    edges, n = counted(edges.select("src", "dst").filter("src != dst").distinct(), "edges")
+    edges = apart(edges) if n > LARGE else edges
+    cyclic = _cyclic(edges, n)
+    of, whole = counted(_named(nodes, cyclic), "components")
+    of = apart(of) if whole > LARGE else of
+    steps = edges.select(F.col("src").alias("c"), F.col("dst").alias("to"))
+    if cyclic is not None:
+        # a node on no cycle is its own component, so only those on one are looked up
+        name = lambda c: cyclic.select(F.col("node").alias(c), F.col("colour").alias("c" + c))
+        ends = edges.join(name("src"), "src", "left").join(name("dst"), "dst", "left").select(F.coalesce("csrc", "src").alias("c"), F.coalesce("cdst", "dst").alias("to"))
+        steps = cut(ends.filter("c != to").distinct())
     # of each component: its bound so far, and how many of its successors are still open
     left = steps.groupBy("c").agg(F.count(F.lit(1)).alias("left"))
     sizes = of.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("bound"))
     state = cut(sizes.join(left, "c", "left").select("c", "bound", F.coalesce("left", F.lit(0).cast("long")).alias("left")))
     known = None
     while True:
-        ready = state.filter("left = 0").select("c", F.least("bound", F.lit(whole)).alias("bound"))
-        if ready.isEmpty():
+        ready, n = counted(state.filter("left = 0").select("c", F.least("bound", F.lit(whole)).alias("bound")), "ready")
+        if not n:
             break
         known = ready if known is None else known.unionByName(ready)
-        came = steps.join(ready.select(F.col("c").alias("to"), F.col("bound").alias("more")), "to").groupBy("c").agg(F.sum("more").alias("more"), F.count(F.lit(1)).alias("n"))
+        came = steps.join(side(ready.select(F.col("c").alias("to"), F.col("bound").alias("more")), n), "to").groupBy("c").agg(F.sum("more").alias("more"), F.count(F.lit(1)).alias("n"))
         rest = state.filter("left > 0").join(came, "c", "left")
         state = cut(rest.select("c", (F.col("bound") + F.coalesce("more", F.lit(0))).alias("bound"), (F.col("left") - F.coalesce("n", F.lit(0))).alias("left")))
     if known is None:
