@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import condense, traverse
+from tracewright.operators import condense, neighbourhood, traverse
 
 NAMES = [f"n{i}" for i in range(9)]
 
@@ -55,6 +55,13 @@ def test_upper_bounds_read_edges_once(spark, nodes, back):
     assert seen.value == len(CHAIN) + len(back)
 
 
+def test_pairs_are_told_apart_once(spark, nodes):
+    got = neighbourhood.counts(nodes, spark.createDataFrame(CHAIN, "src string, dst string, kind string"), 2)
+    # one to tell pairs apart, one to count them
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+    assert dict(map(tuple, got.collect())) == {"n0": 2, "n1": 3, **{f"n{i}": 4 for i in range(2, 7)}, "n7": 3, "n8": 2}
+
+
 def test_roots_look_up_callers_alone(spark, nodes):
     edges = spark.createDataFrame([("n0", "n1", "CALLS"), ("x", "n2", "CALLS"), ("n3", "n3", "CALLS"), ("n0", "y", "USAGE")], "src string, dst string, kind string")
     got = traverse.roots(nodes, edges)

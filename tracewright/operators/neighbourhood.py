@@ -35,10 +35,10 @@ def _merged(*parts: DataFrame | None) -> DataFrame | None:
 
 
 def _walked(steps: DataFrame, hops: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (c, n) and bitmaps (c, bucket, bits) of what lies within so many steps; a node may have both."""
+    """Pairs (c, n) and bitmaps (c, bucket, bits) of what lies within so many steps; a node may have both. Pairs may recur."""
     first = steps.select("c", F.col("to").alias("n"))
     pairs, bits = first, None
-    for _ in range(hops - 1):
+    for hop in range(2, hops + 1):
         sizes = pairs.groupBy("c").agg(F.count("*").alias("size"))
         large = written_rows(sizes.filter(F.col("size") > most).select("c"), "large")
         taken, dense = pairs, bits
@@ -49,9 +49,9 @@ def _walked(steps: DataFrame, hops: int, most: int) -> tuple[DataFrame, DataFram
             dense = written_rows(dense, "dense")
             taken = pairs.join(whole, "c", "left_anti")
         came = steps.join(taken.withColumnRenamed("c", "to"), "to").select("c", "n")
-        pairs = first.unionByName(came).distinct()
-        if hops > 2:
-            pairs = written_rows(pairs, "pairs")
+        pairs = first.unionByName(came)
+        if hop < hops:
+            pairs = written_rows(pairs.distinct(), "pairs")
         bits = None if dense is None else written_rows(_merged(steps.join(dense.withColumnRenamed("c", "to"), "to").select("c", "bucket", "bits")), "bits")
     return pairs, bits
 
@@ -71,7 +71,6 @@ def counts(nodes: DataFrame, edges: DataFrame, hops: int, most: int = MOST) -> D
     sparse = pairs
     if bits is not None:
         whole = written_rows(bits.select("c").distinct(), "large")
-        pairs = written_rows(pairs.distinct(), "pairs")
         dense = _merged(bits, _bits_of(pairs.join(whole, "c", "left_semi")))
         sparse = pairs.join(whole, "c", "left_anti")
         # its own bit, where a cycle leads back to it
