@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import condense, neighbourhood, traverse
+from tracewright.plans import graph_view
 
 NAMES = [f"n{i}" for i in range(9)]
 
@@ -67,3 +68,12 @@ def test_roots_look_up_callers_alone(spark, nodes):
     got = traverse.roots(nodes, edges)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
     assert {r["id"] for r in got.collect()} == set(NAMES) - {"n1"}
+
+
+def test_sales_are_dealt_by_their_number(spark, monkeypatch):
+    rows = [(o, p, f) for o in range(40) for p in range(5) for f in "ANR"[: 1 + (o + p) % 3]] + [(99, 1, None), (99, 2, "X"), (99, 2, "R")]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string")
+    monkeypatch.setattr(graph_view, "ITEMS", 100)
+    got = graph_view._sales(items)
+    assert got.rdd.getNumPartitions() == 1 + len(rows) // 100
+    assert dict(((r[0], r[1]), r[2]) for r in got.collect()) == {**{(o, p): "USAGE" if (o + p) % 3 == 2 else "CALLS" for o in range(40) for p in range(5)}, (99, 1): "CALLS", (99, 2): "CALLS"}

@@ -45,12 +45,29 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).select("id", "name", "file", "start_line", (F.col("start_line") + 8).alias("end_line"), "kind", F.lit(False).alias("is_test"), "complexity", "cognitive", "ord")
 
 
+#: Line items of one task where they are grouped by order and part.
+ITEMS = 1 << 20
+
+
+def _sales(item: DataFrame) -> DataFrame:
+    """l_orderkey, l_partkey and kind of each two that have line items.
+
+    Nearly each line item is a pair of its own, so none is grouped before the exchange, and tasks are as many
+    as keep one's groups at about ITEMS: its memory doesn't grow with the table. The largest flag is R if one
+    is R and none is above; numbers for it can be hashed, strings would be sorted.
+    """
+    flag = F.col("l_returnflag")
+    code = F.when(flag > "R", 2).when(flag == "R", 1).otherwise(0)
+    rows = item.select("l_orderkey", "l_partkey", code.alias("code")).repartition(1 + item.count() // ITEMS, "l_orderkey", "l_partkey")
+    return rows.groupBy("l_orderkey", "l_partkey").agg(F.when(F.max("code") == 1, "USAGE").otherwise("CALLS").alias("kind"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, kind, ord."""
     t = lambda n: table(spark, sf_dir, n)
     item = t("lineitem")
     rows = [
-        item.groupBy("l_orderkey", "l_partkey").agg(F.when(F.max("l_returnflag") == "R", "USAGE").otherwise("CALLS").alias("kind")).select(_id("O", "l_orderkey").alias("src"), _id("P", "l_partkey").alias("dst"), "kind", (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey")).alias("ord")),
+        _sales(item).select(_id("O", "l_orderkey").alias("src"), _id("P", "l_partkey").alias("dst"), "kind", (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey")).alias("ord")),
         item.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s")).select(_id("P", "l_partkey").alias("src"), _id("S", "s").alias("dst"), F.lit("CALLS").alias("kind"), F.col("l_partkey").alias("ord")),
         t("orders").select(_id("C", "o_custkey").alias("src"), _id("O", "o_orderkey").alias("dst"), F.lit("CALLS").alias("kind"), F.col("o_orderkey").alias("ord")),
         t("supplier").select(_id("S", "s_suppkey").alias("src"), _id("N", "s_nationkey").alias("dst"), F.lit("USAGE").alias("kind"), F.col("s_suppkey").alias("ord")),
