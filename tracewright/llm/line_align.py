@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_runs, small_batches, tidy, written
+from .common import byte_runs, may_be_among, may_have, small_batches, tidy, written
 from .words import _ODD, mix
 
 #: A block of fewer words stays.
@@ -217,7 +217,9 @@ def _runs(recs: DataFrame, least: int) -> DataFrame:
 
 def _aligned(pairs: DataFrame, recs: DataFrame, least: int) -> DataFrame:
     """doc and gone: the places of its lines that some of its pairs (doc, other) deletes."""
-    side = recs.select(F.struct(*KEY).alias("doc"), "hashes", "others", "words")
+    pairs = written(pairs, "pairs")
+    ids = written(pairs.select("doc").unionByName(pairs.select(F.col("other").alias("doc"))).distinct(), "paired")
+    side = may_have(recs.select(F.struct(*KEY).alias("doc"), "hashes", "others", "words"), ids, "doc")
     pairs = pairs.join(side, "doc").join(side.select(F.col("doc").alias("other"), F.col("hashes").alias("theirs"), F.col("others").alias("their_others")), "other")
 
     def run(batches):
@@ -239,7 +241,8 @@ def _aligned(pairs: DataFrame, recs: DataFrame, least: int) -> DataFrame:
 
 def _left(shared: DataFrame, gone: DataFrame, recs: DataFrame, least: int) -> DataFrame:
     """doc and r of shared runs that are not deleted everywhere in the document."""
-    side = recs.select(F.struct(*KEY).alias("doc"), "hashes", "words")
+    ids = written(shared.select("doc").distinct(), "sharing")
+    side = may_have(recs.select(F.struct(*KEY).alias("doc"), "hashes", "words"), ids, "doc")
     rows = shared.groupBy("doc").agg(F.collect_list("r").alias("rs")).join(side, "doc").join(gone, "doc", "left")
 
     def run(batches):
@@ -290,7 +293,10 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
     gone = written(deletions(docs, id_col, text_col, **how), "gone")
     rows = docs.toDF(*names).select("*", F.col(at[id_col]).isNull().alias("nul"), F.coalesce(F.col(at[id_col]), F.lit("0").cast(kind)).alias("id"), F.xxhash64(at[text_col]).alias("fp"))
-    rows = rows.join(gone, KEY, "left")
+    # texts of which nothing goes meet no join, so they aren't dealt out
+    rows = rows.withColumn("doc", F.struct(*KEY))
+    cut = may_be_among(written(gone.select(F.struct(*KEY).alias("doc")), "cut"), "doc")
+    rows = rows.filter(cut).drop("doc").join(gone, KEY, "left").unionByName(rows.filter(~cut).drop("doc").withColumn("gone", F.lit(None).cast("array<int>")))
     lines = F.split(at[text_col], "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return rows.withColumn("left", F.when(F.col("gone").isNull(), F.col(at[text_col])).otherwise(left)), at
