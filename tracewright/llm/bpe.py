@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,12 +35,14 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.longest = max(map(len, ranks))
-        #: Lengths of the tokens that end with these three bytes, longest first, then 2 if the last two are a token, and 1.
-        ends: dict[bytes, set[int]] = {}
+        #: By three last bytes that are a token: 3, 2 if the last two are one, and 1. By four, with which a token ends: the lengths of such tokens, longest first, then these.
+        short = lambda data: tuple(n for n in (3, 2, 1) if data[-n:] in ranks)
+        self.ends = {data: short(data) for data in ranks if len(data) == 3}
+        long: dict[bytes, set[int]] = {}
         for data in ranks:
-            if len(data) > 2:
-                ends.setdefault(data[-3:], {1, 2} if data[-2:] in ranks else {1}).add(len(data))
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+            if len(data) > 3:
+                long.setdefault(data[-4:], set()).add(len(data))
+        self.long_ends = {k: (*sorted(v, reverse=True), *short(k)) for k, v in long.items()}
         self.token: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for data, rank in ranks.items():
             self.token[rank] = data
@@ -72,9 +75,9 @@ class Vocabulary:
 
     def extend(self, data: bytes, last: list[int], upto: int) -> None:
         """Append the last tokens of the prefixes of lengths len(last) to `upto`; last[0] stands for the empty one."""
-        ranks, pair, own, ends = self.ranks.get, self._pair, self._own, self.ends.get
+        ranks, pair, own, ends, long_ends = self.ranks.get, self._pair, self._own, self.ends.get, self.long_ends.get
         for end in range(len(last), upto + 1):
-            for size in ends(data[end - 3 : end], (2, 1)) if end > 2 else (end, 1):
+            for size in (end > 3 and long_ends(data[end - 4 : end])) or (ends(data[end - 3 : end], (2, 1)) if end > 2 else (end, 1)):
                 if size <= end:
                     start = end - size
                     t = ranks(data[start:end])
@@ -161,15 +164,24 @@ class Tokenizer:
         self.v = Vocabulary.load(path)
         self.split = regex.compile(pattern).findall
         self._match = regex.compile(pattern).match
-        self._piece = TwoAges(lambda s: np.array(self.v.encode_piece(s.encode("utf-8")), "<u4").tobytes(), PIECE_BYTES)
+        self._piece = TwoAges(self._ids, PIECE_BYTES)
         self._first = TwoAges(self._split, FIRST_BYTES)
-        self._rest = TwoAges(lambda s: self._split(" " + s), WORD_BYTES)
+        self._rest = TwoAges(self._word, WORD_BYTES)
         self._line_end = self._split("\n")
         self._double = re.compile(r"\s\s").search
 
     def _split(self, text: str) -> bytes:
         return b"".join(map(self._piece.__getitem__, self.split(text)))
 
+    def _ids(self, piece: str) -> bytes:
+        ids = self.v.encode_piece(piece.encode("utf-8"))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, s: str) -> bytes:
+        """A word behind a space. One that is a single piece is kept as a word alone."""
+        pieces = self.split(" " + s)
+        return self._ids(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece.__getitem__, pieces))
+
     def packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
