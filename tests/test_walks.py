@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import condense, neighbourhood, traverse
+from tracewright.operators import condense, neighbourhood, review, traverse
 from tracewright.plans import graph_view
 
 NAMES = [f"n{i}" for i in range(9)]
@@ -77,3 +77,11 @@ def test_sales_are_dealt_by_their_number(spark, monkeypatch):
     got = graph_view._sales(items)
     assert got.rdd.getNumPartitions() == 1 + len(rows) // 100
     assert dict(((r[0], r[1]), r[2]) for r in got.collect()) == {**{(o, p): "USAGE" if (o + p) % 3 == 2 else "CALLS" for o in range(40) for p in range(5)}, (99, 1): "CALLS", (99, 2): "CALLS"}
+
+
+def test_cluster_edges_are_dealt_once_for_each_end(spark):
+    edges = spark.createDataFrame([("a", "x", "CALLS", 1), ("a", "x", "CALLS", 1), ("b", "x", "USAGE", 2), ("x", "y", "CALLS", 3), ("a", "b", "CALLS", 4), ("y", "z", "CALLS", 5), ("x", "gone", "CALLS", 6), ("y", "b", "CALLS", 7)], "src string, dst string, kind string, ord long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = review.cluster_edges(edges, ids("x", "x", "b", "gone"), spark.createDataFrame([("a", "A"), ("b", "A"), ("z", None)], "id string, cluster string"), ids("x", "y", "a", "z"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 6
+    assert {tuple(r) for r in got.collect()} == {("A", "x", 2, 2), ("x", "y", 1, 1), ("y", "A", 1, 1)}

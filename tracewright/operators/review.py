@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..storage import apart
 from .ranked import top_k
 from .risk import severity_rank
 
@@ -79,13 +80,13 @@ def changed_in_clusters(members: DataFrame, changed: DataFrame) -> DataFrame:
 
 def cluster_edges(edges: DataFrame, changed: DataFrame, cluster_of: DataFrame, visible: DataFrame) -> DataFrame:
     """JOIN-22: edges with a changed end, moved to what is drawn: the end's cluster, else the end where it is visible."""
-    ids = changed.select("id").distinct()
-    near = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct()
-    seen = visible.select("id", F.lit(True).alias("seen")).distinct()
-    for end in ("src", "dst"):
-        near = near.join(cluster_of.select(F.col("id").alias(end), F.col("cluster").alias(f"{end}_c")), end, "left").join(seen.select(F.col("id").alias(end), F.col("seen").alias(f"{end}_s")), end, "left")
-        near = near.withColumn(f"{end}_at", F.coalesce(f"{end}_c", F.when(F.col(f"{end}_s"), F.col(end))))
-    drawn = near.filter("src_at IS NOT NULL AND dst_at IS NOT NULL AND src_at != dst_at")
+    # one table tells where a node is drawn and whether it changed, so edges are dealt once for each end
+    clusters = cluster_of.select("id", F.col("cluster").alias("at")).filter("at IS NOT NULL")
+    place = clusters.unionByName(visible.select("id").distinct().join(clusters.select("id"), "id", "left_anti").withColumn("at", F.col("id")))
+    place = apart(place.join(changed.select("id", F.lit(True).alias("new")).distinct(), "id", "left"))
+    of = lambda end: place.select(F.col("id").alias(end), F.col("at").alias(f"{end}_at"), F.col("new").alias(f"{end}_new"))
+    near = edges.join(of("src"), "src").distinct().join(of("dst"), "dst")
+    drawn = near.filter("coalesce(src_new, dst_new) AND src_at != dst_at")
     return drawn.groupBy(F.col("src_at").alias("src"), F.col("dst_at").alias("dst")).agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("kind").alias("kinds"))
 
 
