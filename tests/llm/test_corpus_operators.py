@@ -91,6 +91,55 @@ def test_join_of_many_near_copies(spark):
     assert rows(ngram_join.join(frame(spark, texts), hot=16)) == want
 
 
+def edited(r, base, least, most):
+    t = list(base)
+    for _ in range(r.randint(least, most)):
+        at = r.randrange(len(t))
+        t[at : at + r.randint(0, 1)] = [f"x{r.randrange(10**6)}"] if r.random() < 0.8 else []
+    return " ".join(t)
+
+
+def test_join_of_copies_of_unequal_size_near_the_threshold(spark):
+    for seed in range(2):
+        r = random.Random(seed)
+        base = [f"w{i}" for i in range(100)]
+        texts = [edited(r, base, 1, 6) for _ in range(110)] + [" ".join(base[: r.randint(75, 99)]) for _ in range(10)]
+        assert rows(ngram_join.join(frame(spark, texts))) == sorted(plain_classes(texts, list(range(120))), key=repr)
+
+
+def test_pairs_of_a_group_of_near_copies_follow_the_group(spark):
+    r = random.Random(3)
+    base, made = [f"w{i}" for i in range(140)], []
+    for n in (150, 300):
+        texts = [edited(r, base, 1, 5) for _ in range(n)]
+        sets = {k: ngram_join.shingles(t.encode()) for k, t in enumerate(texts)}
+        first = min(sets)
+        members = spark.createDataFrame([(first, len(sets[first]), k, len(x), k) for k, x in sets.items()], "r long, rn int, key long, n int, cls long")
+        diffs = ngram_join._differences(members, spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "key long, set binary"))
+        diffs = ngram_join._to_center(diffs, ngram_join._centers(diffs)).cache()
+        linked = {x.key for x in diffs.collect() if len(x.rem) <= x.cn - ngram_join.least_overlap(x.n, x.cn)}
+        classes = spark.createDataFrame([(k, min(linked)) for k in linked], "node long, label long")
+        made.append(ngram_join._by_difference(ngram_join._reclassed(diffs, classes)).count())
+    assert made[1] < 2.5 * max(made[0], n)
+
+
+def test_halves_of_sets_settle_pairs(spark):
+    r = random.Random(5)
+    s = np.unique(np.array([r.getrandbits(64) for _ in range(70)], np.uint64))
+    sets = [s, np.concatenate([s[:60], np.array([r.getrandbits(64) for _ in range(10)], np.uint64)]), s[:65], s[:40]]
+    other = s.copy()
+    other[:9] += np.uint64(1)  # the upper halves agree, the entries don't: 61 shared of 70, at the threshold
+    third = s.copy()
+    third[:11] += np.uint64(1)
+    sets = [np.sort(x) for x in [*sets, other, third]]
+    frame_of = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "key long, set binary")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 6)], "a long, b long")
+    judged = {x.b: x.sure for x in ngram_join._judged(pairs, ngram_join._halves(frame_of)).collect()}
+    assert 3 not in judged and judged[2] and judged[1] is False
+    assert ngram_join.doubt(10, 10) <= ngram_join.doubt(1000, 1000) <= 6
+    assert sorted(tuple(x) for x in ngram_join._linked(pairs, frame_of).collect()) == [(0, k) for k in range(1, 6) if 4 * len(set(sets[0]) & set(sets[k])) >= 3 * len(set(sets[0]) | set(sets[k]))]
+
+
 def test_join_edges(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
     assert rows(ngram_join.join(frame(spark, [None, "", None], [1, None, 1]))) == [(1, 0, 1), (1, 0, 1), (None, 0, None)]
