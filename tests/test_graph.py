@@ -203,6 +203,20 @@ def test_partition_by_component_equals_whole():
         assert groups == apart
 
 
+def test_small_communities_join_without_looking_through_all():
+    import time
+
+    n = 30_000
+    pairs = [(i, i + 1) for i in range(n - 1)]
+    start = time.time()
+    got = community.join_small(list(range(n)), pairs)
+    assert time.time() - start < 20  # quadratic: minutes
+    sizes = [got.count(c) for c in set(got[:400])]
+    assert got[:2] == [got[0]] * 2 and min(sizes) >= 4
+    # the smallest first, then the neighbour with most edges, then the larger, then the smaller label
+    assert community.join_small([0, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3], [(0, 2), (1, 2), (1, 6), (1, 7)]) == [2, 3, 2, 2, 2, 2, 3, 3, 3, 3, 3]
+
+
 def plain_depths(members, callees, called):
     """Walks one after the other, each over what is left."""
     left, out = set(members), {}
