@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..storage import LARGE, apart, counted, side, written_rows
+from ..storage import LARGE, apart, counted, dealt, side, written_rows
 from . import neighbourhood
 from .tour import preorder  # noqa: F401  TRV-18
 
@@ -21,8 +21,23 @@ def cut(df: DataFrame) -> DataFrame:
     return written_rows(df, "cut")
 
 
-def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """JOIN-19, TRV-03: edges whose ends are both known; duplicates and self-loops stay."""
+def with_end(edges: DataFrame, ids: DataFrame, end: str, rows: int | None) -> DataFrame:
+    """edges whose end (a column) is among the ids. rows: how many edges and ids there are at most, for dealt().
+
+    An inner join with each id once: a semi join would be pushed into each part of a union and dealt there."""
+    return edges.join(apart(dealt(ids.select(F.col("id").alias(end)), rows, end).distinct()), end).select(*edges.columns)
+
+
+def without_end(edges: DataFrame, ids: DataFrame, end: str, rows: int | None) -> DataFrame:
+    """edges whose end isn't among the ids; see with_end()."""
+    known = dealt(ids.select(F.col("id").alias(end)), rows, end).distinct().withColumn("_known", F.lit(True))
+    return edges.join(apart(known), end, "left").filter("_known IS NULL").select(*edges.columns)
+
+
+def valid_edges(nodes: DataFrame, edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """JOIN-19, TRV-03: edges whose ends are both known; duplicates and self-loops stay. rows: see with_end()."""
+    if rows is not None:
+        return with_end(with_end(edges.select("src", "dst", "kind"), nodes, "src", rows), nodes, "dst", rows)
     ids = apart(nodes.select("id"))
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "kind")
 
@@ -169,9 +184,9 @@ def callees(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).join(ids, "id", "left_semi").distinct()
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """JOIN-24, TRV-16: id, other, and whether other is a caller or a callee; each once, never itself."""
-    e = valid_edges(nodes, edges).filter("src != dst").select("src", "dst").distinct()
+def neighbours(nodes: DataFrame, edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """JOIN-24, TRV-16: id, other, and whether other is a caller or a callee; each once, never itself. rows: see with_end()."""
+    e = valid_edges(nodes, edges, rows).filter("src != dst").select("src", "dst").distinct()
     return e.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("callee").alias("side")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit("caller").alias("side")))
 
 

@@ -77,6 +77,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def graph_rows(spark: SparkSession, sf_dir: str) -> int:
+    """No fewer than the rows of nodes() and of edges(), from the numbers of the tables' rows alone."""
+    return sum(table(spark, sf_dir, n).count() for n in ("part", "supplier", "customer", "orders", "lineitem", "nation", "region"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, change_count, ord: a row for each part that was sold; files of several parts recur."""
     sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("change_count"))

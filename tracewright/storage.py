@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows of a table beyond which a join sorts it instead of sending it whole to driver and executors.
 LARGE = 1 << 18
 
+#: Rows of one task where a join or a grouping is dealt by their number.
+TASK = 1 << 19
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset, a temporary one if the master is local, else an error."""
@@ -42,6 +45,14 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """df by keys in tasks of about TASK rows, if so many rows (its own or those it is joined with) are dealt; left to Spark if rows is None.
+
+    What Spark sizes by shuffled bytes can be millions of rows, since ids compress well; by rows, a task's memory doesn't grow with the
+    table, however few partitions the session has. A join's other side follows where it isn't dealt yet."""
+    return df if rows is None else df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1 + rows // TASK), *keys)
+
+
 def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """written(), and how many rows it has."""
     path, seen = fresh(df.sparkSession, label), Observation()
