@@ -28,3 +28,9 @@ def test_neighbours_are_dealt_by_their_number(graph):
     assert dealt(traverse.neighbours(*graph, 1000)) == rows(traverse.neighbours(*graph)) != []
 
 
+def test_pairs_are_hashed_and_dealt_by_their_number(graph):
+    got = community.directed_pairs(*graph, 1000)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert dealt(got) == [("a", "t"), ("b", "a"), ("b", "i"), ("m", "a"), ("m", "i")]
+
+
