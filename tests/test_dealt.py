@@ -28,6 +28,11 @@ def test_neighbours_are_dealt_by_their_number(graph):
     assert dealt(traverse.neighbours(*graph, 1000)) == rows(traverse.neighbours(*graph)) != []
 
 
+def test_edges_without_tests_are_dealt_by_their_number(graph):
+    got = dealt(scope.exclude_tests(*graph, 1000)[1])
+    assert got == rows(scope.exclude_tests(*graph)[1]) == sorted((e for e in EDGES if e[1] != "t"), key=repr)
+
+
 def test_pairs_are_hashed_and_dealt_by_their_number(graph):
     got = community.directed_pairs(*graph, 1000)
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()

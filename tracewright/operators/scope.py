@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.paths import in_entry, in_scope, is_test_node
+from ..storage import dealt
 from .ranked import top_k
+from .traverse import without_end
 
 
 def scope_frame(spark, entries: list[str]) -> DataFrame:
@@ -48,12 +50,11 @@ def filter_to_section(nodes: DataFrame, edges: DataFrame, entries: list[str], se
     return kept, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def exclude_tests(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """FLT-23: production nodes, and edges that touch no id which only test nodes carry."""
+def exclude_tests(nodes: DataFrame, edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """FLT-23: production nodes, and edges that touch no id which only test nodes carry. rows: see traverse.with_end()."""
     marked = nodes.withColumn("_test", is_test_node())
-    only = marked.groupBy("id").agg(F.min("_test").alias("t")).filter("t").select("id")
-    kept = edges.join(only.withColumnRenamed("id", "src"), "src", "left_anti").join(only.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    return marked.filter("NOT _test").drop("_test"), kept.select(*edges.columns)
+    only = dealt(marked.select("id", "_test"), rows, "id").groupBy("id").agg(F.min("_test").alias("t")).filter("t").select("id")
+    return marked.filter("NOT _test").drop("_test"), without_end(without_end(edges, only, "src", rows), only, "dst", rows)
 
 
 def section_counts(nodes: DataFrame, entries: list[str]) -> DataFrame:
