@@ -39,3 +39,13 @@ def test_pairs_are_hashed_and_dealt_by_their_number(graph):
     assert dealt(got) == [("a", "t"), ("b", "a"), ("b", "i"), ("m", "a"), ("m", "i")]
 
 
+def test_nodes_of_one_range_meet_lines_not_points(spark, graph):
+    n, points = graph[0], spark.createDataFrame([("f.ts", 1 + i % 3, i, f"p{i}", "info") for i in range(60)] + [("f.ts", 100, 60, "out", "info")], "file string, line int, point long, message string, severity string")
+    got = diff.findings_of_nodes(n, points, "pr-bot", "major", 1000)
+    # the smallest around a line; of equals the first by ord, with its own range
+    want = sorted([("i", "pr-bot", "major", f"p{i}", "f.ts", 2, 5, i) if i % 3 else ("b", "pr-bot", "major", f"p{i}", "f.ts", 1, 9, i) for i in range(60)], key=repr)
+    assert dealt(got) == want == rows(diff.findings_of_nodes(n, points, "pr-bot", "major"))
+    plan = diff.enclosing(n, points)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("Aggregate [") == 3
+
+

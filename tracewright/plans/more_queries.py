@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import canvas, community, coverage, diff, entry, fold, layout, order, records, review, risk, scope
 from ..sources import diffs, query_text, scans
+from ..storage import apart, dealt
 from . import graph_view as g
 from . import sql as q
 from .queries import _MODULES, _TYPES, _with, query
@@ -269,12 +270,14 @@ def candidate_replies(spark, d):
 @query("bot_findings_of_nodes", _with(q.NODES, "pts AS (SELECT l_orderkey, l_linenumber, file, start_line + l_linenumber AS line FROM lineitem JOIN nodes ON id = 'P:' || l_partkey)") + "SELECT p.l_orderkey || '#' || p.l_linenumber AS message, arg_min(n.id, n.ord) AS node_id, 'major' AS severity FROM (SELECT DISTINCT * FROM pts) p JOIN nodes n ON n.file = p.file AND p.line BETWEEN n.start_line AND n.end_line GROUP BY p.l_orderkey, p.l_linenumber, p.file, p.line")
 def bot_findings_of_nodes(spark, d):
     """JOIN-18"""
-    n = g.nodes(spark, d)
-    at = n.select(F.col("id").alias("nid"), "file", "start_line")
-    i = g.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("nid")).join(at, "nid")
-    point = F.xxhash64("l_orderkey", "l_linenumber", "file", F.col("start_line") + F.col("l_linenumber"))
-    found = i.select(point.alias("point"), "l_orderkey", "l_linenumber", "file", (F.col("start_line") + F.col("l_linenumber")).alias("line"), F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("message")).distinct().withColumn("severity", F.lit("info"))
-    out = diff.findings_of_nodes(n, found, "pr-bot", "major")
+    n, rows = g.nodes(spark, d), g.graph_rows(spark, d)
+    # line items meet parts alone, so no other node goes into the first join
+    at = n.filter(F.startswith("id", F.lit("P:"))).select(F.col("id").alias("nid"), "file", "start_line")
+    i = g.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("nid")).join(apart(dealt(at, rows, "nid")), "nid")
+    each = i.select("l_orderkey", "l_linenumber", "file", (F.col("start_line") + F.col("l_linenumber")).alias("line"))
+    found = dealt(each, rows, "l_orderkey", "l_linenumber").distinct()
+    found = found.select(F.xxhash64("l_orderkey", "l_linenumber", "file", "line").alias("point"), "file", "line", F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("message"), F.lit("info").alias("severity"))
+    out = diff.findings_of_nodes(n, found, "pr-bot", "major", rows)
     return out.select(F.col("finding").alias("message"), "node_id", "severity")
 
 
