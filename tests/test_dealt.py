@@ -49,3 +49,8 @@ def test_nodes_of_one_range_meet_lines_not_points(spark, graph):
     assert plan.count("Join ") == 2 and plan.count("Aggregate [") == 3
 
 
+def test_listings_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK", 100)
+    dealt(entry.queries()["changed_names"](spark, "/root/testdata/sf0.001"), 61)
+
+

@@ -185,7 +185,8 @@ def stale_sources(spark, d):
 @query("changed_names", "SELECT l_orderkey, file, CAST(min(ord) AS BIGINT) AS ord FROM (SELECT l_orderkey, 'f' || (l_partkey % 50) AS file, 2 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1) AS ord FROM lineitem) GROUP BY l_orderkey, file")
 def changed_names(spark, d):
     """SRC-20: the items of each order as a listing with blank lines"""
-    lines = g.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit(" f"), (F.col("l_partkey") % 50).cast("string"), F.lit(" ")).alias("name"))
+    item = g.table(spark, d, "lineitem")
+    lines = dealt(item, item.count(), "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit(" f"), (F.col("l_partkey") % 50).cast("string"), F.lit(" ")).alias("name"))
     listing = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "name"))).alias("x")).select("l_orderkey", F.array_join(F.transform("x", lambda r: F.concat(r["name"], F.lit("\r\n"))), "\n").alias("value"))
     return diffs.changed_files(listing, keys=["l_orderkey"])
 
