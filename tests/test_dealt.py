@@ -54,3 +54,11 @@ def test_listings_are_dealt_by_their_number(spark, monkeypatch):
     dealt(entry.queries()["changed_names"](spark, "/root/testdata/sf0.001"), 61)
 
 
+def test_lines_of_reports_meet_no_join(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK", 10)
+    text = "DA:1,9|SF:./a.ts|DA:1,2|FN:3,f|TN:x|FNDA:4,f|DA:1,2|DA:x,1|end_of_record|DA:2,9|SF:b.ts| DA:1,1|SF:./a.ts|DA:1,3|FNDA:4,f|end_of_record"
+    lines = spark.createDataFrame([(r, i, x) for r in ("r", "s", None) for i, x in enumerate(text.split("|"))], "report string, n long, line string")
+    got = lcov.parse(lines, rows=1000)
+    assert "Join " not in got["lines"]._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got["lines"]) == [("a.ts", 1, 14), ("b.ts", 1, 2)]
+    assert rows(got["hits"]) == [("a.ts", "f", 16)] and rows(got["functions"]) == [("a.ts", "f", 3)] and rows(got["files"]) == [("a.ts",), ("b.ts",)]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import report_path
-from ..storage import hadoop_path
+from ..storage import dealt, hadoop_path
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -43,28 +45,32 @@ def lines_of(loaded: DataFrame) -> DataFrame:
     return loaded.filter("status = 'ok'").select("report", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
 
 
-def parse(lines: DataFrame, root: str = "") -> dict[str, DataFrame]:
+def parse(lines: DataFrame, root: str = "", rows: int | None = None) -> dict[str, DataFrame]:
     """SRC-15: files (file), lines (file, line, hits), functions (file, name, line), hits (file, name, hits).
 
     lines: report, n, line. A record belongs to the SF line before it, up to end_of_record; blocks of
-    one file are merged. Other records are ignored.
+    one file are merged. Other records are ignored. rows: how many lines there are at most, for dealt().
     """
-    w = Window.partitionBy("report").orderBy("n")
-    text = F.trim("line")
-    # a block begins at SF and ends behind end_of_record: its number counts both
-    starts = F.startswith(text, F.lit("SF:")) | (F.lag(text).over(w) == "end_of_record")
-    rows = lines.select("report", "n", text.alias("line"), F.when(starts, 1).otherwise(0).alias("starts"))
-    rows = rows.withColumn("block", F.sum("starts").over(w)).drop("starts")
-    sf = rows.filter("line LIKE 'SF:%'").select("report", "block", report_path(F.trim(F.substring("line", 4, 1 << 20)), root).alias("file"))
-    body = rows.join(sf, ["report", "block"])
-    da = body.filter("line LIKE 'DA:%'").select("file", F.regexp_extract("line", r"^DA:(\d+),(\d+)", 1).try_cast("int").alias("line"), F.regexp_extract("line", r"^DA:(\d+),(\d+)", 2).try_cast("long").alias("hits")).filter("line IS NOT NULL AND hits IS NOT NULL")
+    kinds = ("SF:", "DA:", "FN:", "FNDA:")
+    told = lines.select("report", "n", F.trim("line").alias("line")).filter(reduce(Column.__or__, [F.startswith("line", F.lit(k)) for k in kinds], F.col("line") == "end_of_record"))
+    sf = told.filter("line LIKE 'SF:%'").select(report_path(F.trim(F.substring("line", 4, 1 << 20)), root).alias("file"))
+    # SF begins a block and end_of_record ends it: a line's file is what the last of both names. Reports are sorted by a
+    # hash first, since their names have much in common; equal lines of a file are parsed once
+    mark = F.when(F.startswith("line", F.lit("SF:")) | (F.col("line") == "end_of_record"), F.col("line"))
+    upto = Window.partitionBy(F.xxhash64("report"), "report").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = dealt(told.filter("report IS NOT NULL"), rows, "report").select("line", F.last(mark, ignorenulls=True).over(upto).alias("sf"))
+    body = within.filter("sf LIKE 'SF:%' AND line != sf").groupBy("sf", "line").agg(F.count(F.lit(1)).alias("n"))
+    body = body.select(F.trim(F.substring("sf", 4, 1 << 20)).alias("file"), "line", "n").withColumn("file", report_path("file", root))
+    of = lambda pattern, group, kind: F.regexp_extract("line", pattern, group).try_cast(kind)
+    da = r"^DA:(\d+),(\d+)"
+    lines_ = body.filter("line LIKE 'DA:%'").select("file", of(da, 1, "int").alias("line"), (of(da, 2, "long") * F.col("n")).alias("hits")).filter("line IS NOT NULL AND hits IS NOT NULL")
     fn = r"^FN:(\d+),(?:\d+,)?(.+)$"
-    functions = body.filter(F.col("line").rlike(fn)).select("file", F.trim(F.regexp_extract("line", fn, 2)).alias("name"), F.regexp_extract("line", fn, 1).try_cast("int").alias("line")).distinct()
+    functions = body.filter(F.col("line").rlike(fn)).select("file", F.trim(F.regexp_extract("line", fn, 2)).alias("name"), of(fn, 1, "int").alias("line")).distinct()
     fnda = r"^FNDA:(\d+),(.+)$"
-    hits = body.filter(F.col("line").rlike(fnda)).select("file", F.trim(F.regexp_extract("line", fnda, 2)).alias("name"), F.regexp_extract("line", fnda, 1).try_cast("long").alias("hits"))
+    hits = body.filter(F.col("line").rlike(fnda)).select("file", F.trim(F.regexp_extract("line", fnda, 2)).alias("name"), (of(fnda, 1, "long") * F.col("n")).alias("hits"))
     return {
         "files": sf.select("file").distinct(),
-        "lines": da.groupBy("file", "line").agg(F.sum("hits").alias("hits")),
+        "lines": lines_.groupBy("file", "line").agg(F.sum("hits").alias("hits")),
         "functions": functions,
         "hits": hits.groupBy("file", "name").agg(F.sum("hits").alias("hits")),
     }
