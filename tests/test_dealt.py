@@ -39,6 +39,14 @@ def test_pairs_are_hashed_and_dealt_by_their_number(graph):
     assert dealt(got) == [("a", "t"), ("b", "a"), ("b", "i"), ("m", "a"), ("m", "i")]
 
 
+def test_folds_are_dealt_by_their_number(spark, graph):
+    m = fold.modules(*graph, 1000)
+    assert rows(m["uses"], "file", "id") == [("f.ts", "a"), ("f.ts", "i")]
+    assert dealt(m["edges"]) == sorted((e for e in EDGES if e[0] != "m"), key=repr)
+    t = fold.types(m["nodes"], m["edges"], spark.createDataFrame([], "source string, target string"), 1000)
+    assert dealt(t["used_by"]) == [("i", "b", "Function")]
+
+
 def test_nodes_of_one_range_meet_lines_not_points(spark, graph):
     n, points = graph[0], spark.createDataFrame([("f.ts", 1 + i % 3, i, f"p{i}", "info") for i in range(60)] + [("f.ts", 100, 60, "out", "info")], "file string, line int, point long, message string, severity string")
     got = diff.findings_of_nodes(n, points, "pr-bot", "major", 1000)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.paths import in_scope
-from ..storage import apart
+from ..storage import apart, dealt
+from .traverse import with_end, without_end
 
 
 def _rank(kind: str = "kind"):
@@ -17,40 +18,40 @@ def _rank(kind: str = "kind"):
     return out
 
 
-def modules(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+def modules(nodes: DataFrame, edges: DataFrame, rows: int | None = None) -> dict[str, DataFrame]:
     """AGG-06: nodes and edges left on the map; modules (file, module_ids, start_line, end_line); uses (file, id, kind).
 
     A module whose id a map node has stays that node. A file uses a map node by its best kind.
+    rows: see traverse.with_end().
     """
     kept = nodes.filter("kind != 'Module'")
-    ids = apart(kept.select("id").distinct())
+    ids = apart(dealt(kept.select("id"), rows, "id").distinct())
     folded = nodes.filter("kind = 'Module'").join(ids, "id", "left_anti")
     of_file = folded.select("id", "file").distinct()
     files = folded.groupBy("file").agg(F.array_sort(F.collect_set("id")).alias("module_ids"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
-    gone = of_file.select("id").distinct()
-    src, dst = gone.withColumnRenamed("id", "src"), gone.withColumnRenamed("id", "dst")
-    left = edges.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select(*edges.columns)
-    uses = edges.join(of_file.withColumnRenamed("id", "src"), "src").join(dst, "dst", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    gone = of_file.select("id")
+    left = without_end(without_end(edges, gone, "src", rows), gone, "dst", rows)
+    uses = edges.join(apart(dealt(of_file.withColumnRenamed("id", "src"), rows, "src")), "src")
+    uses = with_end(uses, kept, "dst", rows)  # no id is both kept and gone
     uses = uses.groupBy("file", F.col("dst").alias("id")).agg(F.min_by("kind", _rank()).alias("kind"))
     return {"nodes": kept, "edges": left, "modules": files, "uses": uses}
 
 
-def types(nodes: DataFrame, edges: DataFrame, implements: DataFrame) -> dict[str, DataFrame]:
+def types(nodes: DataFrame, edges: DataFrame, implements: DataFrame, rows: int | None = None) -> dict[str, DataFrame]:
     """AGG-07: nodes and edges left on the map; types; used_by (type, id, kind of the user); refers (type, other); implements (type, other).
 
     Only USAGE edges into a type become uses. Each list holds a pair once; the mirrors are the same
-    frames read the other way.
+    frames read the other way. rows: see traverse.with_end().
     """
     is_type = F.col("kind").isin("Interface", "Type")
     kept = nodes.filter(~is_type)
-    kinds = kept.select("id", F.col("kind").alias("user_kind")).dropDuplicates(["id"])
+    kinds = dealt(kept.select("id", F.col("kind").alias("user_kind")), rows, "id").dropDuplicates(["id"])
     folded = nodes.filter(is_type).join(kinds.select("id"), "id", "left_anti").dropDuplicates(["id"])
     ids = folded.select("id")
-    src, dst = ids.withColumnRenamed("id", "src"), ids.withColumnRenamed("id", "dst")
-    left = edges.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select(*edges.columns)
-    into = edges.filter("kind = 'USAGE' AND src != dst").join(dst, "dst", "left_semi").select("src", "dst").distinct()
-    used = into.join(kinds.withColumnRenamed("id", "src"), "src").join(src, "src", "left_anti").select(F.col("dst").alias("type"), F.col("src").alias("id"), F.col("user_kind").alias("kind"))
-    refers = into.join(src, "src", "left_semi").select(F.col("src").alias("type"), F.col("dst").alias("other"))
+    left = without_end(without_end(edges, ids, "src", rows), ids, "dst", rows)
+    into = with_end(edges.filter("kind = 'USAGE' AND src != dst").select("src", "dst"), ids, "dst", rows).distinct()
+    used = into.join(apart(dealt(kinds.withColumnRenamed("id", "src"), rows, "src")), "src").select(F.col("dst").alias("type"), F.col("src").alias("id"), F.col("user_kind").alias("kind"))
+    refers = with_end(into, ids, "src", rows).select(F.col("src").alias("type"), F.col("dst").alias("other"))
     links = implements.filter("source != target").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("type"), F.col("target").alias("other")).distinct()
     return {"nodes": kept, "edges": left, "types": folded, "used_by": used, "refers": refers, "implements": links}
 

@@ -49,8 +49,8 @@ def record_patch(spark, d):
 @query("record_lookup", _with(q.NODES, _MODULES) + "SELECT 'node' AS found, id, file FROM nodes WHERE id = 'P:1' UNION ALL SELECT 'module', id, file FROM mo WHERE id = 'P:9' UNION ALL SELECT 'type', id, file FROM nodes WHERE id = 'P:7'")
 def record_lookup(spark, d):
     """JOIN-25"""
-    m = fold.modules(g.nodes(spark, d), g.edges(spark, d))
-    t = fold.types(m["nodes"], m["edges"], spark.createDataFrame([], "source string, target string"))
+    m = fold.modules(g.nodes(spark, d), g.edges(spark, d), g.graph_rows(spark, d))
+    t = fold.types(m["nodes"], m["edges"], spark.createDataFrame([], "source string, target string"), g.graph_rows(spark, d))
     found = [records.lookup(i, t["nodes"], m["modules"], t["types"]) for i in ("P:1", "P:9", "P:7", "gone")]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
@@ -136,8 +136,8 @@ def first_depths(spark, d):
 def diff_summary(spark, d):
     """AGG-04, API-06"""
     c = g.change(spark, d)
-    m = fold.modules(g.nodes(spark, d), g.edges(spark, d))
-    t = fold.types(m["nodes"], m["edges"], spark.createDataFrame([], "source string, target string"))
+    m = fold.modules(g.nodes(spark, d), g.edges(spark, d), g.graph_rows(spark, d))
+    t = fold.types(m["nodes"], m["edges"], spark.createDataFrame([], "source string, target string"), g.graph_rows(spark, d))
     f = diff.summary(t["nodes"], t["types"], t["used_by"], m["modules"], c["changed"], c["listed"], c["ranges"])
     return f["nodes"].select("id").distinct().agg(F.lit("nodes").alias("what"), F.count(F.lit(1)).alias("n")).unionByName(f["contracts"].agg(F.lit("contracts").alias("what"), F.count(F.lit(1)).alias("n")))
 
@@ -148,7 +148,7 @@ _IN = "(starts_with({f}, 'Brand#1/') OR {f} = 'Brand#1')"
 @query("rescoped_types", _with(q.NODES, q.EDGES, _TYPES) + f"SELECT type, id FROM ub WHERE type IN (SELECT id FROM ty WHERE {_IN.format(f='file')}) AND id IN (SELECT id FROM nodes WHERE kind NOT IN ('Interface', 'Type') AND starts_with(file, 'orders/'))")
 def rescoped_types(spark, d):
     """AGG-09"""
-    t = fold.types(g.nodes(spark, d), g.edges(spark, d), spark.createDataFrame([], "source string, target string"))
+    t = fold.types(g.nodes(spark, d), g.edges(spark, d), spark.createDataFrame([], "source string, target string"), g.graph_rows(spark, d))
     return fold.rescoped(t, t["nodes"].filter("file LIKE 'orders/%'"), ["Brand#1"])["used_by"].select("type", "id").distinct()
 
 
