@@ -65,3 +65,16 @@ def test_large_tables_are_never_sent_whole(spark, tmp_path, monkeypatch):
     valid = traverse.valid_edges(spark.read.parquet(str(tmp_path / "ids")), e.selectExpr("*", "'CALLS' AS kind"))
     for df in (found, valid):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_closures_above_which_nothing_is_are_counted_not_kept(spark, monkeypatch):
+    """One row for each component that another needs, whatever its numbers' buckets; the roots' layer has counts alone."""
+    kept = {}
+    there = reach.written
+    monkeypatch.setattr(reach, "written", lambda df, label: kept.setdefault(label, there(df, label)))
+    ids = [f"n{i:02}" for i in range(24)]
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :: 5] if i % 3]
+    assert dict(rows(reach.reach(*graph(spark, ids, pairs)).counts())) == {i: len(w) for i, w in plain(ids, pairs).items()}
+    closures = {k: v for k, v in kept.items() if k.startswith("closures")}
+    assert closures and all(v.count() == v.select("c").distinct().count() and v.columns == ["c", "nums"] for v in closures.values())
+    assert f"closures-{len(closures)}" not in kept and f"sizes-{len(closures)}" in kept
