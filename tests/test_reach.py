@@ -78,3 +78,24 @@ def test_closures_above_which_nothing_is_are_counted_not_kept(spark, monkeypatch
     closures = {k: v for k, v in kept.items() if k.startswith("closures")}
     assert closures and all(v.count() == v.select("c").distinct().count() and v.columns == ["c", "nums"] for v in closures.values())
     assert f"closures-{len(closures)}" not in kept and f"sizes-{len(closures)}" in kept
+
+
+@pytest.mark.parametrize("walks", [True, False])
+def test_roots_are_counted_only_where_bounds_leave_them_open(spark, monkeypatch, walks):
+    """The widest few as from plain walks, whose closures aren't formed; all closures only where walks would find more than those."""
+    from tracewright.operators import entry
+
+    r = random.Random(7)
+    roots, inner = [f"r{i:02}" for i in range(30)], [f"n{i:02}" for i in range(12)]
+    pairs = [(a, b) for a in roots for b in r.sample(inner, r.randrange(5))] + [(a, b) for i, a in enumerate(inner) for b in inner[i + 1 :] if r.random() < 0.2]
+    n, e = graph(spark, [*roots, *inner], pairs)
+    want = plain([*roots, *inner], pairs)
+    called = {b for _, b in pairs}
+    wide = {i: len(w) for i, w in want.items() if i not in called and len(w) >= 3}
+    g = reach.layered(n, e)
+    if walks:
+        monkeypatch.setattr(entry, "sizes_of", lambda *_: pytest.fail("all closures"))
+    else:
+        monkeypatch.setattr(entry, "LARGE", 0)
+        g.rows = 0
+    assert entry._widest(g, g.roots(), 4, 3, 5) == (sorted(wide, key=lambda i: (-wide[i], i))[:4], len(wide))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.paths import no_entry_file
-from ..storage import written_rows
+from ..storage import LARGE, written_rows
 from . import traverse
 from .ranked import top_k
-from .reach import reach
+from .reach import Layered, layered, sizes_of
+from .traverse import cut
 
 
 def clean_pins(pins: list) -> list[str]:
@@ -18,32 +19,67 @@ def clean_pins(pins: list) -> list[str]:
     return list(dict.fromkeys(p for p in pins if isinstance(p, str)))[: S.PINS_MAX]
 
 
-def candidates(nodes: DataFrame, edges: DataFrame, pins: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+#: Roots that are counted first, those of the largest bounds.
+FIRST = 1024
+
+
+def _widest(graph: Layered, able: DataFrame, k: int = S.ENTRY_MAX, least: int = S.ENTRY_MIN_REACH, first: int = FIRST) -> tuple[list[str], int]:
+    """The k roots (ids) of the widest reach, equal ones by id, and how many reach `least` nodes or more.
+
+    able: id, c, bound and least of roots. Only those are counted which their bounds leave open: first some
+    of the largest bounds, then all whose bound isn't below the k-th of these. Where walks from so many could
+    find more pairs than the graph has steps, all closures are counted.
+    """
+    sure, open_ = F.col("least") > least, (F.col("least") <= least) & (F.col("bound") > least)
+    # one of so small a lower bound has no long way and few successors, so its closure is small
+    unclear = graph.walked(able.filter(open_).select("c")).filter(F.col("reach") >= least).select("c")
+    enough = written_rows(able.filter(sure).select("id", "c", "bound").unionByName(able.filter(open_).join(unclear, "c", "left_semi").select("id", "c", "bound")), "qualifying")
+    total = enough.count()
+    if not total:
+        return [], 0
+    best = lambda counted: counted.orderBy(F.desc("reach"), "id").limit(k)
+    tried = cut(enough.orderBy(F.desc("bound"), "id").limit(first))
+    found = cut(tried.join(graph.walked(tried.select("c")), "c").select("id", "reach"))
+    top = best(found).collect()
+    floor = top[k - 1]["reach"] if len(top) >= k else 0
+    others = written_rows(enough.filter(F.col("bound") > floor).join(tried.select("id"), "id", "left_anti"), "others")
+    n, work = others.agg(F.count(F.lit(1)), F.sum("bound")).first()
+    if n:
+        if work <= max(LARGE, graph.rows):
+            more = others.join(graph.walked(others.select("c")), "c").select("id", "reach")
+        else:
+            more = others.join(sizes_of(graph).sizes, "c").select("id", (F.col("n") - 1).alias("reach"))
+        top = best(found.unionByName(more)).collect()
+    return [r["id"] for r in top], total
+
+
+def candidates(nodes: DataFrame, edges: DataFrame, pins: list[str] | None = None, uses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The candidates, and what each of them reaches (root, node).
 
     Candidates: id, name, file, start_line, end_line, reach, reason (pinned, or no-callers),
-    loaded_by (see there; from the column called_at_load_by, null without it), pinned, pos and
+    loaded_by (see there; from uses (file, id) or else the column called_at_load_by, null without both), pinned, pos and
     total_qualifying. Pins come first in their order, then the roots of the widest reach. A root needs
     a reach of ENTRY_MIN_REACH; at most ENTRY_MAX are listed. No row: there is none.
     """
     pins = clean_pins(pins or [])
     spark = nodes.sparkSession
-    one = written_rows(nodes.dropDuplicates(["id"]), "nodes")
-    steps = written_rows(traverse.valid_edges(one, traverse.caller_edges(edges)).filter("src != dst").select("src", "dst").distinct(), "calls")
+    shown = [c for c in ("id", "name", "file", "start_line", "end_line", "called_at_load_by") if c in nodes.columns]
+    one = written_rows(nodes.select(*shown).dropDuplicates(["id"]), "nodes")
+    graph = layered(one, traverse.caller_edges(edges))
     pinned = spark.createDataFrame([(p, i) for i, p in enumerate(pins)], "id string, pos long")
-    able = one.join(steps.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").filter(~no_entry_file("file")).join(F.broadcast(pinned), "id", "left_anti").select("id")
-    found = reach(one, steps)
-    wide = written_rows(able.join(found.counts(), "id").filter(F.col("reach") >= S.ENTRY_MIN_REACH), "qualifying")
-    qualifying = wide.count()
-    best = [r["id"] for r in wide.orderBy(F.desc("reach"), "id").limit(S.ENTRY_MAX).collect()]
+    free = one.filter(~no_entry_file("file")).join(F.broadcast(pinned), "id", "left_anti").select("id")
+    best, qualifying = _widest(graph, written_rows(graph.roots().join(free, "id"), "able"))
     own = pinned.join(one.select("id"), "id", "left_semi")
     ranked = spark.createDataFrame([(i, S.PINS_MAX + k) for k, i in enumerate(best)], "id string, pos long")
     # at most ENTRY_MAX + PINS_MAX roots
-    reached = written_rows(found.of(own.select("id").unionByName(ranked.select("id"))), "reached")
+    reached = written_rows(graph.of(own.select("id").unionByName(ranked.select("id"))), "reached")
     width = reached.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
     listed = own.withColumn("pinned", F.lit(True)).unionByName(ranked.withColumn("pinned", F.lit(False)))
-    load = loaded_by() if "called_at_load_by" in nodes.columns else F.lit(None).cast("struct<first:array<string>,total:int>")
     full = one.join(F.broadcast(listed), "id").join(F.broadcast(width), "id", "left")
+    if uses is not None:
+        loads = uses.join(F.broadcast(listed.select("id")), "id", "left_semi").groupBy("id").agg(F.collect_set("file").alias("called_at_load_by"))
+        full = full.drop("called_at_load_by").join(loads, "id", "left")
+    load = loaded_by() if "called_at_load_by" in full.columns else F.lit(None).cast("struct<first:array<string>,total:int>")
     out = full.select("id", "name", "file", "start_line", "end_line", F.coalesce("reach", F.lit(0).cast("long")).alias("reach"), F.when(F.col("pinned"), "pinned").otherwise("no-callers").alias("reason"), F.when(~F.col("pinned"), load).alias("loaded_by"), "pinned", "pos")
     # at most ENTRY_MAX + PINS_MAX rows
     return out.withColumns({"pos": F.row_number().over(Window.orderBy("pos")).cast("long"), "total_qualifying": F.lit(qualifying).cast("long") + F.count_if("pinned").over(Window.partitionBy())}), reached
