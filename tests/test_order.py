@@ -48,3 +48,14 @@ def test_neighbourhoods(spark, hops, most):
     pairs = [(r.choice(ids), r.choice([*ids, "gone"])) for _ in range(45)] + [("n0", i) for i in ids] + [(i, "n1") for i in ids[:12]]
     n, e = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "src string, dst string")
     assert dict(rows(neighbourhood.counts(n, e, hops, most))) == plain(set(ids), pairs, hops)
+
+
+@pytest.mark.parametrize("most", [2, 1024])
+def test_two_steps_form_no_pairs(spark, monkeypatch, most):
+    """A row for each step, not for each node behind it; with hubs and without."""
+    monkeypatch.setattr(neighbourhood, "_walked", lambda *_: pytest.fail("pairs"))
+    ids = [f"n{i}" for i in range(9)]
+    pairs = [("n0", f"n{i}") for i in range(1, 6)] + [(f"n{i}", "n6") for i in range(1, 6)] + [("n6", "n7"), ("n7", "n0"), ("n7", "n0"), ("n6", "gone")]
+    n, e = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "src string, dst string")
+    known = [p for p in pairs if p[1] != "gone"]
+    assert dict(rows(neighbourhood.counts(n, e, 2, most))) == plain(set(ids), known, 2)

@@ -14,7 +14,6 @@ is a count.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from ..storage import apart, counted, dealt, fresh, side, written, written_rows
 from .condense import components
 from .neighbourhood import WIDTH
-from .order import WITHIN
+from .order import numbered
 
 MOST_PLACES = 1024  # a bucket with more members is a bitmap
 ARRAY = 4  # a closure whose bound is at most so many times MOST_PLACES is one array
@@ -34,17 +33,6 @@ def _size() -> Column:
     return F.when(F.col("bits").isNotNull(), F.bitmap_count("bits")).otherwise(F.size("places")).cast("long")
 
 
-def _numbered(ids: DataFrame) -> tuple[DataFrame, int]:
-    """id and number, from 0 without gaps, of distinct ids; and how many they are."""
-    at = F.monotonically_increasing_id()
-    rows, n = counted(ids.select("id").distinct().select("id", at.alias("at")), "ids")
-    part = F.shiftright("at", 33)
-    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row for each partition
-    starts = [0, *accumulate(r["n"] for r in sizes)][: len(sizes)]
-    before = F.create_map(*[F.lit(x) for r, start in zip(sizes, starts, strict=True) for x in (r["part"], start)]) if sizes else F.create_map().cast("map<bigint,int>")
-    return rows.select("id", (F.element_at(before, part) + F.col("at").bitwiseAND(WITHIN)).cast("long").alias("number")), n
-
-
 @dataclass
 class Layered:
     """A graph's components by layers. members: id, number, c; steps: c, to (each once); layers: c, layer, size (its
@@ -118,7 +106,7 @@ def layered(nodes: DataFrame, edges: DataFrame) -> Layered:
 
     A round for each layer; only where nodes lie on cycles, components are found first.
     """
-    members, n = _numbered(nodes)
+    members, n = numbered(nodes.select("id"))
     members = written_rows(members, "numbers").withColumn("c", F.col("number"))
     ends = edges.select("src", "dst").filter("src != dst")
 
