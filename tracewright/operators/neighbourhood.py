@@ -94,9 +94,11 @@ def _within_two(steps: DataFrame, rows: int, number: str, most: int) -> DataFram
     handed = lambda to, name: sides.filter(F.size(to) <= most).select(F.explode(to).alias("c"), of(name)).select(F.col("c").cast("long").alias("c"), "ns")
     given = handed("behind", "ahead").unionByName(handed("ahead", "behind"))
     hubs, n = counted(sides.filter((F.size("ahead") > most) | (F.size("behind") > most)).select("m", (F.size("ahead") > most).alias("wide"), (F.size("behind") > most).alias("called"), of("ahead").alias("forth"), of("behind").alias("back")), "hubs")
-    light = lambda given: given.groupBy("c").agg((F.size(F.array_remove(F.array_distinct(F.flatten(F.collect_list("ns"))), F.col("c").cast(number)))).cast("long").alias("n"))
+    # arrays travel; their pairs are told apart and counted where they arrive, so no exchange has a row for each
+    exploded = lambda given: given.select("c", F.explode("ns").alias("n")).select("c", F.col("n").cast("long").alias("n"))
+    light = lambda given: _of_pairs(exploded(dealt(given, 2 * rows, "c")))
     if not n:
-        return light(dealt(given, 2 * rows, "c"))
+        return light(given)
     # steps from hubs and to hubs, each with the hub as m and the other end as c
     # a hub's array can be as long as most, so few enough to be sent whole are few
     near = lambda flag, *columns: side(hubs.filter(flag).select("m", *columns), n * most)
@@ -106,10 +108,10 @@ def _within_two(steps: DataFrame, rows: int, number: str, most: int) -> DataFram
     bits = written_rows(_merged(bits(forth, back, "wide"), bits(back, forth, "called")), "bits")
     whole, n_whole = counted(bits.select("c").distinct(), "large")
     heavy, n_heavy = counted(hubs.select(F.col("m").alias("c")).join(side(whole, n_whole), "c", "left_anti"), "heavy")
-    pairs = lambda of: given.join(of, "c", "left_semi").select("c", F.explode("ns").alias("n")).select("c", F.col("n").cast("long").alias("n"))
+    pairs = lambda of: exploded(given.join(of, "c", "left_semi"))
     found = _of_bits(_merged(bits, _bits_of(pairs(side(whole, n_whole))))).unionByName(_of_pairs(pairs(side(heavy, n_heavy))))
     rest = given.join(side(whole, n_whole), "c", "left_anti").join(side(heavy, n_heavy), "c", "left_anti")
-    return found.unionByName(light(dealt(rest, 2 * rows, "c")))
+    return found.unionByName(light(rest))
 
 
 def counts(nodes: DataFrame, edges: DataFrame, hops: int, most: int = MOST) -> DataFrame:
